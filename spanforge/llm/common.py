@@ -67,3 +67,40 @@ WHITE = r"[\x20\x09-\x0D]+"
 def n_words(text: str = "text") -> Column:
     """Number of runs of other characters than ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+#: Text that a Python worker holds as words at a time; a longer text stands alone.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch, column: str = "text", limit: int = SLICE_BYTES):
+    """Consecutive parts of an Arrow batch of at most about `limit` bytes of text each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    part = np.concatenate([[0], np.cumsum(size, dtype="int64")[:-1]]) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
+def add_columns(schema, **columns: str):
+    """A StructType of schema plus columns of these DDL types."""
+    from pyspark.sql import types as T
+
+    return T.StructType([*schema.fields, *T._parse_datatype_string(", ".join(f"`{k}` {v}" for k, v in columns.items())).fields])
+
+
+def share(spark: SparkSession, value):
+    """A broadcast of a value of this package's classes, pickled with them; `opened` gives it back on a worker."""
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared):
+    import pickle
+
+    return pickle.loads(shared.value)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from spanforge.llm import mixing, sharding
+from spanforge.llm import chat, decontam, langid, mixing, quality, recount, sharding, topk, warc
 
 _MODULES = {
+    "op1_warc": warc,
+    "op2_quality": quality,
+    "op3_topk": topk,
+    "op4_recount": recount,
+    "op5_chat": chat,
     "op7_mixing": mixing,
     "op8_sharding": sharding,
+    "op9_langid": langid,
+    "op10_decontam": decontam,
 }
 
 
