@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import chat, decontam, langid, mixing, quality, recount, sharding, topk, warc
+from spanforge.llm import chat, decontam, jaccard, langid, mixing, quality, recount, sharding, topk, warc
 
 _MODULES = {
     "op1_warc": warc,
@@ -10,6 +10,7 @@ _MODULES = {
     "op3_topk": topk,
     "op4_recount": recount,
     "op5_chat": chat,
+    "op6_jaccard": jaccard,
     "op7_mixing": mixing,
     "op8_sharding": sharding,
     "op9_langid": langid,
