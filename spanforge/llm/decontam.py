@@ -83,7 +83,7 @@ class Block:
             here = np.zeros(len(low), "int64")
             here[back.ravel()] = at
             high = np.stack(_keys(self.ids, here, window, length, pad), 1)
-            self.windows.append((length, low, high, np.searchsorted(owners[:, 0], np.arange(len(low) + 1)), owners[:, 1]))
+            self.windows.append((length, low, high, np.searchsorted(owners[:, 0], np.arange(len(low) + 1)), owners[:, 1], here))
         big = self.ids.astype(">u4")
         self.suffixes = sorted((big[q : q + min(int(n), DEPTH)].tobytes(), q) for q, n in enumerate(left) if n)
         self.left, self.owner, self.place = left, owner, np.array(place, "int64")
@@ -104,7 +104,7 @@ class Block:
         return lo
 
     def longest(self, ids: np.ndarray, at: int) -> tuple[int, int]:
-        """(length, place in the benchmark) of the longest match of the document's words from `at`."""
+        """(length, place in the benchmark) of the longest match of the document's words from `at`, up to DEPTH."""
         ids = ids[at : at + DEPTH]
         stop = np.flatnonzero(ids == 0)
         key = ids[: stop[0] if len(stop) else None].astype(">u4").tobytes()
@@ -128,7 +128,7 @@ class Block:
             ids[s : s + len(d)] = np.fromiter(map(get, d, repeat(0)), "int64", len(d))
         mark, pairs, begins = np.zeros(len(ids) + 1, "int64"), set(), []
         known = np.cumsum(ids > 0)
-        for length, low, high, owned, owners in self.windows:
+        for length, low, high, owned, owners, here in self.windows:
             run = known[length - 1 :] - np.concatenate([[0], known[: len(known) - length]])
             at = np.flatnonzero(run == length)
             if not len(at):
@@ -141,16 +141,19 @@ class Block:
                 found = array[lo[w] : hi[w]]
                 np.add.at(mark, found, 1)
                 np.add.at(mark, found + length, -1)
-                begins.append(found)
+                begins += [(p, length, int(here[w])) for p in found.tolist()] if locate else []
                 for d in np.unique(np.searchsorted(start, found, side="right") - 1).tolist():
                     pairs.update((d, self.names[o]) for o in owners[owned[w] : owned[w + 1]].tolist())
         matches: dict[int, list] = {}
         if locate and begins:
-            last = (-2, 0)
-            for p in np.unique(np.concatenate(begins)).tolist():
-                n, q = self.longest(ids, p)
-                while self.left[q] > n and ids[p + n] == self.ids[q + n]:
-                    n += 1
+            last, best = (-2, 0), {}
+            for p, n, q in begins:
+                best[p] = max(best.get(p, (0, 0)), (n, q))
+            for p, (n, q) in sorted(best.items()):
+                if n == self.window:
+                    n, q = self.longest(ids, p)
+                    while self.left[q] > n and ids[p + n] == self.ids[q + n]:
+                        n += 1
                 if not (last[0] == p - 1 and last[1] == n + 1):  # else it is the rest of the match before
                     d = int(np.searchsorted(start, p, side="right") - 1)
                     matches.setdefault(d, []).append((p - int(start[d]), n, self.names[self.owner[q]], int(self.place[q])))
