@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +9,9 @@ from spanforge.functions import patterns as P
 from spanforge.functions import spans
 
 
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def either(patterns) -> str:
+    """One pattern for several: each row compiles it once."""
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def filled(pattern: str, value: Column) -> Column:
@@ -69,14 +68,14 @@ def supports_value(variable: Column, value: Column, pattern: Column, evidence: C
     """The evidence states the value, as a measurement if it is a size, and is neither negated nor outdated there."""
     low = F.lower(F.when(context == "", evidence).otherwise(F.coalesce(context, evidence)))
     margin = low.contains("margin") & ~low.contains("tumor size")
-    size_ok = (variable != P.SIZE) | (~margin & any_of(searched(low, p, pattern) for p in P.MEASURED))
-    wrong = any_of(searched(low, p, pattern) for p in P.WRONG_CONTEXT)
+    size_ok = (variable != P.SIZE) | (~margin & searched(low, either(P.MEASURED), pattern))
+    wrong = searched(low, either(P.WRONG_CONTEXT), pattern)
     return F.coalesce(states_value(variable, value, pattern, evidence) & size_ok & ~wrong, F.lit(False))
 
 
 def supersedes(variable: Column, value: Column, pattern: Column, evidence: Column, context: Column) -> Column:
     """The value is the outdated side of a revision."""
-    return states_value(variable, value, pattern, evidence) & any_of(searched(context, p, pattern) for p in P.SUPERSEDING)
+    return states_value(variable, value, pattern, evidence) & searched(context, either(P.SUPERSEDING), pattern)
 
 
 def target(variable: Column, pattern: Column) -> Column:
@@ -89,7 +88,7 @@ def target(variable: Column, pattern: Column) -> Column:
 
 def tied(context: Column, goal: Column, cue: str, within: int = 70) -> Column:
     gap = f"[^.\\n]{{0,{within}}}"
-    return searched(context, f"(?:VALUE){gap}(?:{cue})", goal) | searched(context, f"(?:{cue}){gap}(?:VALUE)", goal)
+    return context.rlike(P.I + cue) & searched(context, f"(?:VALUE){gap}(?:{cue})|(?:{cue}){gap}(?:VALUE)", goal)
 
 
 def supports_status(variable: Column, status: Column, value: Column, pattern: Column, evidence: Column, contexts: Column, alternatives: Column) -> Column:

@@ -2,14 +2,384 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from spanforge.functions import patterns as P
+from spanforge.functions import spans
+from spanforge.functions import text as T
+from spanforge.operators import evaluate, extract, model, pages, pipeline, review
+from spanforge.plans import fixtures as X
+from spanforge.sources import sinks
 
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
 
-def queries():
-    return {}
+
+def query(sql: str | None = None):
+    """Register a function (spark, table) -> DataFrame under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def reports(spark: SparkSession, table) -> DataFrame:
+    return spark.sql(X.reports_sql().replace(" from part", " from {part}"), part=table("part"))
+
+
+def texts(spark: SparkSession, table) -> DataFrame:
+    return reports(spark, table).select("report_id", "text")
+
+
+def gold(spark: SparkSession, table) -> DataFrame:
+    return spark.sql(X.gold_sql().replace(" from part", " from {part}"), part=table("part"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of all reports by variable and status."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return pipeline.fields(texts(spark, table)).groupBy("variable_name", "documentation_status").count()
+
+
+# --- extraction -------------------------------------------------------------------------------------------------------
+_PT_SQL = rf"(?i)\bpT{P.PT_SUFFIX}\b"
+
+
+@query(f"""
+with r as ({X.reports_sql()}),
+m as (select report_id, regexp_extract_all(text, '{_PT_SQL}') as ms, string_split_regex(text, '{_PT_SQL}') as gs from r)
+select report_id, i as n, ms[i] as value,
+  (list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::int as start
+from m, unnest(range(1, len(ms) + 1)) as u(i)
+""")
+def pt_candidates(spark, table):
+    hit = spans.in_order(F.array(spans.found(F.col("text"), P.I + P.VALUES[P.PT][0])))
+    rows = texts(spark, table).select("report_id", F.posexplode(hit).alias("i", "m"))
+    return rows.select("report_id", (F.col("i") + 1).cast("long").alias("n"), F.col("m.value").alias("value"), F.col("m.start").alias("start"))
+
+
+@query(f"""
+with r as ({X.reports_sql()}), h as (
+  select report_id, k.kind, strpos(text, k.heading) - 1 as start
+  from r, (values ('preliminary', 'PRELIMINARY DIAGNOSIS'), ('revised', 'REVISED FINAL DIAGNOSIS')) as k(kind, heading) where strpos(text, k.heading) > 0
+  union all select report_id, 'final', strpos(text, 'FINAL DIAGNOSIS') - 1 from r where strpos(text, 'FINAL DIAGNOSIS') > 0 and strpos(text, 'REVISED FINAL') = 0)
+select report_id, kind, start::int as start, coalesce(lead(start) over (partition by report_id order by start), (select length(text) from r where r.report_id = h.report_id))::int as section_end from h
+""")
+def section_spans(spark, table):
+    rows = extract.with_sections(texts(spark, table)).select("report_id", F.inline("sections"))
+    return rows.select("report_id", "kind", "start", "section_end")
+
+
+def _fields_query(method: str):
+    def run(spark, table):
+        return pipeline.fields(texts(spark, table), method).select("report_id", "variable_name", "documentation_status", "extracted_value")
+
+    run.__name__ = f"{method}_fields"
+    return query(f"select report_id, variable_name, documentation_status, extracted_value from ({X.expected_sql(method)}) e")(run)
+
+
+_fields_query("baseline")
+_fields_query("evidence_first")
+
+
+@query(f"""
+select report_id, case when scenario = 'complete' then 'low' when scenario in ('pnx', 'uncertain', 'margin_only', 'ptx') then 'medium' else 'high' end as review_priority,
+  scenario <> 'complete' as manual_review_required, 0 as n_rejects from ({X.reports_sql()}) r
+""")
+def review_priority(spark, table):
+    out = pipeline.results(texts(spark, table))
+    return out.select("report_id", "review_priority", "manual_review_required", F.size("reject_reasons").alias("n_rejects"))
+
+
+@query(f"""
+with e as (select 'baseline' as method, report_id, variable_name, documentation_status, extracted_value from ({X.expected_sql("baseline")}) a
+  union all select m, report_id, variable_name, documentation_status, extracted_value from ({X.expected_sql("evidence_first")}) b, (values ('evidence_first'), ('ml')) as v(m))
+select variable_name, count_if(agree)::bigint as agreeing, count(*)::bigint as fields from (
+  select report_id, variable_name, count(distinct coalesce(extracted_value, '~') || documentation_status) = 1 as agree from e group by 1, 2) x group by 1
+""")
+def method_agreement(spark, table):
+    found = pipeline.flat(pipeline.every_method(texts(spark, table)))
+    return evaluate.agreement(found).groupBy("variable_name").agg(F.count_if("agree").alias("agreeing"), F.count("*").alias("fields"))
+
+
+_SCORED_SQL = f"""
+with e as (select * from ({X.expected_sql("baseline")}) a), g as (select * from ({X.gold_sql()}) b),
+s as (select e.variable_name, e.extracted_value as v, e.documentation_status as st, gold_value as g, gold_status as gs from e join g on e.report_id = g.report_id and e.variable_name = g.variable_name)
+"""
+
+
+@query(_SCORED_SQL + """
+select variable_name, count_if(v is not null and g is not null and v = g)::bigint as tp, count_if(v is not null and (g is null or v <> g))::bigint as fp,
+  count_if(g is not null and (v is null or v <> g))::bigint as fn, count_if(v is null and g is null)::bigint as tn, count_if(v is null)::bigint as abstained,
+  count_if(v is not null)::bigint as evidence_correct, count_if(st = gs)::bigint as status_correct, count(*)::bigint as status_total from s group by variable_name
+""")
+def eval_confusion(spark, table):
+    scored = evaluate.scored(evaluate.anchored(pipeline.fields(texts(spark, table), "baseline")), gold(spark, table))
+    return evaluate.by_variable(scored).select("variable_name", "tp", "fp", "fn", "tn", "abstained", "evidence_correct", "status_correct", "status_total")
+
+
+@query(_SCORED_SQL + f""",
+c as (select count_if(v is not null) as returned, count_if(v is not null and v = g) as tp, count_if(g is not null) as gold_values, count(*) as fields, count_if(g is null) as none,
+  count_if(g is null and v is null) as none_right, count_if(gs = 'not_documented') as undocumented, count_if(gs = 'not_documented' and v is not null) as undocumented_fp, count_if(st = gs) as status_ok from s),
+b as (select report_id, scenario, scenario <> 'complete' as expected, scenario <> 'complete' as referred from ({X.reports_sql()}) r),
+q as (select count(*) as reports, count_if(referred) as referred, count_if(referred and expected) as both, count_if(expected and scenario not in ('amended', 'inline_revision')) as expected from b),
+m as (
+  select 'unsupported_extraction_rate' as metric, 0 as numerator, returned as denominator from c union all select 'overall_precision', tp, returned from c
+  union all select 'overall_recall', tp, gold_values from c union all select 'coverage', returned, fields from c union all select 'appropriate_abstention_rate', none_right, none from c
+  union all select 'false_positive_rate_undocumented', undocumented_fp, undocumented from c union all select 'documentation_status_accuracy', status_ok, fields from c
+  union all select 'exact_evidence_rate', returned, returned from c union all select 'manual_review_referral_rate', referred, reports from q
+  union all select 'manual_review_referral_precision', expected, referred from q union all select 'manual_review_referral_recall', expected, expected from q
+  union all select 'schema_validity_rate', reports, reports from q)
+select metric, numerator::bigint as numerator, denominator::bigint as denominator, case when denominator <> 0 then numerator::double / denominator::double end as rate from m
+""")
+def eval_metrics(spark, table):
+    rows = evaluate.anchored(pipeline.fields(texts(spark, table), "baseline"))
+    flags = evaluate.scored(rows, gold(spark, table))
+    sound = rows.groupBy("report_id", "method").agg((F.bool_and((F.size("violations") == 0) & (F.col("extracted_value").isNull() | F.col("exact_evidence"))) & (F.count("*") == 4)).alias("valid"), F.exists(F.flatten(F.collect_list("qa_issues")), lambda i: F.lit(True)).alias("manual_review_required"))
+    counts = evaluate.overall(flags, sound, gold(spark, table))
+    return evaluate.metrics(counts).where("metric <> 'overall_f1'").select("metric", "numerator", "denominator", "rate")
+
+
+# --- review -----------------------------------------------------------------------------------------------------------
+_ACT = "case event_type when 'view' then 'accepted' when 'signup' then 'corrected' when 'purchase' then 'rejected' when 'error' then 'flagged_for_review' else 'accepted' end"
+_VAR = "case event_id % 4 when 0 then 'histologic_diagnosis' when 1 then 'tumor_size' when 2 then 'pathological_t_category' else 'pathological_n_category' end"
+_LOG = f"select event_id as seq, concat('U', cast(user_id % 17 as varchar(10))) as reviewer, concat('R', cast(event_id % 401 as varchar(10))) as report_id, {_ACT} as action, {_VAR} as variable_name, cast(event_id % 300 as double) as seconds, event_id % 11 = 0 as returned, ts as timestamp, event_type from events"
+
+
+def log(spark, table) -> DataFrame:
+    return spark.sql(_LOG.replace(" from events", " from {events}"), events=table("events"))
+
+
+@query(f"""
+with p as (select reviewer, report_id, sum(seconds) as seconds, count(*) as n, count_if(action = 'accepted') as ok, bool_and(action = 'accepted') as clean, bool_or(returned) as returned from ({_LOG}) l group by 1, 2)
+select reviewer, sum(n)::bigint as fields, sum(ok)::bigint as accepted, median(seconds) as median_seconds, count_if(returned)::bigint as returned_reports, count(*)::bigint as reports, count_if(clean)::bigint as edit_free from p group by 1
+""")
+def review_efficiency(spark, table):
+    return review.efficiency(log(spark, table))
+
+
+@query(f"select variable_name, action, count(*)::bigint as n from ({_LOG}) l where action <> 'accepted' group by 1, 2")
+def disagreement_top(spark, table):
+    return review.disagreements(log(spark, table))
+
+
+@query(f"""
+select v.variable_name, coalesce(count_if(l.action = 'corrected'), 0)::bigint as corrected, count(l.action)::bigint as reviewed, case when count(l.action) > 0 then count_if(l.action = 'corrected')::double / count(l.action)::double end as rate
+from (values ('histologic_diagnosis'), ('tumor_size'), ('pathological_t_category'), ('pathological_n_category')) as v(variable_name)
+left join (select * from ({_LOG}) x where seq % 4 <> 3) l on l.variable_name = v.variable_name group by 1
+""")
+def corrections_by_field(spark, table):
+    variables = spark.createDataFrame([(v,) for v in P.VARIABLES], "variable_name string")
+    return review.corrections(log(spark, table).where("seq % 4 <> 3"), variables)
+
+
+@query(f"select reviewer, seq, action, place from (select *, row_number() over (partition by reviewer order by timestamp desc, seq) as place from ({_LOG}) l) x where place <= 3")
+def audit_latest(spark, table):
+    return review.newest_first(log(spark, table), ["reviewer"], 3).select("reviewer", "seq", "action", F.col("place").cast("long").alias("place"))
+
+
+@query(f"select seq, reviewer, variable_name from ({_LOG}) l where action in ('corrected', 'rejected') and contains(lower(concat_ws(' ', reviewer, report_id, variable_name)), 'r1')")
+def audit_search(spark, table):
+    return review.searched(log(spark, table), "R1", ["reviewer", "report_id", "variable_name"], action=["corrected", "rejected"]).select("seq", "reviewer", "variable_name")
+
+
+@query(f"""
+with d as (select report_id, bool_or(action <> 'accepted') as begun, bool_or(seq % 97 = 0) as done from ({_LOG}) l group by 1)
+select report_id, case when done then 'Completed' when begun then 'In progress' else 'Needs review' end as case_status from d
+""")
+def case_status(spark, table):
+    rows = log(spark, table)
+    taken = rows.select("report_id", F.when(F.col("action") == "accepted", "pending").otherwise(F.col("action")).alias("action"))
+    return review.case_status(rows.select("report_id").distinct(), taken, rows.where("seq % 97 = 0"))
+
+
+def _decisions(fields: DataFrame) -> DataFrame:
+    """A decision for each field, by the part key: most accepted, some corrected, rejected or flagged, a few left pending."""
+    k = F.expr("cast(substring(report_id, 2) as bigint) % 40")
+    drafts = review.drafts(fields)
+    action = F.when(k == 0, "pending").when(k < 10, "rejected").when(k < 20, "flagged_for_review").otherwise("accepted")
+    return drafts.withColumn("action", action).withColumn("reason", F.when(action == "accepted", "").when((action == "flagged_for_review") & (k == 15), " ").otherwise("checked"))
+
+
+@query(f"""
+with e as (select *, cast(substring(report_id, 2) as bigint) % 40 as k from ({X.expected_sql("evidence_first")}) x),
+f as (select report_id, variable_name, case when k < 10 then 'rejected' when k < 20 then 'flagged_for_review' else 'accepted' end as review_action,
+  case when k < 20 then null else extracted_value end as reviewed_value, case when k < 10 then 'unsupported' when k < 20 then 'manual_review_required' else documentation_status end as reviewed_status
+  from e where k not in (0, 15))
+select report_id, variable_name, review_action, reviewed_value, reviewed_status from f
+""")
+def reviewed_fields(spark, table):
+    fields = pipeline.fields(texts(spark, table))
+    rows = review.sound(review.checked(fields, _decisions(fields)))
+    return review.reviewed(rows, "2024-05-01T00:00:00Z").select("report_id", "variable_name", "review_action", "reviewed_value", "reviewed_status")
+
+
+# --- pages ------------------------------------------------------------------------------------------------------------
+_PAGES = "select conv_id as document_id, turn as page_number, coalesce(text, '') as text, turn % 5 = 4 as excluded_as_blank, conv_id % 7 <> 0 or turn % 2 = 0 as accepted, case (conv_id + turn) % 4 when 0 then 'Poor' when 1 then 'Review recommended' else 'Good' end as label from conversations"
+
+
+def page_rows(spark, table) -> DataFrame:
+    return spark.sql(_PAGES.replace(" from conversations", " from {conversations}"), conversations=table("conversations"))
+
+
+@query(f"""
+with p as ({_PAGES})
+select document_id, page_number, start::int as start, (start + length(text))::int as stop from (
+  select *, coalesce(sum(length(text) + 2) over (partition by document_id order by page_number rows between unbounded preceding and 1 preceding), 0) as start from p where not excluded_as_blank) x
+""")
+def page_ranges(spark, table):
+    return pages.ranges(page_rows(spark, table))
+
+
+@query(f"""
+with p as ({_PAGES})
+select document_id, sha256(coalesce(string_agg(text, chr(10) || chr(10) order by page_number) filter (not excluded_as_blank), '')) as digest,
+  case when not bool_and(accepted) then 'every page must be accepted' when count_if(not excluded_as_blank and trim(text) = '') > 0 then 'an accepted page is empty' when count_if(not excluded_as_blank) = 0 then 'no page has text' end as error
+from p group by 1
+""")
+def page_assembly(spark, table):
+    return pages.assembled(page_rows(spark, table)).select("document_id", F.sha2("text", 256).alias("digest"), "error")
+
+
+@query(f"""
+with p as ({_PAGES}), n as (select document_id, coalesce(min(case when page_number > 2 and not accepted then page_number end), min(case when not accepted then page_number end)) as next_page from p group by 1),
+f as (select document_id, min(case label when 'Poor' then 0 when 'Review recommended' then 1 else case when not accepted then 2 end end) as r from p group by 1)
+select f.document_id, n.next_page, coalesce(min(case when case label when 'Poor' then 0 when 'Review recommended' then 1 else case when not accepted then 2 end end = f.r then page_number end), 1) as first_page
+from f join n using (document_id) join p using (document_id) group by 1, 2
+""")
+def page_routing(spark, table):
+    rows = page_rows(spark, table)
+    return pages.next_page(rows, F.lit(2)).join(pages.first_page(rows), "document_id")
+
+
+@query(f"""
+with p as (select *, coalesce(sum(length(text) + 2) over (partition by document_id order by page_number rows between unbounded preceding and 1 preceding), 0) as start from ({_PAGES}) q where not excluded_as_blank),
+o as (select document_id, 50 * n as off from (select distinct document_id from p) d, range(0, 20) r(n))
+select o.document_id, o.off as "offset", p.page_number from o left join p on p.document_id = o.document_id and p.start <= o.off and o.off < p.start + length(p.text)
+""")
+def page_lookup(spark, table):
+    rows = pages.ranges(page_rows(spark, table))
+    offsets = rows.select("document_id").distinct().select("document_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(950).cast("long"), F.lit(50).cast("long"))).alias("offset"))
+    return pages.located(offsets, rows)
+
+
+@query(f"""
+with p as ({_PAGES}), s as (select document_id, string_agg(case when not excluded_as_blank and label = 'Poor' then page_number::varchar end, ', ' order by page_number) as poor,
+  string_agg(case when not excluded_as_blank and label = 'Review recommended' then page_number::varchar end, ', ' order by page_number) as review from p group by 1)
+select document_id, case when poor is not null then 'high' when review is not null then 'medium' end as severity, coalesce(poor, review) as pages from s
+""")
+def document_issues(spark, table):
+    one = F.get("document_issues", F.lit(0))
+    return pages.document_issues(page_rows(spark, table)).select("document_id", one["severity"].alias("severity"), F.nullif(F.regexp_extract(one["description"], r"page\(s\): ([0-9, ]+)\.", 1), F.lit("")).alias("pages"))
+
+
+# --- ingestion and scalars --------------------------------------------------------------------------------------------
+_DIRTY = "select doc_id, concat('  ', text, chr(13), chr(10), 'line two   ', chr(9), chr(13), 'MRN: ', case doc_id % 3 when 0 then '12345' when 1 then '[REDACTED]' else '' end, chr(10), chr(7), 'DOB : 1.1.1970 ', chr(10)) as raw from documents"
+
+
+def dirty(spark, table) -> DataFrame:
+    return spark.sql(_DIRTY.replace(" from documents", " from {documents}"), documents=table("documents"))
+
+
+@query(f"""
+with d as (select doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(raw, '\\r\\n?', chr(10), 'g')), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}]', '', 'g'), '[ \\t]+\\n', chr(10), 'g'), ' ' || chr(10) || chr(9)) as text from ({_DIRTY}) x)
+select doc_id, sha256(text) as digest, length(text)::int as n_chars, 'LOCAL-' || upper(substr(sha256(text), 1, 10)) as local_id from d
+""")
+def sanitize_text(spark, table):
+    out = dirty(spark, table).select("doc_id", T.sanitized(F.col("raw")).alias("text"))
+    return out.select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"), T.local_id(F.col("text")).alias("local_id"))
+
+
+@query(f"select doc_id, case when doc_id % 3 = 0 then 'medical record number, date of birth' when doc_id % 3 = 1 then 'date of birth' else 'medical record number, date of birth' end as labels from ({_DIRTY}) x")
+def identifier_labels(spark, table):
+    # With nothing after 'MRN:' the value is taken from the next line, as the pattern's white space spans line ends.
+    return dirty(spark, table).select("doc_id", F.array_join(T.identifier_labels(T.sanitized(F.col("raw"))), ", ").alias("labels"))
+
+
+@query(f"""
+with a as (select doc_id, regexp_replace(raw, '\\r\\n?', chr(10), 'g') as t from ({_DIRTY}) x),
+b as (select doc_id, length(regexp_replace(t, '[^\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g')) as control, regexp_replace(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g') as t from a)
+select doc_id, control::bigint as control_characters, len(regexp_extract_all(t || chr(10), '[ \\t]+\\n'))::bigint as trailing_blanks from b
+""")
+def ocr_steps(spark, table):
+    _, steps = T.ocr_normalized(F.col("raw"))
+    count = lambda n: F.coalesce(F.get(F.filter("steps", lambda s: s["transformation"] == n), F.lit(0))["count"], F.lit(0)).cast("long")
+    rows = dirty(spark, table).select("doc_id", steps.alias("steps"))
+    return rows.select("doc_id", count("remove_control_characters").alias("control_characters"), count("trim_trailing_whitespace").alias("trailing_blanks"))
+
+
+@query("""
+with t as (select doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as t from documents),
+c as (select doc_id, t, length(regexp_replace(t, '\\s+', '', 'g')) as visible, length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) as alnum from t),
+s as (select *, alnum::double / greatest(visible, 1)::double as ratio, (length(t) < 40)::int + (alnum::double / greatest(visible, 1)::double < 0.55)::int as bad from c),
+q as (select *, least(1.0::double, length(t) / 200.0::double) * least(1.0::double, ratio / 0.8::double) as score from s)
+select doc_id, case when t = '' then 'Poor' when bad = 0 and score >= 0.75 then 'Good' when score >= 0.35 then 'Review recommended' else 'Poor' end as label, case when t = '' then 0 else floor(score * 1000 + 0.5)::bigint end as score_milli from q
+""")
+def text_quality(spark, table):
+    q = T.quality(F.col("text"))
+    rows = table("documents").select("doc_id", q.alias("q"))
+    return rows.select("doc_id", F.col("q.label").alias("label"), F.floor(F.col("q.score") * 1000 + 0.5).cast("long").alias("score_milli"))
+
+
+@query("""
+with c as (select c_custkey, case c_custkey % 4 when 0 then '=' when 1 then '  @' else '' end || c_name as name from customer)
+select c_custkey, case when regexp_matches(name, '^\\s*[=+\\-@]') then '''' || name else name end as safe,
+  left(coalesce(nullif(regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'report'), 80) as filename, 'sha256:' || sha256(name) as digest from c
+""")
+def csv_safety(spark, table):
+    name = F.concat(F.when(F.col("c_custkey") % 4 == 0, "=").when(F.col("c_custkey") % 4 == 1, "  @").otherwise(""), "c_name")
+    rows = table("customer").select("c_custkey", name.alias("name"))
+    return rows.select("c_custkey", T.spreadsheet_safe(F.col("name")).alias("safe"), T.safe_filename(F.col("name")).alias("filename"), T.digest(F.col("name")).alias("digest"))
+
+
+@query("""
+select * from (select 'result without gold' as rule, count(*)::bigint as n from (select distinct o_custkey from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 <> 0)) a
+union all select 'gold without result', count(*)::bigint from customer where c_custkey % 3 <> 0 and c_custkey not in (select o_custkey from orders)) x where n > 0
+""")
+def cohort_coverage(spark, table):
+    results = table("orders").select(F.col("o_custkey").alias("report_id"), F.lit("m").alias("method"))
+    known = table("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("report_id"))
+    expected = known.crossJoin(F.broadcast(spark.createDataFrame([(v,) for v in P.VARIABLES], "variable_name string")))  # four rows
+    found = evaluate.cohort_errors(results, expected, results.select("report_id"))
+    return found.where(F.col("rule").isin("result without gold", "gold without result")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("""
+with o as (select o_orderkey, case o_orderkey % 4 when 0 then '3.0 cm' when 1 then 'pT2a' when 2 then null else '1.2 cm' end as a, case o_orderkey % 5 when 0 then '3 cm' when 1 then 'PT-2A' when 2 then null when 3 then '12 cm' else '3.0 cm' end as b from orders)
+select o_orderkey, case when a is null or b is null then a is null and b is null else a = b or regexp_replace(lower(a), '[^a-z0-9]', '', 'g') = regexp_replace(lower(b), '[^a-z0-9]', '', 'g')
+  or (contains(a, 'cm') and contains(b, 'cm') and coalesce(try_cast(regexp_extract(a, '\\d+\\.?\\d*') as double) = try_cast(regexp_extract(b, '\\d+\\.?\\d*') as double), false)) end as same from o
+""")
+def values_match(spark, table):
+    k = F.col("o_orderkey")
+    a = F.when(k % 4 == 0, "3.0 cm").when(k % 4 == 1, "pT2a").when(k % 4 == 3, "1.2 cm")
+    b = F.when(k % 5 == 0, "3 cm").when(k % 5 == 1, "PT-2A").when(k % 5 == 3, "12 cm").when(k % 5 == 4, "3.0 cm")
+    return table("orders").select("o_orderkey", a.alias("a"), b.alias("b")).select("o_orderkey", evaluate.values_match(F.col("a"), F.col("b")).alias("same"))
+
+
+# --- exports and the model: rows only -----------------------------------------------------------------------------------
+@query()
+def reviewed_export(spark, table):
+    fields = pipeline.fields(texts(spark, table))
+    rows = review.sound(review.checked(fields, _decisions(fields)))
+    return sinks.reviewed_csv(review.reviewed(rows, "2024-05-01T00:00:00Z"))
+
+
+@query()
+def status_model(spark, table):
+    rows = model.training(gold(spark, table), texts(spark, table)).where(F.col("variable_name") == P.PN)
+    return model.predicted(model.fit(rows.drop("variable_name"), 30), texts(spark, table)).select("report_id", "label", F.round("confidence", 4).alias("confidence"))
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def oracle_sql():
-    return {}
