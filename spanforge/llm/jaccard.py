@@ -8,9 +8,10 @@ a pair of frequent tokens. So single rare tokens and pairs of frequent tokens of
 classes grows with the set size (bands of powers of two; a set is indexed in its own band and in that of the smallest
 set that it can link with), so pairs stay in proportion to the size.
 
-Texts with equal sets are one vertex. Buckets of the index up to SMALL give candidate pairs, each verified once on the
-whole sets. The members of larger buckets (near copies in great number) are gathered into clusters of overlapping
-buckets and verified block against block inside the workers, which give back a spanning forest only. So no link is lost,
+Texts with equal sets are one vertex. Buckets of the index up to SMALL give candidate pairs, less those whose sketches
+differ too much; larger buckets (near copies in great number) keep their members. Candidates that hang together form
+clusters, whose whole sets are verified block against block inside the workers, which give back a spanning forest only; a
+cluster that is much sparser than its candidates is verified pair by pair and bucket by bucket instead. So no link is lost,
 and no group's pairs are written out. Connected components of the links are the result.
 
 Defined cases: null or empty text, or one of white space: size 0, linked with nothing, its own component. Fewer words than
@@ -36,15 +37,19 @@ from spanforge.llm.components import components, forest
 WIDTH = 5
 PERCENT = 80
 #: A token is frequent from so many texts; at most so many tokens are (the threshold rises with the corpus).
-FREQUENT = 48
+FREQUENT = 4
 FREQUENT_MOST = 1_000_000
 #: Tokens that a worker counts at a time, and how often one must occur among them to be passed on.
 COUNTED = 4_000_000
-COUNTED_LEAST = 3
+COUNTED_LEAST = 2
 #: Buckets up to this size give pairs; larger ones are verified in blocks of so many sets and tokens.
 SMALL = 24
-BLOCK_ROWS = 512
-BLOCK_TOKENS = 400_000
+BLOCK_ROWS = 1024
+BLOCK_TOKENS = 1_000_000
+#: A cluster is verified as a whole if its pairs are at most so many times the candidates (and the pairs of its large buckets).
+PAIR_COST = 32
+#: Cells of the sketch that bounds two sets' difference from below.
+CELLS = 64
 #: Bits of the filter of documents whose sets are needed: 8 MB.
 FILTER_BITS = 26
 LEAST = -(2**63)
@@ -77,6 +82,11 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many tokens fall in each cell, 255 at most: sets differ in at least as many tokens as these numbers do in sum."""
+    return np.minimum(np.bincount((s >> np.uint64(58)).astype("int64"), minlength=CELLS), 255).astype("uint8").tobytes()
+
+
 class Order:
     """Frequent tokens with their rank; all others are rare."""
 
@@ -169,7 +179,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> Order:
 
 
 def _indexed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, cid, sigs): size and vertex of each text, and the signatures where a worker meets the set first."""
+    """(doc_id, n, cid, cells, sigs): size and vertex of each text; sketch and signatures where a worker meets the set first."""
     import pyarrow as pa
 
     shared = common.share(docs.sparkSession, order)
@@ -178,19 +188,19 @@ def _indexed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFra
         known, seen, rows, size = common.opened(shared), set(), [], 0
 
         def made():
-            ids, n, cid, sigs = zip(*rows)
+            ids, n, cid, cells, sigs = zip(*rows)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype("int32")
             flat = pa.array(np.concatenate(sigs).view("int64"))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n", "cid", "sigs"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(cells, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n", "cid", "cells", "sigs"])
 
         for doc_id, s in _sets(batches, width):
-            cid, sigs = None, s[:0]
+            cid, cells, sigs = None, None, s[:0]
             if len(s):
                 cid = set_id(s)
                 if cid not in seen:
                     seen.add(cid)
-                    sigs = signatures(s, known, percent)
-            rows.append((doc_id, len(s), cid, sigs))
+                    cells, sigs = sketch(s), signatures(s, known, percent)
+            rows.append((doc_id, len(s), cid, cells, sigs))
             size += len(sigs)
             if size > 500_000 or len(rows) >= 5000:
                 yield made()
@@ -198,7 +208,7 @@ def _indexed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFra
         if rows:
             yield made()
 
-    return docs.mapInArrow(run, "doc_id long, n int, cid long, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, cid long, cells binary, sigs array<long>")
 
 
 def _buckets(percent: int):
@@ -293,7 +303,7 @@ def _block(percent: int):
         blk = pdf["blk"].to_numpy()
         low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
         i, j = block_links(sets, np.flatnonzero(blk == low), np.flatnonzero(blk == high), percent)
-        ids = pdf["rep"].to_numpy("int64")
+        ids = pdf["cid"].to_numpy("int64")
         a, b = forest(ids[i], ids[j])
         return pd.DataFrame({"a": a, "b": b})
 
@@ -309,47 +319,61 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _links(docs: DataFrame, found: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between representatives (doc_ids), enough to connect all that are linked."""
+def _close(pairs: DataFrame, indexed: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) without those whose sketches already differ too much."""
+    cells = indexed.where("cells is not null").groupBy("cid").agg(F.max(F.struct("cells", "n")).alias("c"))
+    side = lambda c, x: cells.select(F.col("cid").alias(c), F.col("c.cells").alias(x), F.col("c.n").alias(f"n{x}"))
+
+    def run(batches):
+        for pdf in batches:
+            x, y = (np.frombuffer(b"".join(pdf[c]), "uint8").reshape(-1, CELLS).astype("int32") for c in ("x", "y"))
+            apart, n = np.abs(x - y).sum(1), pdf["nx"].to_numpy("int64") + pdf["ny"].to_numpy("int64")
+            yield pdf.loc[100 * (n - apart) >= percent * (n + apart), ["a", "b"]]
+
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(run, "a long, b long")
+
+
+def _links(docs: DataFrame, found: DataFrame, indexed: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between vertices, enough to connect all that are linked."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    pairs = common.stored(found.where("not hot").select("a", "b").distinct(), "pairs")
+    pairs = common.stored(_close(found.where("not hot").select("a", "b").distinct(), indexed, percent), "pairs")
     members = found.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("cid"))
     needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(members.select("cid")).distinct()
-    needed = common.stored(needed.join(reps, "cid"), "needed")
-    bits = common.share(spark, _filter_of(needed))
+    bits = common.share(spark, _filter_of(needed.join(reps, "cid")))
 
     def again(batches):
         known = common.opened(bits)
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False).astype("int64")
             batch = batch.filter(pa.array((known[at >> 6] >> (at & 63)) & 1 == 1))
-            rows = [(doc_id, set_id(s), s.tobytes()) for doc_id, s in _sets([batch], width) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["rep", "cid", "tokens"])
+            rows = [(set_id(s), s.tobytes()) for _, s in _sets([batch], width) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary()))], names=["cid", "tokens"])
 
     by_rep = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LEAST))).withColumn("at", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS))
-    sets = common.stored(by_rep.mapInArrow(again, "rep long, cid long, tokens binary").join(needed, ["cid", "rep"], "left_semi"), "sets")
+    sets = common.stored(by_rep.mapInArrow(again, "cid long, tokens binary"), "sets")
 
     def verify(batches):
         for pdf in batches:
             ok = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(pdf["x"], pdf["y"])]
             yield pdf.loc[ok, ["a", "b"]]
 
-    side = lambda c, r, t: sets.select(F.col("cid").alias(c), F.col("rep").alias(r), F.col("tokens").alias(t))
-    both = pairs.join(side("a", "ra", "x"), "a").join(side("b", "rb", "y"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "x", "y")
-    links = both.mapInPandas(verify, "a long, b long")
-    if members.isEmpty():
-        return links
-    size = members.groupBy("sig").agg(F.min("cid").alias("first"), F.count("*").alias("m"))
-    joined = members.join(size, "sig")
-    cluster = components(joined.select(F.col("cid").alias("a"), F.col("first").alias("b")))
-    joined = joined.join(cluster.select(F.col("node").alias("first"), F.col("component").alias("cluster")), "first")
-    square = size.join(cluster.select(F.col("node").alias("first"), F.col("component").alias("cluster")), "first").groupBy("cluster").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("squares"))
-    whole = cluster.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n")).join(square, "cluster")
-    whole = whole.select("cluster", (F.col("n").cast("double") * F.col("n") <= F.col("squares")).alias("whole"))
-    gid = F.when(F.col("whole"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.lit("bucket"), "sig"))
-    grouped = common.stored(joined.join(whole, "cluster").select(gid.alias("gid"), "cid").distinct(), "groups")
+    size = common.stored(members.groupBy("sig").agg(F.min("cid").alias("first"), F.count("*").alias("m")), "buckets")
+    cluster = components(pairs.unionByName(members.join(size, "sig").select(F.col("cid").alias("a"), F.col("first").alias("b"))))
+    of = lambda c: cluster.select(F.col("node").alias(c), F.col("component").alias("cluster"))
+    cost = pairs.join(of("a"), "a").select("cluster", F.lit(float(PAIR_COST)).alias("cost")).unionByName(
+        size.where("m > 1").join(of("first"), "first").select("cluster", (F.col("m").cast("double") * F.col("m")).alias("cost"))
+    ).groupBy("cluster").agg(F.sum("cost").alias("cost"))
+    whole = cluster.groupBy(F.col("component").alias("cluster")).agg(F.count("*").cast("double").alias("n")).join(cost, "cluster")
+    whole = common.stored(whole.select("cluster", (F.col("n") * F.col("n") <= F.col("cost")).alias("whole")), "clusters")
+    apart = whole.where("not whole").select("cluster")
+    side = lambda c, t: sets.select(F.col("cid").alias(c), F.col("tokens").alias(t))
+    loose = pairs.join(of("a").join(apart, "cluster"), "a").select("a", "b")
+    links = loose.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
+    together = of("cid").join(whole.where("whole"), "cluster").select(F.xxhash64(F.lit("cluster"), "cluster").alias("gid"), "cid")
+    buckets = members.join(size, "sig").join(of("first").join(apart, "cluster"), "first").select(F.xxhash64(F.lit("bucket"), "sig").alias("gid"), "cid")
+    grouped = common.stored(together.unionByName(buckets).distinct(), "groups")
     length = sets.select("cid", F.expr("length(tokens) div 8").alias("n"))
     blocks = grouped.join(length, "cid").groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
     dealt = (
@@ -371,8 +395,10 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     reps = common.stored(reps.select("cid", F.coalesce("known_rep", "any_rep").alias("rep")), "reps")
     sigs = indexed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cid", "n")
     found = common.stored(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_buckets(percent), "hot boolean, a long, b long"), "found")
-    parts = components(_links(docs, found, reps, width, percent))
-    part = reps.join(parts, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("__part"))
+    parts = components(_links(docs, found, indexed, reps, width, percent)).select(F.col("node").alias("cid"), "component")
+    known = parts.join(reps, "cid").groupBy("component").agg(F.min("rep").alias("any"), F.min(F.when(F.col("rep") != LEAST, F.col("rep"))).alias("known"))
+    first = parts.join(known, "component").select("cid", F.coalesce("known", "any").alias("first"))
+    part = reps.join(first, "cid", "left").select("cid", F.coalesce("first", "rep").alias("__part"))
     out = rows.join(part, "cid", "left").withColumn("component_id", F.coalesce("__part", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("component_id") != LEAST, F.col("component_id")).alias("component_id"))
 
