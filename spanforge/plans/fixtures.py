@@ -61,7 +61,7 @@ def expected_sql(method: str) -> str:
             size.format(a="cm" if first else "null", c="null", u="cm", n="null", m="null", d="cm"),
         ),
         "pathological_t_category": (
-            f"case scenario when 'amended' then '{'supported' if first else 'conflicting'}' when 'inline_revision' then '{'supported' if first else 'conflicting'}' when 'conflicting' then 'conflicting' when 'uncertain' then 'uncertain' when 'negated' then 'cannot_be_assigned' when 'ptx' then 'cannot_be_assigned' when 'synoptic_gap' then 'not_documented' else 'supported' end",
+            f"case scenario when 'amended' then '{'supported' if first else 'conflicting'}' when 'inline_revision' then '{'supported' if first else 'unsupported'}' when 'conflicting' then 'conflicting' when 'uncertain' then 'uncertain' when 'negated' then 'cannot_be_assigned' when 'ptx' then 'cannot_be_assigned' when 'synoptic_gap' then 'not_documented' else 'supported' end",
             f"case scenario when 'amended' then {'stage' if first else 'null'} when 'inline_revision' then {'stage' if first else 'null'} when 'conflicting' then null when 'negated' then null when 'ptx' then 'pTX' when 'synoptic_gap' then null else stage end",
         ),
         "pathological_n_category": (
