@@ -352,7 +352,7 @@ def _links(docs: DataFrame, found: DataFrame, indexed: DataFrame, reps: DataFram
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary()))], names=["cid", "tokens"])
 
     by_rep = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LEAST))).withColumn("at", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS))
-    sets = common.stored(by_rep.mapInArrow(again, "cid long, tokens binary"), "sets")
+    sets = by_rep.mapInArrow(again, "cid long, tokens binary")
 
     def verify(batches):
         for pdf in batches:
@@ -368,21 +368,22 @@ def _links(docs: DataFrame, found: DataFrame, indexed: DataFrame, reps: DataFram
     whole = cluster.groupBy(F.col("component").alias("cluster")).agg(F.count("*").cast("double").alias("n")).join(cost, "cluster")
     whole = common.stored(whole.select("cluster", (F.col("n") * F.col("n") <= F.col("cost")).alias("whole")), "clusters")
     apart = whole.where("not whole").select("cluster")
-    side = lambda c, t: sets.select(F.col("cid").alias(c), F.col("tokens").alias(t))
     loose = pairs.join(of("a").join(apart, "cluster"), "a").select("a", "b")
+    by_pairs = not loose.isEmpty()
+    sets = common.stored(sets, "sets") if by_pairs else sets  # else they are read once only
+    side = lambda c, t: sets.select(F.col("cid").alias(c), F.col("tokens").alias(t))
     links = loose.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
     together = of("cid").join(whole.where("whole"), "cluster").select(F.xxhash64(F.lit("cluster"), "cluster").alias("gid"), "cid")
     buckets = members.join(size, "sig").join(of("first").join(apart, "cluster"), "first").select(F.xxhash64(F.lit("bucket"), "sig").alias("gid"), "cid")
     grouped = common.stored(together.unionByName(buckets).distinct(), "groups")
-    length = sets.select("cid", F.expr("length(tokens) div 8").alias("n"))
-    blocks = grouped.join(length, "cid").groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
+    blocks = grouped.join(reps.select("cid", "n"), "cid").groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
     dealt = (
         grouped.join(blocks, "gid").withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
         .select("gid", "cid", "blk", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"))
     )
     in_blocks = dealt.join(sets, "cid").groupBy("gid", "low", "high").applyInPandas(_block(percent), "a long, b long")
-    return links.unionByName(in_blocks)
+    return links.unionByName(in_blocks) if by_pairs else in_blocks
 
 
 def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -391,14 +392,14 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     order = frequent_tokens(docs, width)
     indexed = common.stored(_indexed(docs, order, width, percent), "indexed")
     rows = indexed.select("doc_id", "n", "cid")
-    reps = rows.where("cid is not null").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("any_rep"), F.min("doc_id").alias("known_rep"))
-    reps = common.stored(reps.select("cid", F.coalesce("known_rep", "any_rep").alias("rep")), "reps")
+    reps = rows.where("cid is not null").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("any_rep"), F.min("doc_id").alias("known_rep"), F.max("n").alias("n"))
+    reps = common.stored(reps.select("cid", F.coalesce("known_rep", "any_rep").alias("rep"), "n"), "reps")
     sigs = indexed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cid", "n")
     found = common.stored(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_buckets(percent), "hot boolean, a long, b long"), "found")
     parts = components(_links(docs, found, indexed, reps, width, percent)).select(F.col("node").alias("cid"), "component")
     known = parts.join(reps, "cid").groupBy("component").agg(F.min("rep").alias("any"), F.min(F.when(F.col("rep") != LEAST, F.col("rep"))).alias("known"))
     first = parts.join(known, "component").select("cid", F.coalesce("known", "any").alias("first"))
-    part = reps.join(first, "cid", "left").select("cid", F.coalesce("first", "rep").alias("__part"))
+    part = reps.select("cid", "rep").join(first, "cid", "left").select("cid", F.coalesce("first", "rep").alias("__part"))
     out = rows.join(part, "cid", "left").withColumn("component_id", F.coalesce("__part", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("component_id") != LEAST, F.col("component_id")).alias("component_id"))
 
