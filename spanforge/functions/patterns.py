@@ -19,9 +19,6 @@ CATEGORIES = {
     PT: ("pTX", "pT0", "pTis", "pT1mi", "pT1", "pT1a", "pT1b", "pT1c", "pT2", "pT2a", "pT2b", "pT3", "pT4"),
     PN: ("pNX", "pN0", "pN1", "pN2", "pN3"),
 }
-_OF_TUMOR = r"(?:\s+of\s+(?:the\s+)?tumou?r)?\s*(?:is|:|=)?\s*"
-_CM = r"(\d+(?:\.\d+)?)\s*cm"
-_GROWTH = r"(?:lepidic|acinar|papillary|micropapillary|solid)"
 VALUES = {
     HISTOLOGY: (
         r"\b(minimally\s+invasive\s+adenocarcinoma)\b",
@@ -30,23 +27,23 @@ VALUES = {
         r"\b(squamous\s+cell\s+carcinoma\s*,?\s*(?:keratinizing|non[-\s]?keratinizing))\b",
         r"\b((?:well|moderately|poorly)[-\s]+differentiated\s+(?:invasive\s+)?squamous\s+cell\s+carcinoma)\b",
         r"\b((?:invasive\s+)?squamous\s+cell\s+carcinoma)\b",
-        rf"\b((?:invasive\s+)?adenocarcinoma(?:\s+with\s+(?:predominant\s+)?{_GROWTH}(?:\s+and\s+{_GROWTH})*\s+growth\s+pattern)?)\b",
-        rf"\b((?:invasive\s+)?adenocarcinoma(?:,\s*{_GROWTH}(?:\s+and\s+{_GROWTH})*\s+growth\s+pattern)?)\b",
+        r"\b((?:invasive\s+)?adenocarcinoma(?:\s+with\s+(?:predominant\s+)?(?:lepidic|acinar|papillary|micropapillary|solid)(?:\s+and\s+(?:lepidic|acinar|papillary|micropapillary|solid))*\s+growth\s+pattern)?)\b",
+        r"\b((?:invasive\s+)?adenocarcinoma(?:,\s*(?:lepidic|acinar|papillary|micropapillary|solid)(?:\s+and\s+(?:lepidic|acinar|papillary|micropapillary|solid))*\s+growth\s+pattern)?)\b",
         r"\b(poorly\s+differentiated\s+carcinoma)\b",
         r"\b((?:invasive\s+)?large\s+cell\s+carcinoma)\b",
     ),
     SIZE: (
-        rf"tumou?r\s+size[^\n]{{0,80}}?greatest\s+dimension{_OF_TUMOR}{_CM}\b",
-        rf"greatest\s+dimension{_OF_TUMOR}{_CM}\b",
-        rf"greatest\s+diameter{_OF_TUMOR}{_CM}\b",
-        rf"(?:size|dimension)\s+of\s+(?:invasive\s+)?(?:carcinoma|tumou?r)\s*(?:is|:|=)?\s*{_CM}\b",
+        r"tumou?r\s+size[^\n]{0,80}?greatest\s+dimension(?:\s+of\s+(?:the\s+)?tumou?r)?\s*(?:is|:|=)?\s*(\d+(?:\.\d+)?)\s*cm\b",
+        r"greatest\s+dimension(?:\s+of\s+(?:the\s+)?tumou?r)?\s*(?:is|:|=)?\s*(\d+(?:\.\d+)?)\s*cm\b",
+        r"greatest\s+diameter(?:\s+of\s+(?:the\s+)?tumou?r)?\s*(?:is|:|=)?\s*(\d+(?:\.\d+)?)\s*cm\b",
+        r"(?:size|dimension)\s+of\s+(?:invasive\s+)?(?:carcinoma|tumou?r)\s*(?:is|:|=)?\s*(\d+(?:\.\d+)?)\s*cm\b",
         r"tumou?r\s+size\s*(?:is|:|=)?\s*(\d+(?:\.\d+)?)\s*[x×]\s*\d+(?:\.\d+)?(?:\s*[x×]\s*\d+(?:\.\d+)?)?\s*cm\b",
-        rf"\b(?:tumou?r|mass|lesion|carcinoma)\s+(?:measuring|measures?|measured)\s+(?:approximately\s+|about\s+)?{_CM}\b",
-        rf"{_CM}\s*(?:in\s*)?(?:greatest\s*)?dimension\b",
-        rf"tumou?r\s+sizes?\s*(?:is|:)?\s*(?:approximately\s+|about\s+)?{_CM}\b",
-        rf"maximum\s+tumou?r\s+dimension\s*(?:is|:|measured\s+)?\s*{_CM}\b",
-        rf"(?:gross|microscopic|synoptic|narrative)\s+(?:section\s+)?records\s+{_CM}\b",
-        rf"{_CM}\s*(?:tumou?r|mass|lesion)\b",
+        r"\b(?:tumou?r|mass|lesion|carcinoma)\s+(?:measuring|measures?|measured)\s+(?:approximately\s+|about\s+)?(\d+(?:\.\d+)?)\s*cm\b",
+        r"(\d+(?:\.\d+)?)\s*cm\s*(?:in\s*)?(?:greatest\s*)?dimension\b",
+        r"tumou?r\s+sizes?\s*(?:is|:)?\s*(?:approximately\s+|about\s+)?(\d+(?:\.\d+)?)\s*cm\b",
+        r"maximum\s+tumou?r\s+dimension\s*(?:is|:|measured\s+)?\s*(\d+(?:\.\d+)?)\s*cm\b",
+        r"(?:gross|microscopic|synoptic|narrative)\s+(?:section\s+)?records\s+(\d+(?:\.\d+)?)\s*cm\b",
+        r"(\d+(?:\.\d+)?)\s*cm\s*(?:tumou?r|mass|lesion)\b",
     ),
     PT: (
         rf"\b(pT{PT_SUFFIX})\b",
@@ -80,12 +77,16 @@ OLD_BEFORE = (
     r"(?:amended|revised|changed|corrected|updated)\s+from\s*[(:]?\s*$|\b(?:previously|formerly|originally|prior)\s*[(:]?\s*$"
 )
 OLD_AFTER = r"^\s*(?:was\s+)?(?:amended|revised|changed|corrected|updated)\s+to\b"
-NOT_FOUND = r"\s+(?:is|was|are|were)\s+not\s+(?:identified|present|found|detected)\b"
 #: Negations around a candidate; VALUE stands for the quoted value.
 NEGATED_NEAR = (
-    r"\bno\s+evidence\s+of\s+VALUE\b", r"\bnegative\s+for\s+VALUE\b", r"\babsence\s+of\s+VALUE\b", r"\bwithout\s+VALUE\b",
-    r"\bnot\s+VALUE\b", r"\bVALUE" + NOT_FOUND, r"\brule[sd]?\s+out\s+VALUE\b",
-)
+    r"\bno\s+evidence\s+of\s+VALUE\b",
+    r"\bnegative\s+for\s+VALUE\b",
+    r"\babsence\s+of\s+VALUE\b",
+    r"\bwithout\s+VALUE\b",
+    r"\bnot\s+VALUE\b",
+    r"\bVALUE\s+(?:is|was|are|were)\s+not\s+(?:identified|present|found|detected)\b",
+    r"\brule[sd]?\s+out\s+VALUE\b",
+)
 NEGATED_CONCERN = r"\bconcern\s+for\s+VALUE.{0,60}?ruled\s+out\b"
 NEGATED_LOCAL = (NEGATED_NEAR[0], NEGATED_NEAR[1], NEGATED_NEAR[2], NEGATED_NEAR[4], NEGATED_NEAR[5], NEGATED_CONCERN)
 LABELS = {
@@ -94,21 +95,22 @@ LABELS = {
     PT: r"(?:pathological\s+T\s+category|pT)",
     PN: r"(?:pathological\s+N\s+category|pN)",
 }
-_REST = r"\b[^\n.]*\.?"
-NOT_DOCUMENTED = r"\bLABEL\s*(?::|is)?\s*not\s+documented" + _REST
-CANNOT_ASSIGN = (r"\bLABEL\s*(?::|is)?\s*cannot\s+be\s+assigned" + _REST, r"\bLABEL\s*(?::|is)?\s*cannot\s+be\s+assessed" + _REST)
+NOT_DOCUMENTED = r"\bLABEL\s*(?::|is)?\s*not\s+documented\b[^\n.]*\.?"
+CANNOT_ASSIGN = (
+    r"\bLABEL\s*(?::|is)?\s*cannot\s+be\s+assigned\b[^\n.]*\.?",
+    r"\bLABEL\s*(?::|is)?\s*cannot\s+be\s+assessed\b[^\n.]*\.?",
+)
 NO_TUMOR = (
-    r"\bNo\s+invasive\s+tumou?r\s+is\s+identified\s+for\s+measurement" + _REST,
-    r"\bNo\s+tumou?r\s+is\s+identified\s+for\s+measurement" + _REST,
+    r"\bNo\s+invasive\s+tumou?r\s+is\s+identified\s+for\s+measurement\b[^\n.]*\.?",
+    r"\bNo\s+tumou?r\s+is\s+identified\s+for\s+measurement\b[^\n.]*\.?",
 )
 NO_NODES = (
-    r"\bno\s+(?:regional\s+)?lymph\s+nodes?\s+(?:were\s+)?(?:submitted|identified|assessed|evaluated)" + _REST,
-    r"\bregional\s+lymph\s+nodes?\s+cannot\s+be\s+assessed" + _REST,
-    r"\bnodes?\s+cannot\s+be\s+assessed" + _REST,
+    r"\bno\s+(?:regional\s+)?lymph\s+nodes?\s+(?:were\s+)?(?:submitted|identified|assessed|evaluated)\b[^\n.]*\.?",
+    r"\bregional\s+lymph\s+nodes?\s+cannot\s+be\s+assessed\b[^\n.]*\.?",
+    r"\bnodes?\s+cannot\s+be\s+assessed\b[^\n.]*\.?",
 )
 QA_NO_NODES = (
-    r"\b(?:no\s+(?:regional\s+)?lymph\s+nodes?\s+(?:were\s+)?(?:submitted|identified|assessed|evaluated)"
-    r"|regional\s+lymph\s+nodes?\s+cannot\s+be\s+assessed)" + _REST
+    r"\b(?:no\s+(?:regional\s+)?lymph\s+nodes?\s+(?:were\s+)?(?:submitted|identified|assessed|evaluated)|regional\s+lymph\s+nodes?\s+cannot\s+be\s+assessed)\b[^\n.]*\.?"
 )
 #: Families of histologies, in the order in which they are tried.
 FAMILIES = (
