@@ -4,7 +4,9 @@ Each shard (a slice of a partition's documents, bounded in bytes) turns its word
 benchmark's vocabulary, 0 for any other word, and sorts the suffixes that can match at all, those whose first
 words are all known, into a suffix array. Every benchmark suffix is binary-searched in it for its window (10
 words, or the whole item if it has fewer); the interval found holds all occurrences. Each is then carried to its
-longest verbatim match by binary search in the benchmark's own suffix array.
+longest verbatim match in the benchmark's own suffix array, which orders whole suffixes: the interval of suffixes that
+share the words so far is narrowed by ..., 4, 2, 1 further words. `matches` lists every item that holds the longest match
+at a place, unless the match there is only the rest of one that begins before (once an item, at its first place in it).
 
 Words: A-Z lower-cased, then runs of digits, a-z and anything beyond ASCII. Documents are never shuffled; the
 benchmark is broadcast in blocks of at most BLOCK_WORDS words, one after the other, so no single object grows
@@ -18,7 +20,6 @@ like an output column are replaced.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from itertools import repeat
 
 import numpy as np
@@ -28,8 +29,6 @@ from spanforge.llm import common
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
-#: Words of a benchmark suffix that are compared when it is sorted; longer matches are carried on word by word.
-DEPTH = 64
 BITS = 21
 PER_KEY = 3
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "longest", "matches", "contaminated")
@@ -84,9 +83,27 @@ class Block:
             here[back.ravel()] = at
             high = np.stack(_keys(self.ids, here, window, length, pad), 1)
             self.windows.append((length, low, high, np.searchsorted(owners[:, 0], np.arange(len(low) + 1)), owners[:, 1], here))
-        big = self.ids.astype(">u4")
-        self.suffixes = sorted((big[q : q + min(int(n), DEPTH)].tobytes(), q) for q, n in enumerate(left) if n)
-        self.left, self.owner, self.place = left, owner, np.array(place, "int64")
+        self.owner, self.place = owner, np.array(place, "int64")
+        self._sort(int(left.max(initial=0)))
+
+    def _sort(self, most: int) -> None:
+        """`ranks`: of the 1, 2, 4, ... words from each place, up to `most`; `pairs`: the pairs of ranks behind each next rank;
+        `order`: the places, sorted by more than `most` words."""
+        rank, n, k = self.ids, len(self.ids), 1
+        self.ranks, self.pairs = [], []
+        while True:
+            self.ranks.append(rank.astype("int32"))
+            pairs, rank = np.unique(self._paired(rank, k, 0), return_inverse=True)
+            k *= 2
+            if k > most:
+                break
+            self.pairs.append(pairs)
+        self.order = np.argsort(rank.ravel(), kind="stable").astype("int32")
+
+    def _paired(self, rank: np.ndarray, k: int, beyond: int) -> np.ndarray:
+        """One key of each rank and the rank k places on."""
+        rank = rank.astype("int64").ravel()
+        return rank * (len(self.ids) + 1) + np.concatenate([rank[k:], np.full(min(k, len(rank)), beyond)])
 
     def search(self, sorted_keys: list[np.ndarray], wanted: np.ndarray, after: bool) -> np.ndarray:
         """For each wanted row of keys, how many of the sorted suffixes are less (after: or equal)."""
@@ -103,20 +120,34 @@ class Block:
             hi = np.where(open_ & ~go, mid, hi)
         return lo
 
-    def longest(self, ids: np.ndarray, at: int) -> tuple[int, int]:
-        """(length, place in the benchmark) of the longest match of the document's words from `at`, up to DEPTH."""
-        ids = ids[at : at + DEPTH]
-        stop = np.flatnonzero(ids == 0)
-        key = ids[: stop[0] if len(stop) else None].astype(">u4").tobytes()
-        i, best = bisect_left(self.suffixes, (key, -1)), (0, 0)
-        for k in (i - 1, i):
-            if 0 <= k < len(self.suffixes):
-                other, q = self.suffixes[k]
-                a, b = np.frombuffer(key, ">u4"), np.frombuffer(other, ">u4")
-                m = min(len(a), len(b))
-                differ = np.flatnonzero(a[:m] != b[:m])
-                best = max(best, (int(differ[0]) if len(differ) else m, -q))
-        return best[0], -best[1]
+    def _bound(self, rank: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
+        """Where wanted goes in each interval [lo, hi) of `order`, by the rank `size` words on (after: behind equal ones)."""
+        lo, hi, last = lo.copy(), hi.copy(), len(self.order) - 1
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            x = rank[np.minimum(self.order[np.minimum(mid, last)] + size, last)]
+            go = open_ & ((x <= wanted) if after else (x < wanted))
+            lo = np.where(go, mid + 1, lo)
+            hi = np.where(open_ & ~go, mid, hi)
+        return lo
+
+    def longest(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of `at` in a document's words (the last is 0): the words of its longest match, and the interval of
+        `order` that holds all occurrences of it."""
+        known = [np.where(ids > 0, ids, -1)]
+        for j, pairs in enumerate(self.pairs):
+            first, key = known[-1], self._paired(known[-1], 1 << j, -1)
+            second = np.concatenate([first[1 << j :], np.full(min(1 << j, len(first)), -1)])
+            i = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            known.append(np.where((first >= 0) & (second >= 0) & (pairs[i] == key), i, -1))
+        lo, hi, size = np.zeros(len(at), "int64"), np.full(len(at), len(self.order), "int64"), np.zeros(len(at), "int64")
+        for j in reversed(range(len(self.ranks))):
+            wanted = known[j][at + size]
+            a = self._bound(self.ranks[j], size, lo, hi, wanted, False)
+            b = self._bound(self.ranks[j], size, a, hi, wanted, True)
+            found = (wanted >= 0) & (a < b)
+            lo, hi, size = np.where(found, a, lo), np.where(found, b, hi), size + (found << j)
+        return size, lo, hi
 
     def occurrences(self, docs: list[list[bytes]], locate: bool):
         """hits (bool for each word of all documents), {(document, item name)}, matches by document."""
@@ -126,7 +157,7 @@ class Block:
         get = self.vocabulary.get
         for s, d in zip(start.tolist(), docs):
             ids[s : s + len(d)] = np.fromiter(map(get, d, repeat(0)), "int64", len(d))
-        mark, pairs, begins = np.zeros(len(ids) + 1, "int64"), set(), []
+        mark, pairs, begins, short = np.zeros(len(ids) + 1, "int64"), set(), [], {}
         known = np.cumsum(ids > 0)
         for length, low, high, owned, owners, here in self.windows:
             run = known[length - 1 :] - np.concatenate([[0], known[: len(known) - length]])
@@ -141,24 +172,33 @@ class Block:
                 found = array[lo[w] : hi[w]]
                 np.add.at(mark, found, 1)
                 np.add.at(mark, found + length, -1)
-                begins += [(p, length, int(here[w])) for p in found.tolist()] if locate else []
+                if length == self.window:
+                    begins.append(found)
+                elif locate:
+                    short.update((p, (length, owners[owned[w] : owned[w + 1]])) for p in found.tolist() if p not in short or short[p][0] < length)
                 for d in np.unique(np.searchsorted(start, found, side="right") - 1).tolist():
                     pairs.update((d, self.names[o]) for o in owners[owned[w] : owned[w + 1]].tolist())
-        matches: dict[int, list] = {}
+        hit, spans = np.cumsum(mark[:-1]) > 0, []
         if locate and begins:
-            last, best = (-2, 0), {}
-            for p, n, q in begins:
-                best[p] = max(best.get(p, (0, 0)), (n, q))
-            for p, (n, q) in sorted(best.items()):
-                if n == self.window:
-                    n, q = self.longest(ids, p)
-                    while self.left[q] > n and ids[p + n] == self.ids[q + n]:
-                        n += 1
-                if not (last[0] == p - 1 and last[1] == n + 1):  # else it is the rest of the match before
-                    d = int(np.searchsorted(start, p, side="right") - 1)
-                    matches.setdefault(d, []).append((p - int(start[d]), n, self.names[self.owner[q]], int(self.place[q])))
-                last = (p, n)
-        return np.cumsum(mark[:-1]) > 0, start, pairs, matches
+            at = np.unique(np.concatenate(begins))
+            keep = hit | np.concatenate([[False], hit[:-1]])  # matches lie in the words that are hit; one 0 after each run
+            size, lo, hi = self.longest(np.where(hit, ids, 0)[keep], (np.cumsum(keep) - 1)[at])
+            rest = np.zeros(len(at), bool)
+            rest[1:] = (at[1:] == at[:-1] + 1) & (size[1:] == size[:-1] - 1) & ((hi - lo)[1:] == (hi - lo)[:-1])
+            for i in np.flatnonzero(~rest).tolist():
+                p, q = int(at[i]), np.sort(self.order[lo[i] : hi[i]])
+                if p and ids[p - 1]:  # an occurrence that goes on to the left is listed there
+                    q = q[(q == 0) | (self.ids[q - 1] != ids[p - 1])]
+                owner, first = np.unique(self.owner[q], return_index=True)
+                spans += [(p, int(size[i]), self.names[o], int(x)) for o, x in zip(owner.tolist(), self.place[q[first]])]
+            for p in at.tolist():
+                short.pop(p, None)
+        spans += [(p, n, self.names[o], 0) for p, (n, owners) in short.items() for o in owners.tolist()]
+        matches: dict[int, list] = {}
+        for p, *x in sorted(spans):
+            d = int(np.searchsorted(start, p, side="right") - 1)
+            matches.setdefault(d, []).append((p - int(start[d]), *x))
+        return hit, start, pairs, matches
 
 
 def blocks(benchmark: DataFrame, window: int = WINDOW) -> list:

@@ -50,6 +50,19 @@ def test_suffix_arrays_equal_brute_force(spark, monkeypatch, seed):
     assert kept == {d for d, _ in docs if not got[d]["contaminated"]}
 
 
+def test_items_that_share_more_than_a_sorted_prefix():
+    shared, a, b = ([f"{k}{i}" for i in range(n)] for k, n in (("s", 500), ("a", 90), ("b", 300)))
+    items = [("A", shared), ("B", shared + b), ("C", shared[100:] + a), ("D", shared[:400])]
+    items = [(name, [w.encode() for w in ws]) for name, ws in items]
+    docs = [" ".join(shared + b), "x " + " ".join(shared), " ".join(shared[50:] + a), " ".join(b[-1:] + shared[:200] + ["y"])]
+    got = decontam.judged(docs, [decontam.Block(items, 10)])
+    assert [r[4] for r in got] == [brute_hits(t, [(n, b" ".join(w).decode()) for n, w in items])[3] for t in docs] == [800, 500, 490, 200]
+    assert [r[5] for r in got] == [
+        [(0, 800, "B", 0)], [(1, 500, "A", 0), (1, 500, "B", 0), (101, 400, "C", 0)],
+        [(0, 450, "A", 50), (0, 450, "B", 50), (50, 490, "C", 0)], [(1, 200, "A", 0), (1, 200, "B", 0), (1, 200, "D", 0), (101, 100, "C", 0)],
+    ]
+
+
 def test_mix_meets_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.curriculum(docs.select("doc_id", "source", "text")).collect()
