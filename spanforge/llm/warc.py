@@ -10,13 +10,21 @@ and the payload digest. After a failed check it searches for the next gzip membe
 version line) that passes, goes on there, and logs the bytes between as a quarantined gap with the reason. Nothing
 in a gap is returned as a record; every byte of an archive lies in a record, a separator or a gap.
 
+Members are inflated in pieces, so they may be of any size and hold any number of records. After a record in a member that
+fails, the search goes on at the next version line of what was inflated; such a gap has the member's start and stop, and
+inner_start and inner_stop say where it lies in the inflated bytes (as they do for every record of a member). If the stream
+itself breaks, the complete records before the break count if it was cut off; if it is damaged (deflate, CRC), those count
+whose own digest is right, and the rest is a gap. A member without any sound record is one gap, and so is a broken one that
+is a single record: the member's checks are the record's own there.
+
 Defined cases: null payload: empty payload. Null id: after all others; such rows get no revisits pointing at them
 unless all ids of their payload are null, then all are responses. Rows with the smallest id of their payload are all
 responses, also if repeated. Null url: no target URI. Control characters in urls are percent-encoded. Empty table: no
 archives, no records. Columns beyond id, url and payload are ignored.
 
 Scale: one shuffle of payloads by digest (a hot digest is split by the adaptive skew join, since its other side is one
-row); archives hold at most RECORDS records of one task, and the reader holds one archive at a time.
+row); archives hold at most RECORDS records of one task, and the reader holds one archive and one record at a time.
+Spark's binary type holds less than 2 GB: larger payloads and archive files cannot be rows.
 """
 
 from __future__ import annotations
@@ -36,8 +44,10 @@ from spanforge.llm import common
 #: A fixed date: the same rows give the same archives.
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = 2000
-#: A record that inflates beyond this fails its check instead of filling the worker's memory.
-MOST_BYTES = 1 << 28
+#: Bytes of a member that go into or come out of the inflater at a time, and those that are kept while its end is looked for.
+FEED = 1 << 16
+PIECE = 1 << 20
+KEEP = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:x-row:"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000 0000".replace(" ", ""))
@@ -46,7 +56,7 @@ VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 END = re.compile(rb"\r?\n\r?\n")
 SCHEMA = (
     "archive string, start long, stop long, kind string, reason string, record_id string, record_type string, target_uri string, "
-    "refers_to string, payload_digest string, payload_bytes long, payload binary"
+    "refers_to string, payload_digest string, payload_bytes long, payload binary, inner_start long, inner_stop long"
 )
 
 
@@ -77,15 +87,19 @@ def record(row_id: str, url: str | None, payload: bytes, refers_to: str | None)
 
 
 class Bad(Exception):
-    """A check that failed."""
+    """A check that failed; need: with bytes up to there, if they exist, it could pass."""
+
+    def __init__(self, reason: str, need: int = 0):
+        super().__init__(reason)
+        self.need = need
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record at a place of uncompressed bytes and where it ends; Bad if a check fails."""
+def parse(data: bytes | bytearray, at: int = 0) -> tuple[dict, int]:
+    """The record at a place of uncompressed bytes and where it ends; Bad if a check fails. proved: a digest was checked."""
     if not (m := VERSION.match(data, at)):
-        raise Bad("version")
+        raise Bad("version", at + 10)
     if not (e := END.search(data, m.end() - 1)):
-        raise Bad("headers")
+        raise Bad("headers", 2 * len(data))
     head = {}
     for line in data[m.end() : e.start()].splitlines():
         name, colon, value = line.partition(b":")
@@ -96,16 +110,17 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     if not length.isdigit():
         raise Bad("length")
     stop = e.end() + int(length)
-    block = data[e.end() : stop]
-    if len(block) < int(length):
-        raise Bad("truncated")
-    if not (end := re.compile(rb"\r?\n\r?\n").match(data, stop)):
-        raise Bad("end")
+    if len(data) < stop:
+        raise Bad("truncated", stop)
+    block = bytes(data[e.end() : stop])
+    if not (end := END.match(data, stop)):
+        raise Bad("end", stop + 4)
     if (want := head.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != digest(block):
         raise Bad("block digest")
     kind, want = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:")
     out = {"record_type": kind, "record_id": head.get("warc-record-id", "").strip("<>"), "target_uri": head.get("warc-target-uri"), "payload": None,
-           "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None, "payload_digest": want or None, "payload_bytes": None}
+           "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None, "payload_digest": want or None, "payload_bytes": None,
+           "proved": head.get("warc-block-digest", "").startswith("sha1:")}
     if head.get("content-type", "").startswith("application/http") and (h := END.search(block)):
         n = re.search(rb"(?im)^content-length:[ \t]*(\d+)", block[: h.start()])
         if kind == "revisit":
@@ -116,41 +131,145 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
                 raise Bad("payload length")
             if want and want != digest(payload):
                 raise Bad("payload digest")
-            out |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest(payload)}
+            out |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": digest(payload), "proved": out["proved"] or bool(want)}
     return out, end.end()
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """What the gzip member at a place holds and where it ends."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:], MOST_BYTES)
-    except zlib.error as e:
-        raise Bad("deflate") from e
-    if not z.eof:
-        raise Bad("too large" if z.unconsumed_tail else "truncated")
-    return out, len(data) - len(z.unused_data)
-
-
-def _member(data: bytes, at: int) -> tuple[list[dict], int]:
-    out, stop = inflate(data, at)
-    found, p = [], 0
-    while p < len(out):
-        r, p = parse(out, p)
-        found.append(r)
-    return found, stop
-
+class Member:
+    """The gzip member at a place: its size inflated, where it ends, and why it breaks (None: it is whole and its CRC right)."""
 
-def _plain(data: bytes, at: int) -> tuple[list[dict], int]:
-    r, stop = parse(data, at)
-    return [r], stop
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.stop, self.reason = data, at, None, None
+        self._start()
+        kept, self.size = bytearray(), 0
+        while out := self._pull():
+            self.size += len(out)
+            if self.size <= KEEP:
+                kept += out
+        if self.size <= KEEP:
+            self.held = kept
+        else:
+            self._start()
+
+    def _start(self) -> None:
+        self.z, self.fed, self.tail, self.over = zlib.decompressobj(31), self.at, b"", False
+        self.held, self.base = bytearray(), 0  # inflated bytes that are held, and the place of the first
+
+    def _pull(self) -> bytes:
+        """The next inflated bytes; none after the last."""
+        while not self.over:
+            piece = self.tail or self.data[self.fed : self.fed + FEED]
+            self.fed += 0 if self.tail else len(piece)
+            before = self.z.copy()
+            try:
+                out = self.z.decompress(piece, PIECE)
+            except zlib.error:
+                self.over, self.reason = True, "deflate"
+                return self._rest(before, piece)
+            self.tail = self.z.unconsumed_tail
+            if self.z.eof:
+                self.over, self.stop = True, self.fed - len(self.z.unused_data)
+            elif not piece and not out:
+                self.over, self.reason = True, "truncated"
+            if out:
+                return out
+        return b""
+
+    @staticmethod
+    def _rest(z, piece: bytes) -> bytes:
+        """What can be inflated up to an error: a call that fails returns nothing, so each byte is a call of its own."""
+        out = bytearray()
+        try:
+            for i in range(len(piece)):
+                out += z.decompress(piece[i : i + 1])
+        except zlib.error:
+            pass
+        return bytes(out)
+
+    def _upto(self, place: int) -> None:
+        while self.base + len(self.held) < place and (out := self._pull()):
+            self.held += out
+
+    def record(self, at: int) -> tuple[dict, int]:
+        """The record at a place of the inflated bytes and where it ends; what is before it is let go."""
+        del self.held[: at - self.base]
+        self.base, want = at, at + PIECE
+        while True:
+            self._upto(want)
+            try:
+                r, stop = parse(self.held)
+                return r, at + stop
+            except Bad as e:
+                want, have = at + e.need, at + len(self.held)
+                if want <= have or have >= self.size or (str(e) == "truncated" and want > self.size):
+                    raise
+
+    def version(self, start: int) -> int:
+        """The next version line at or after a place of the inflated bytes, or the size."""
+        while start < self.size:
+            self._upto(start + PIECE)
+            if m := VERSION.search(self.held, start - self.base):
+                return self.base + m.start()
+            end = self.base + len(self.held)
+            if end >= self.size:
+                break
+            start = max(start, end - 9)  # a version line may go on in the next piece
+            del self.held[: start - self.base]
+            self.base = start
+        return self.size
+
+    def walk(self) -> Iterator[dict]:
+        """Records and gaps of the inflated bytes in order."""
+        at, bad, reason, broken = 0, None, None, self.reason
+        while at < self.size:
+            try:
+                r, stop = self.record(at)
+                if broken == "deflate" and not r["proved"]:
+                    raise Bad(broken)
+            except Bad as e:
+                bad, reason = (at, str(e)) if bad is None else (bad, reason)
+                at = self.version(at + 1)
+                continue
+            if bad is not None:
+                yield {"kind": "gap", "reason": reason, "inner_start": bad, "inner_stop": at}
+                bad = None
+            yield r | {"kind": "record", "reason": None, "inner_start": at, "inner_stop": stop}
+            at = stop
+        if bad is not None or broken:
+            yield {"kind": "gap", "reason": broken or reason, "inner_start": at if bad is None else bad, "inner_stop": at}
+
+
+def _zipped(data: bytes, at: int, after) -> Iterator[dict]:
+    """Records and gaps of the member at a place; where it ends, or after() if it breaks, is their stop."""
+    member = Member(data, at)
+    stop = after() if member.reason else member.stop
+    place, early, reason = {"start": at, "stop": stop}, [], member.reason
+    events = member.walk()
+    for event in events:
+        if event["kind"] == "record" and not (member.reason and event["inner_stop"] - event["inner_start"] == member.size):
+            yield from [x | place for x in (*early, event)]
+            yield from (x | place for x in events)
+            return
+        early.append(event)
+    if early or reason:
+        yield {"kind": "gap", "reason": reason or early[0]["reason"]} | place
+    elif not member.size:
+        yield {"kind": "separator"} | place
+
+
+def _plain(data: bytes, at: int, after) -> Iterator[dict]:
+    try:
+        r, stop = parse(data, at)
+        yield r | {"kind": "record", "start": at, "stop": stop, "reason": None}
+    except Bad as e:
+        yield {"kind": "gap", "start": at, "stop": after(), "reason": str(e)}
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of an archive in order; gaps have kind 'gap' and the check that failed first."""
     at, n = 0, len(data)
     zipped = data.startswith(MAGIC) or (MAGIC in data and not VERSION.search(data))
-    read = _member if zipped else _plain
+    read = _zipped if zipped else _plain
 
     def candidates(start: int) -> Iterator[int]:
         while True:
@@ -164,22 +283,16 @@ def salvage(data: bytes) -> Iterator[dict]:
             yield p
             start = p + 1
 
+    def after() -> int:
+        """The next place behind `at` with a sound record or a separator."""
+        return next((p for p in candidates(at + 1) if any(x["kind"] != "gap" for x in read(data, p, lambda: n))), n)
+
     while at < n:
-        try:
-            found, stop = read(data, at)
-        except Bad as e:
-            reason, found, stop, bad = str(e), [], n, at
-            for p in candidates(at + 1):
-                try:
-                    read(data, p)
-                except Bad:
-                    continue
-                stop = p
-                break
-            yield {"kind": "gap", "start": bad, "stop": stop, "reason": reason}
-        else:
-            for r in found:
-                yield r | {"kind": "record", "start": at, "stop": stop, "reason": None}
+        stop = n
+        for r in read(data, at, after):
+            stop = r["stop"]
+            if r["kind"] != "separator":
+                yield r
         at = stop
 
 

@@ -1,4 +1,6 @@
 import gzip
+import hashlib
+import os
 
 import pytest
 
@@ -91,3 +93,40 @@ def test_threshold_keeps_small_payloads(spark, tmp_path):
     kinds = {r["record_id"]: r["record_type"] for r in warc.read(spark, f"{tmp_path}/w").collect()}
     assert kinds == {warc.ID + "1": "response", warc.ID + "2": "response", warc.ID + "3": "response", warc.ID + "4": "revisit"}
     assert common.LOCAL_CHECKPOINTS
+
+
+@pytest.mark.parametrize("where", range(6))
+def test_failed_record_inside_a_member_costs_only_itself(where):
+    parts = build(zipped=False)
+    parts[where] = parts[where].replace(f"payload {where}".encode(), b"payload X", 1)
+    data = warc.member(b"".join(build(2, zipped=False))) + warc.member(b"".join(parts))
+    found = list(warc.salvage(data))
+    assert ids(found) == ["0", "1"] + [str(i) for i in range(6) if i != where]
+    before = sum(map(len, parts[:where]))
+    assert [(r["inner_start"], r["inner_stop"], r["reason"]) for r in found if r["kind"] == "gap"] == [(before, before + len(parts[where]), "block digest")]
+    assert found[-1]["stop"] == len(data)
+
+
+def test_broken_member_keeps_the_records_that_are_sound():
+    noise = [hashlib.sha512(str(i).encode()).hexdigest().encode() * 40 + os.urandom(3000) for i in range(6)]
+    parts = [warc.record(str(i), None, p, None) for i, p in enumerate(noise)]
+    whole, last = warc.member(b"".join(parts)), warc.member(parts[0])
+    cut = list(warc.salvage(whole[:-2000] + last))
+    assert ids(cut) == ["0", "1", "2", "3", "4", "0"] and [r["kind"] for r in cut].count("gap") == 1
+    crc = bytearray(whole)
+    crc[-8] ^= 1
+    found = list(warc.salvage(bytes(crc) + last))
+    assert ids(found) == [*"012345", "0"] and [r["reason"] for r in found if r["kind"] == "gap"] == ["deflate"]
+    assert found[0]["stop"] == found[-1]["start"] == len(whole)
+    plain = b"WARC/1.0\r\nWARC-Record-ID: <urn:x-row:9>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    bad = bytearray(warc.member(plain + parts[0]))
+    bad[-8] ^= 1
+    assert ids(warc.salvage(bytes(bad))) == ["0"]  # without a digest nothing proves a record of a damaged stream
+
+
+def test_members_beyond_256_mb():
+    big = bytes(1 << 20) * 260
+    parts = [warc.record("1", None, b"a", None), warc.record("2", None, big, None), warc.record("3", None, b"b", None)]
+    data = warc.member(b"".join(parts))
+    found = [(r["record_id"][-1], r["payload_bytes"], r["stop"]) for r in warc.salvage(data)]
+    assert found == [("1", 1, len(data)), ("2", len(big), len(data)), ("3", 1, len(data))]
