@@ -268,6 +268,21 @@ def page_lookup(spark, table):
     return pages.located(offsets, rows)
 
 
+@query(f"""
+with p as (select *, coalesce(sum(length(text) + 2) over (partition by document_id order by page_number rows between unbounded preceding and 1 preceding), 0)::bigint as start from ({_PAGES}) q where not excluded_as_blank),
+o as (select document_id, unnest(range(0, max(start + length(text)) + 1, 50)) as off from p group by 1
+  union select document_id, unnest([start, start + length(text) // 2, start + length(text) - 1, start + length(text), start + length(text) + 1]) from p)
+select o.document_id, o.off as "offset", p.page_number from o left join p on p.document_id = o.document_id and p.start <= o.off and o.off < p.start + length(p.text) where o.off >= 0
+""")
+def page_lookup_whole(spark, table):
+    # page_lookup's offsets end at 950, as its SQL has them; these go to the end: steps of 50, each page's first, middle and last character, and the gaps.
+    rows = pages.ranges(page_rows(spark, table))
+    start, stop = F.col("start").cast("long"), F.col("stop").cast("long")
+    steps = rows.groupBy("document_id").agg(F.max(stop).alias("stop")).select("document_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stop"), F.lit(50).cast("long"))).alias("offset"))
+    marks = rows.select("document_id", F.explode(F.array(start, start + F.floor((stop - start) / 2), stop - 1, stop, stop + 1)).alias("offset"))
+    return pages.located(steps.union(marks).where("offset >= 0").distinct(), rows)
+
+
 @query(f"""
 with p as ({_PAGES}), s as (select document_id, string_agg(case when not excluded_as_blank and label = 'Poor' then page_number::varchar end, ', ' order by page_number) as poor,
   string_agg(case when not excluded_as_blank and label = 'Review recommended' then page_number::varchar end, ', ' order by page_number) as review from p group by 1)
