@@ -5,8 +5,9 @@ words, so no language is preferred). A document's worth is linear in its feature
 over a bad one) are fitted by logistic loss on the difference of their features. The threshold is the quantile of the
 training scores that leaves as large a share below it as bad labels have; a logistic curve around it gives the score.
 
-The model is fitted on at most about ROWS labelled texts of either label, picked by a hash, and PAIRS pairs of them (the
-documented bounds). Scoring reads every whole text.
+The weights are fitted on at most about ROWS labelled texts of either label, picked by a hash, and PAIRS pairs of them (the
+documented bounds). The quantile is exact over the scores of all labelled training texts: histograms narrow it down to a
+range of at most RANGE_ROWS scores (or one value). Scoring reads every whole text.
 
 Defined cases: null text: like the empty text, which has a score too. Rows without label, or with contradictory labels,
 are not learned from. One label only, or none: every score is 0.5. Null doc_id: scored, never held out. Repeated rows:
@@ -25,6 +26,8 @@ from spanforge.llm import common
 
 ROWS = 4000
 PAIRS = 20_000
+RANGE_ROWS = 50_000
+RANGE_BINS = 4096
 BINS = 512
 DECAY = 1e-3
 STEPS = 300
@@ -74,6 +77,10 @@ class Model:
     def __init__(self, mean, scale, weights, threshold: float):
         self.mean, self.scale, self.weights, self.threshold = mean, scale, weights, threshold
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """The worth of each row of features, the same whatever rows stand beside it."""
+        return (np.clip((x - self.mean) / self.scale, -8, 8) * self.weights).sum(1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1 for each row of features; 0.5 at the threshold."""
         z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights - self.threshold
@@ -126,12 +133,64 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = np.clip((x - mean) / scale, -8, 8)
     w = bradley_terry(z[y == 1], z[y == 0])
-    raw = z @ w
-    weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
-    rank = np.argsort(raw, kind="stable")
-    below = np.cumsum(weight[rank]) / weight.sum()
-    cut = min(int(np.searchsorted(below, n[0] / (n[0] + n[1]))), len(rank) - 2)
-    return Model(mean, scale, w, float((raw[rank[cut]] + raw[rank[cut + 1]]) / 2))
+    model = Model(mean, scale, w, 0.0)
+    model.threshold = threshold(labelled(docs, usable, model), n)
+    return model
+
+
+def labelled(docs: DataFrame, usable: DataFrame, model: Model) -> DataFrame:
+    """(quality, raw) of every text that usable (doc_id, quality) labels; texts are scored where they are, and not shuffled."""
+    import pyarrow as pa
+
+    shared = common.share(docs.sparkSession, model)
+    rows = docs.select("doc_id", "text").where("doc_id is not null")
+
+    def run(batches):
+        m = common.opened(shared)
+        for batch in batches:
+            for part in common.slices(batch):
+                x = np.stack([features(t) for t in part.column(1).to_pylist()]).astype("float64")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.raw(x), pa.float64())], names=["doc_id", "raw"])
+
+    raws = rows.mapInArrow(run, common.add_columns(rows.select("doc_id").schema, raw="double"))
+    return common.stored(raws.join(usable, "doc_id").select("quality", "raw"), "quality-raw")
+
+
+def threshold(rows: DataFrame, n: dict[int, int]) -> float:
+    """Between the last of the sorted scores that make up the share of bad labels, and the next. rows (quality, raw) hold both
+    labels; each label's rows weigh together as much as its n."""
+    sums = [F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"), F.min("raw").alias("low"), F.max("raw").alias("high")]
+    whole = rows.agg(*sums).first()
+    weight = (n[0] / whole["bad"], n[1] / whole["good"])
+    weigh = lambda bad, good: bad * weight[0] + good * weight[1]
+    here, (bad, good) = whole, (0, 0)  # the range that holds the quantile, and what is below it
+    within = lambda r: rows.where((F.col("raw") >= r["low"]) & (F.col("raw") <= r["high"]))
+    while here["bad"] + here["good"] > RANGE_ROWS and here["low"] < here["high"]:
+        bin_ = F.least(F.floor((F.col("raw") - here["low"]) / F.lit((here["high"] - here["low"]) / RANGE_BINS)), F.lit(RANGE_BINS - 1))
+        for part in sorted(within(here).groupBy(bin_.alias("bin")).agg(*sums).collect(), key=lambda r: r["low"]):
+            here = part
+            if weigh(bad + part["bad"], good + part["good"]) >= n[0]:
+                break
+            bad, good = bad + part["bad"], good + part["good"]
+        else:
+            bad, good = bad - here["bad"], good - here["good"]  # rounding only: the last one
+    found = within(here).groupBy("raw", "quality").agg(F.count("*").alias("n")).collect()
+    at = here["high"]
+    for r in sorted(found, key=lambda r: (r["raw"], r["quality"])):
+        one = ((1, 0), (0, 1))[r["quality"]]
+        at, need = r["raw"], (n[0] - weigh(bad, good)) / weight[r["quality"]]
+        last = max(1, int(np.ceil(need)))  # the row of these equal ones that makes up the share
+        if last <= r["n"]:
+            more = r["n"] > last or any(x["raw"] == at and x["quality"] > r["quality"] for x in found)
+            break
+        bad, good = bad + one[0] * r["n"], good + one[1] * r["n"]
+    else:
+        more = False
+    if more:
+        return float(at)
+    above, below, same = rows.agg(F.min(F.when(F.col("raw") > at, F.col("raw"))), F.max(F.when(F.col("raw") < at, F.col("raw"))), F.count_if(F.col("raw") == at)).first()
+    other = above if above is not None else at if same > 1 or below is None else below
+    return float((at + other) / 2)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.llm import langid, quality
@@ -58,3 +59,26 @@ def test_bradley_terry_orders_separable_items():
     good, bad = draw.normal(1, 1, (200, 3)), draw.normal(-1, 1, (200, 3))
     w = quality.bradley_terry(good, bad)
     assert (w > 0).all() and np.mean((good @ w)[:, None] > (bad @ w)[None, :]) > 0.98
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_threshold_is_the_quantile_of_all_rows(spark, monkeypatch, tied):
+    monkeypatch.setattr(quality, "RANGE_ROWS", 5)
+    monkeypatch.setattr(quality, "RANGE_BINS", 7)
+    draw = np.random.default_rng(5)
+    y = (np.arange(400) % 3 == 0).astype(int)
+    raw = np.sort(draw.integers(0, 6, 400).astype(float) if tied else draw.normal(size=400) ** 5)
+    n = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
+    rows = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, raw)], "quality int, raw double")
+    assert quality.threshold(rows, n) == (raw[n[0] - 1] + raw[n[0]]) / 2
+
+
+def test_sample_size_leaves_the_threshold_at_the_share_of_bad_labels(spark):
+    docs = spark.createDataFrame([(i, "Some words of prose, and more. " * (1 + i % 37) + "$#@ " * (i * i % 23)) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i * 7919 % 10 < 4)) for i in range(900)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, 40)
+    usable = labels.where(~quality.common.held_out())
+    rows = quality.scored(docs.join(usable, "doc_id"), model).toPandas()
+    x = np.stack([quality.features(t) for t in rows["text"]]).astype("float64")
+    raw = (np.clip((x - model.mean) / model.scale, -8, 8) * model.weights).sum(1)
+    assert (raw < model.threshold).sum() <= (rows["quality"] == 0).sum() <= (raw <= model.threshold).sum()
