@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -386,8 +388,11 @@ def reviewed_export(spark, table):
 
 @query()
 def status_model(spark, table):
-    rows = model.training(gold(spark, table), texts(spark, table)).where(F.col("variable_name") == P.PN)
-    return model.predicted(model.fit(rows.drop("variable_name"), 30), texts(spark, table)).select("report_id", "label", F.round("confidence", 4).alias("confidence"))
+    rows, found = model.training(gold(spark, table), texts(spark, table)), []
+    for v in P.VARIABLES:
+        fitted = model.fit(rows.where(F.col("variable_name") == v).drop("variable_name"))
+        found.append(model.predicted(fitted, texts(spark, table)).select("report_id", F.lit(v).alias("variable_name"), "label", F.round("confidence", 4).alias("confidence")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def queries() -> dict:
