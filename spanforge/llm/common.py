@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +43,51 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A new folder below the shared one for an operator's intermediate tables; `drop` deletes it when they have been read."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.path, self.n = spark, shared_path(spark, what), 0
+
+    def stored(self, df: DataFrame, what: str, texts: bool = False) -> DataFrame:
+        """Like the function `stored`, in this folder. texts: workers get whole texts, so in small batches."""
+        self.n += 1
+        path = f"{self.path}/{self.n}-{what}"
+        with small_batches(self.spark) if texts else nullcontext():
+            df.write.mode("error").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows that go to a Python worker at a time where they carry whole texts.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_ROWS rows for what runs inside: the JVM and the worker each hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def named(column: str) -> Column:
+    """The top-level column of this very name, also if it holds dots or backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names: an operator's own outputs win over clashing inputs."""
     taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    return df.select(*[named(c) for c in df.columns if c.lower() not in taken])
 
 
 #: Words of the size counts and of shingles: runs of anything but ASCII white space.

@@ -56,9 +56,10 @@ def _star(both: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long) -> (node, component): the smallest node reachable, for every node that has an edge."""
-    e = common.stored(edges.where("a is not null and b is not null and a <> b").mapInPandas(_contract, "a long, b long").distinct(), "edges")
+def components(edges: DataFrame, work: common.Scratch | None = None) -> DataFrame:
+    """edges (a long, b long) -> (node, component): the smallest node reachable, for every node that has an edge. work: where the edges go."""
+    work = work or common.Scratch(edges.sparkSession, "components")
+    e = work.stored(edges.where("a is not null and b is not null and a <> b").mapInPandas(_contract, "a long, b long").distinct(), "edges")
     before = None
     for _ in range(MOST_ROUNDS):
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head())
@@ -67,7 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(both, True)
-        e = common.stored(_star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "edges")
+        e = work.stored(_star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "edges")
     else:
         raise RuntimeError(f"components are not stable after {MOST_ROUNDS} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -8,11 +8,17 @@ a pair of frequent tokens. So single rare tokens and pairs of frequent tokens of
 classes grows with the set size (bands of powers of two; a set is indexed in its own band and in that of the smallest
 set that it can link with), so pairs stay in proportion to the size.
 
-Texts with equal sets are one vertex. Buckets of the index up to SMALL give candidate pairs, less those whose sketches
-differ too much; larger buckets (near copies in great number) keep their members. Candidates that hang together form
-clusters, whose whole sets are verified block against block inside the workers, which give back a spanning forest only; a
-cluster that is much sparser than its candidates is verified pair by pair and bucket by bucket instead. So no link is lost,
-and no group's pairs are written out. Connected components of the links are the result.
+Texts with equal sets are one vertex, by 128 bits of a digest. Buckets of the index up to SMALL give candidate pairs, less
+those whose sketches differ too much; larger buckets (near copies in great number) keep their members. Candidates that hang
+together form clusters, whose whole sets are verified inside the workers, which give back a spanning forest only; a cluster
+that is much sparser than its candidates is verified pair by pair and bucket by bucket instead. A group too large for one
+block is first verified against a few pivots, block by block; what is connected then is not compared again, only the rest
+with all others. So no link is lost, and no group's pairs are written out. Candidates travel as compressed text, from which
+the sets are made where they are compared. Connected components of the links are the result.
+
+Frequent tokens: each worker counts COUNTED tokens at a time and passes on those that come twice, and of the others every
+SAMPLED-th, so a token spread thinly over all workers is found too. The FREQUENT_MOST most frequent are broadcast. What
+is taken for rare although it is not costs time only, never a link.
 
 Defined cases: null or empty text, or one of white space: size 0, linked with nothing, its own component. Fewer words than
 the width: the whole sequence is the one shingle. Null doc_id: takes part; a component of such rows only has a null id.
@@ -25,6 +31,7 @@ of the threshold, the filter of documents that are needed again has a fixed size
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -36,12 +43,14 @@ from spanforge.llm.components import components, forest
 
 WIDTH = 5
 PERCENT = 80
-#: A token is frequent from so many texts; at most so many tokens are (the threshold rises with the corpus).
+#: A token is frequent from so many texts; at most so many tokens are, the most frequent ones.
 FREQUENT = 4
-FREQUENT_MOST = 1_000_000
-#: Tokens that a worker counts at a time, and how often one must occur among them to be passed on.
-COUNTED = 4_000_000
+FREQUENT_MOST = 2_000_000
+#: Tokens that a worker counts at a time, how often one must occur among them to be passed on, and the share of the others
+#: (one in so many) that is passed on as well; two of these make a token frequent.
+COUNTED = 2_000_000
 COUNTED_LEAST = 2
+SAMPLED = 256
 #: Buckets up to this size give pairs; larger ones are verified in blocks of so many sets and tokens.
 SMALL = 24
 BLOCK_ROWS = 1024
@@ -77,9 +86,10 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-def set_id(s: np.ndarray) -> int:
-    """64 bits (signed) that stand for a set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers of 64 bits (signed) that stand for a set."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -92,7 +102,7 @@ class Order:
 
     def __init__(self, tokens: np.ndarray):
         """tokens: from the least to the most frequent."""
-        self.rank = np.argsort(tokens, kind="stable")
+        self.rank = np.argsort(tokens, kind="stable").astype("int32")
         self.tokens = tokens[self.rank]
 
     def split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +130,12 @@ def signatures(s: np.ndarray, order: Order, percent: int) -> np.ndarray:
         return s
     need = n + (-n * percent // 100) + 1  # n - ceil(t * n) + 1
     rare, frequent = order.split(s)
-    out = []
-    for band in bands(n, percent):
+    out, rest = [_mixed(rare[:need])], need - len(rare)
+    for band in bands(n, percent) if rest > 0 else ():
         salt = np.uint64(band + 1)
-        singles, rest = rare[:need], need - len(rare)
-        if rest > 0 and not (c := classes(band)):
-            singles, rest = np.concatenate([singles, frequent[:rest]]), 0
-        out.append(_mixed(singles ^ _mixed(np.full(1, salt))[0]))
-        if rest > 0:
+        if not (c := classes(band)):
+            out.append(_mixed(frequent[:rest] ^ _mixed(np.full(1, salt))[0]))
+        else:
             kind = (frequent >> np.uint64(20)) % np.uint64(c)
             again = np.ones(len(frequent), bool)
             again[np.unique(kind, return_index=True)[1]] = False
@@ -139,13 +147,13 @@ def signatures(s: np.ndarray, order: Order, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _sets(batches, width: int, wanted=lambda doc_id: True):
-    """(doc_id, set) of each row of some Arrow batches."""
+def _sets(batches, width: int):
+    """((doc_id, tag), set) of each row of some Arrow batches (doc_id, text, tag)."""
     for batch in batches:
         for part in common.slices(batch):
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if wanted(doc_id):
-                    yield doc_id, shingles(text, width)
+            doc_ids, texts, tags = (part.column(i).to_pylist() for i in range(3))
+            for doc_id, text, tag in zip(doc_ids, texts, tags):
+                yield (doc_id, tag), shingles(text, width)
 
 
 def frequent_tokens(docs: DataFrame, width: int) -> Order:
@@ -153,54 +161,73 @@ def frequent_tokens(docs: DataFrame, width: int) -> Order:
     import pyarrow as pa
 
     def count(batches):
-        held, size, seen = [], 0, set()
+        held, size, seen, turn = [], 0, set(), 0
 
         def counted():
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= COUNTED_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view("int64")), pa.array(n[often].astype("int64"))], names=["token", "n"])
+            once = n < COUNTED_LEAST
+            drawn = once & (_mixed(token + np.uint64(turn)) % np.uint64(SAMPLED) == 0)
+            keep = ~once | drawn
+            token, n, drawn = token[keep], np.where(once, 0, n)[keep], drawn[keep]
+            for i in range(0, len(token), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(token[part].view("int64")), pa.array(n[part].astype("int64")), pa.array(drawn[part].astype("int64"))], names=["token", "n", "drawn"])
 
         for _, s in _sets(batches, width):
-            if len(s) and (key := set_id(s)) not in seen:
+            if len(s) and (key := set_id(s)[0]) not in seen:
+                if not turn:
+                    turn = key & ((1 << 63) - 1)
                 seen.add(key)
                 held.append(s)
                 size += len(s)
                 if size >= COUNTED:
-                    yield counted()
-                    held, size, seen = [], 0, set()
+                    yield from counted()
+                    held, size, seen, turn = [], 0, set(), turn + 1
         if held:
-            yield counted()
-
-    often = common.stored(docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
-    total = often.agg(F.sum("n")).head()[0] or 0
-    got = often.where(F.col("n") >= max(FREQUENT, total // FREQUENT_MOST)).toPandas()  # at most FREQUENT_MOST rows
+            yield from counted()
+
+    work = common.Scratch(docs.sparkSession, "frequent")
+    sums = docs.mapInArrow(count, "token long, n long, drawn long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("drawn").alias("drawn"))
+    often = work.stored(sums.where((F.col("n") >= FREQUENT) | (F.col("drawn") > 1)).select("token", (F.col("n") + F.col("drawn") * SAMPLED).alias("n")), "often", texts=True)
+    least, held = FREQUENT, 0
+    for r in often.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect():  # at most 100,000 rows
+        held += r["count"]
+        if held > FREQUENT_MOST:
+            least = r["n"] + 1
+            break
+    got = often.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).toPandas() if least > 100_000 else often.where(F.col("n") >= least).toPandas()
+    work.drop()
     tokens, n = got["token"].to_numpy("int64").view("uint64"), got["n"].to_numpy("int64")
     return Order(tokens[np.lexsort((tokens, n))])
 
 
 def _indexed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, cid, cells, sigs): size and vertex of each text; sketch and signatures where a worker meets the set first."""
+    """(doc_id, tag, n, cid, more, cells, sigs): size and vertex of each text; sketch and signatures where a worker meets the set first."""
     import pyarrow as pa
 
     shared = common.share(docs.sparkSession, order)
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches):
         known, seen, rows, size = common.opened(shared), set(), [], 0
 
         def made():
-            ids, n, cid, cells, sigs = zip(*rows)
+            *plain, sigs = zip(*rows)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype("int32")
             flat = pa.array(np.concatenate(sigs).view("int64"))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(cells, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n", "cid", "cells", "sigs"])
+            arrays = [*(pa.array(x, kind) for x, kind in zip(plain, kinds)), pa.ListArray.from_arrays(pa.array(offsets), flat)]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tag", "n", "cid", "more", "cells", "sigs"])
 
-        for doc_id, s in _sets(batches, width):
-            cid, cells, sigs = None, None, s[:0]
+        for (doc_id, tag), s in _sets(batches, width):
+            cid, more, cells, sigs = None, None, None, s[:0]
             if len(s):
-                cid = set_id(s)
-                if cid not in seen:
-                    seen.add(cid)
+                cid, more = set_id(s)
+                if (cid, more) not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add((cid, more))
                     cells, sigs = sketch(s), signatures(s, known, percent)
-            rows.append((doc_id, len(s), cid, cells, sigs))
+            rows.append((doc_id, tag, len(s), cid, more, cells, sigs))
             size += len(sigs)
             if size > 500_000 or len(rows) >= 5000:
                 yield made()
@@ -208,7 +235,7 @@ def _indexed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFra
         if rows:
             yield made()
 
-    return docs.mapInArrow(run, "doc_id long, n int, cid long, cells binary, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, tag binary, n int, cid long, more long, cells binary, sigs array<long>")
 
 
 def _buckets(percent: int):
@@ -278,7 +305,7 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
     owner, at = owner[keep], number[at[keep]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    both, step = np.zeros((len(left), len(right)), "float64"), 4096
+    both, step = np.zeros((len(left), len(right)), "float32"), 4096  # counts below 2 ** 24 are exact
     place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
     place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
     for first in range(0, int(shared.sum()), step):
@@ -291,15 +318,29 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
             grids.append(grid)
         both += grids[0] @ grids[1].T
     size = np.array([len(s) for s in sets], "float64")
-    i, j = np.nonzero(100 * both >= percent * (size[left][:, None] + size[right][None, :] - both))
-    i, j = left[i], right[j]
+    found = [np.zeros((0, 2), "int64")]
+    for k, row in enumerate(both):
+        row = row.astype("float64")
+        j = np.flatnonzero(100 * row >= percent * (size[left[k]] + size[right] - row))
+        found.append(np.stack([np.full(len(j), left[k]), right[j]], 1))
+    i, j = np.concatenate(found).T
     return i[i != j], j[i != j]
 
 
-def _block(percent: int):
+def _packed(text: str) -> bytes:
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
+
+
+def _opened(packed: bytes, width: int) -> np.ndarray:
+    return shingles(zlib.decompress(packed).decode("utf-8", "surrogatepass"), width)
+
+
+def _block(width: int, percent: int):
+    """A group of rows (cid, text, blk, low, high): a forest of the links between the blocks low and high."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("cid")
-        sets = [np.frombuffer(x, "<u8") for x in pdf["tokens"]]
+        sets = [_opened(x, width) for x in pdf["text"]]
         blk = pdf["blk"].to_numpy()
         low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
         i, j = block_links(sets, np.flatnonzero(blk == low), np.flatnonzero(blk == high), percent)
@@ -310,6 +351,20 @@ def _block(percent: int):
     return run
 
 
+def _pivoted(width: int, percent: int):
+    """A group of rows (cid, text, pivot): a forest of the links between the pivots and all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pivot", ascending=False, kind="stable").drop_duplicates("cid")
+        sets, ids, first = [_opened(x, width) for x in pdf["text"]], pdf["cid"].to_numpy("int64"), int(pdf["pivot"].sum())
+        found = [(i, j) for i in range(first) for j in range(i + 1, len(sets)) if linked(sets[i], sets[j], percent)]
+        i, j = np.array(found, "int64").reshape(-1, 2).T
+        a, b = forest(ids[i], ids[j])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
 def _filter_of(ids: DataFrame) -> np.ndarray:
     """A bit for each hash of the ids (rep); at most 2 ** (FILTER_BITS - 6) rows come to the driver."""
     at = F.shiftrightunsigned(F.xxhash64("rep"), 64 - FILTER_BITS)
@@ -333,70 +388,129 @@ def _close(pairs: DataFrame, indexed: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(run, "a long, b long")
 
 
-def _links(docs: DataFrame, found: DataFrame, indexed: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between vertices, enough to connect all that are linked."""
+def _texts(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(cid, more, text) of the texts that stand for the vertices `needed` (rep), compressed; a few others may come along."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    pairs = common.stored(_close(found.where("not hot").select("a", "b").distinct(), indexed, percent), "pairs")
-    members = found.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("cid"))
-    needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(members.select("cid")).distinct()
-    bits = common.share(spark, _filter_of(needed.join(reps, "cid")))
+    bits = common.share(docs.sparkSession, _filter_of(needed))
+
+    def run(batches):
+        known, rows, size = common.opened(bits), [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["cid", "more", "text"])
 
-    def again(batches):
-        known = common.opened(bits)
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False).astype("int64")
-            batch = batch.filter(pa.array((known[at >> 6] >> (at & 63)) & 1 == 1))
-            rows = [(set_id(s), s.tobytes()) for _, s in _sets([batch], width) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary()))], names=["cid", "tokens"])
+            for text in batch.column(1).filter(pa.array((known[at >> 6] >> (at & 63)) & 1 == 1)):
+                text = text.as_py()
+                if len(s := shingles(text, width)):
+                    rows.append((*set_id(s), _packed(text)))
+                    size += len(rows[-1][2])
+                    if size > common.SLICE_BYTES:
+                        yield made()
+                        rows, size = [], 0
+        if rows:
+            yield made()
 
-    by_rep = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LEAST))).withColumn("at", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS))
-    sets = by_rep.mapInArrow(again, "cid long, tokens binary")
+    at = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(LEAST))), 64 - FILTER_BITS)
+    return docs.select("doc_id", "text", at.alias("at")).mapInArrow(run, "cid long, more long, text binary")
+
+
+def _compared(work: common.Scratch, grouped: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within groups (gid, cid): large groups against pivots first, then all that these left apart."""
+    sized = grouped.join(reps.select("cid", "n"), "cid")
+    pieces = lambda rows, tokens: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+    by_hash = F.xxhash64("cid")
+    blocks = work.stored(sized.groupBy("gid").agg(
+        pieces(F.count("*"), F.sum("n")).alias("nb"),
+        F.array_distinct(F.array(F.min("cid"), F.max("cid"), F.min_by("cid", by_hash), F.max_by("cid", by_hash))).alias("pivots"),
+    ), "blocks")
+    large, links = blocks.where("nb > 1"), None
+    alone = F.lit(0).alias("nc"), F.col("nb").alias("nr"), F.lit(False).alias("core")
+    dealt = grouped.join(blocks.where("nb = 1"), "gid").select("gid", "cid", *alone)
+    if not large.isEmpty():
+        members = grouped.join(large, "gid").select("gid", "cid", F.pmod(by_hash, "nb").cast("int").alias("blk"), F.lit(False).alias("pivot"))
+        pivots = large.select("gid", F.explode("pivots").alias("cid"), "nb").select("gid", "cid", F.explode(F.expr("sequence(0, nb - 1)")).alias("blk"), F.lit(True).alias("pivot"))
+        to_pivots = members.unionByName(pivots).join(texts, "cid").groupBy("gid", "blk").applyInPandas(_pivoted(width, percent), "a long, b long")
+        links = work.stored(to_pivots, "pivots")
+        parts = components(links, work).select(F.col("node").alias("cid"), "component")
+        state = grouped.join(large.select("gid"), "gid").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        core = state.groupBy("gid", "component").agg(F.count("*").alias("m")).groupBy("gid").agg(F.max_by("component", F.struct("m", "component")).alias("most"))
+        state = work.stored(state.join(core, "gid").join(reps.select("cid", "n"), "cid").select("gid", "cid", "n", (F.col("component") == F.col("most")).alias("core")), "state")
+        of = lambda core: pieces(F.count_if(core), F.coalesce(F.sum(F.when(core, F.col("n"))), F.lit(0)))
+        counts = state.groupBy("gid").agg(of(F.col("core")).alias("nc"), of(~F.col("core")).alias("nr")).where("nr > 0")
+        dealt = dealt.unionByName(state.join(counts, "gid").select("gid", "cid", "nc", "nr", "core"))
+    dealt = (
+        dealt.withColumn("blk", F.when(F.col("core"), F.pmod(by_hash, F.greatest("nc", F.lit(1)))).otherwise(F.col("nc") + F.pmod(by_hash, "nr")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(if(core, nc, 0), nc + nr - 1)")))
+        .select("gid", "cid", "blk", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"))
+    )
+    rest = dealt.join(texts, "cid").groupBy("gid", "low", "high").applyInPandas(_block(width, percent), "a long, b long")
+    return rest if links is None else links.unionByName(rest)
 
-    def verify(batches):
-        for pdf in batches:
-            ok = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(pdf["x"], pdf["y"])]
-            yield pdf.loc[ok, ["a", "b"]]
 
-    size = common.stored(members.groupBy("sig").agg(F.min("cid").alias("first"), F.count("*").alias("m")), "buckets")
-    cluster = components(pairs.unionByName(members.join(size, "sig").select(F.col("cid").alias("a"), F.col("first").alias("b"))))
+def _links(work: common.Scratch, docs: DataFrame, found: DataFrame, indexed: DataFrame, reps: DataFrame, vertex, width: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between vertices, enough to connect all that are linked."""
+    pairs = work.stored(_close(found.where("not hot").select("a", "b").distinct(), indexed, percent), "pairs")
+    members = found.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("cid"))
+    needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(members.select("cid")).distinct()
+    texts = work.stored(vertex(_texts(docs, needed.join(reps, "cid"), width)).select("cid", "text"), "texts", texts=True)
+    same = F.bit_xor(F.xxhash64("cid")), F.bit_xor(F.xxhash64("cid", F.lit(1)))
+    size = members.groupBy("sig").agg(F.min("cid").alias("first"), F.count("*").alias("m"), same[0].alias("x"), same[1].alias("y"))
+    size = work.stored(size.groupBy("first", "m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "first", "m"), "buckets")  # equal buckets once
+    cluster = components(pairs.unionByName(members.join(size, "sig").select(F.col("cid").alias("a"), F.col("first").alias("b"))), work)
     of = lambda c: cluster.select(F.col("node").alias(c), F.col("component").alias("cluster"))
     cost = pairs.join(of("a"), "a").select("cluster", F.lit(float(PAIR_COST)).alias("cost")).unionByName(
         size.where("m > 1").join(of("first"), "first").select("cluster", (F.col("m").cast("double") * F.col("m")).alias("cost"))
     ).groupBy("cluster").agg(F.sum("cost").alias("cost"))
     whole = cluster.groupBy(F.col("component").alias("cluster")).agg(F.count("*").cast("double").alias("n")).join(cost, "cluster")
-    whole = common.stored(whole.select("cluster", (F.col("n") * F.col("n") <= F.col("cost")).alias("whole")), "clusters")
+    whole = work.stored(whole.select("cluster", (F.col("n") * F.col("n") <= F.col("cost")).alias("whole")), "clusters")
     apart = whole.where("not whole").select("cluster")
     loose = pairs.join(of("a").join(apart, "cluster"), "a").select("a", "b")
-    by_pairs = not loose.isEmpty()
-    sets = common.stored(sets, "sets") if by_pairs else sets  # else they are read once only
-    side = lambda c, t: sets.select(F.col("cid").alias(c), F.col("tokens").alias(t))
-    links = loose.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
+
+    def verify(batches):
+        for pdf in batches:
+            sets = {}
+            for c, t in (("a", "x"), ("b", "y")):
+                sets |= {i: _opened(x, width) for i, x in dict(zip(pdf[c], pdf[t])).items() if i not in sets}
+            yield pdf.loc[[linked(sets[a], sets[b], percent) for a, b in zip(pdf["a"], pdf["b"])], ["a", "b"]]
+
+    side = lambda c, t: texts.select(F.col("cid").alias(c), F.col("text").alias(t))
+    links = None if loose.isEmpty() else loose.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
     together = of("cid").join(whole.where("whole"), "cluster").select(F.xxhash64(F.lit("cluster"), "cluster").alias("gid"), "cid")
     buckets = members.join(size, "sig").join(of("first").join(apart, "cluster"), "first").select(F.xxhash64(F.lit("bucket"), "sig").alias("gid"), "cid")
-    grouped = common.stored(together.unionByName(buckets).distinct(), "groups")
-    blocks = grouped.join(reps.select("cid", "n"), "cid").groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
-    dealt = (
-        grouped.join(blocks, "gid").withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-        .select("gid", "cid", "blk", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"))
-    )
-    in_blocks = dealt.join(sets, "cid").groupBy("gid", "low", "high").applyInPandas(_block(percent), "a long, b long")
-    return links.unionByName(in_blocks) if by_pairs else in_blocks
+    grouped = work.stored(together.unionByName(buckets).distinct(), "groups")
+    compared = _compared(work, grouped, texts, reps, width, percent)
+    return compared if links is None else links.unionByName(compared)
 
 
-def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text); links from a similarity of percent / 100."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = frequent_tokens(docs, width)
-    indexed = common.stored(_indexed(docs, order, width, percent), "indexed")
-    rows = indexed.select("doc_id", "n", "cid")
+def _vertices(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text, tag) -> rows (doc_id, tag, n, cid), reps (cid, rep, n), parts (cid, component), all stored."""
+    work, kept = common.Scratch(docs.sparkSession, "jaccard"), common.Scratch(docs.sparkSession, "jaccard-kept")
+    indexed = work.stored(_indexed(docs, frequent_tokens(docs, width), width, percent), "indexed", texts=True)
+    first = indexed.where("cid is not null").groupBy("cid").agg(F.min("more").alias("least"), F.max("more").alias("most"))
+    clash = [r["cid"] for r in first.where("least <> most").select("cid").collect()]  # equal in 64 bits but not in 128: n * n / 2 ** 65 of n
+
+    def vertex(df: DataFrame) -> DataFrame:
+        return df.withColumn("cid", F.when(F.col("cid").isin(clash), F.xxhash64("cid", "more")).otherwise(F.col("cid"))) if clash else df
+
+    indexed = vertex(indexed)
+    rows = kept.stored(indexed.select("doc_id", "tag", "n", "cid"), "rows")
     reps = rows.where("cid is not null").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("any_rep"), F.min("doc_id").alias("known_rep"), F.max("n").alias("n"))
-    reps = common.stored(reps.select("cid", F.coalesce("known_rep", "any_rep").alias("rep"), "n"), "reps")
+    reps = kept.stored(reps.select("cid", F.coalesce("known_rep", "any_rep").alias("rep"), "n"), "reps")
     sigs = indexed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cid", "n")
-    found = common.stored(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_buckets(percent), "hot boolean, a long, b long"), "found")
-    parts = components(_links(docs, found, indexed, reps, width, percent)).select(F.col("node").alias("cid"), "component")
+    found = work.stored(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_buckets(percent), "hot boolean, a long, b long"), "found")
+    parts = components(_links(work, docs, found, indexed, reps, vertex, width, percent), work)
+    parts = kept.stored(parts.select(F.col("node").alias("cid"), "component"), "parts")
+    work.drop()
+    return rows, reps, parts
+
+
+def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text); links from a similarity of percent / 100."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("tag"))
+    rows, reps, parts = _vertices(docs, width, percent)
     known = parts.join(reps, "cid").groupBy("component").agg(F.min("rep").alias("any"), F.min(F.when(F.col("rep") != LEAST, F.col("rep"))).alias("known"))
     first = parts.join(known, "component").select("cid", F.coalesce("known", "any").alias("first"))
     part = reps.select("cid", "rep").join(first, "cid", "left").select("cid", F.coalesce("first", "rep").alias("__part"))
@@ -405,17 +519,28 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows that are linked with a smaller doc_id, directly or through others; the same columns.
-
-    Rows of null doc_id stay; of repeated rows (equal doc_id and text) one stays."""
-    from pyspark.sql import Window
-
-    found = joined(docs, width, percent)
-    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    once = Window.partitionBy("doc_id").orderBy("__text")
-    numbered = kept.withColumn("__text", F.xxhash64("text")).withColumn("__before", F.lag("__text").over(once)).withColumn("__first", F.row_number().over(once))
-    return numbered.where(F.col("doc_id").isNull() | (F.col("__first") == 1) | (F.col("__text") != F.col("__before"))).select(*docs.columns)
+    """One row of each group of linked rows of docs (doc_id, text, ...), that of the smallest doc_id (null after all others;
+    then the smallest digest of the text); the same columns.
+
+    Rows are told apart by doc_id and text, so a row that shares only its doc_id with a copy stays. Of rows with equal doc_id and
+    text one stays, also where they have no words. Empty table: empty result. Column names may hold dots and may clash."""
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    tag = F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit("")).cast("binary")))
+    rows, _, parts = _vertices(docs.select(id_.alias("doc_id"), text.alias("text"), tag.alias("tag")), width, percent)
+    kept = common.Scratch(docs.sparkSession, "deduplicated")
+    keys = rows.groupBy("doc_id", "tag").agg(F.first("cid").alias("cid"), F.count("*").alias("m")).join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tag")
+    first = keys.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
+    told = keys.join(first, "component", "left").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "m", (F.col("first").isNotNull() & (F.col("first") != order)).alias("gone"))
+    told = kept.stored(told.where("gone or m > 1"), "told")
+    columns = [common.named(c) for c in docs.columns]
+    names = [f"c{i}" for i in range(len(columns))]
+    plain = docs.select(*[c.alias(n) for c, n in zip(columns, names)], id_.alias("__doc"), tag.alias("__text"))
+    on = lambda df: [plain["__doc"].eqNullSafe(df["__id"]), plain["__text"] == df["__tag"]]
+    out, twice = plain.join(told, on(told), "left_anti"), told.where("not gone")
+    if not twice.isEmpty():  # repeated rows: any one of them
+        out = out.unionByName(plain.join(twice, on(twice), "left_semi").dropDuplicates(["__doc", "__text"]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

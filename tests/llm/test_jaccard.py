@@ -60,6 +60,9 @@ def test_equals_brute_force(spark, monkeypatch, seed, width, percent, small):
     """Small limits, so that frequent classes, large buckets, clusters and several blocks are all met."""
     for name, value in (("FREQUENT", 3), ("COUNTED_LEAST", 1), ("SMALL", small), ("BLOCK_ROWS", 16), ("COUNTED", 2000)):
         monkeypatch.setattr(jaccard, name, value)
+    if seed > 2:  # sets that are equal in the first 64 bits only
+        real = jaccard.set_id
+        monkeypatch.setattr(jaccard, "set_id", lambda s: (real(s)[0] % 61, real(s)[1]))
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(df, width, percent).collect()}
@@ -79,6 +82,40 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 500, 501]
 
 
+def test_shipped_parameters_on_many_frequent_tokens(spark):
+    """Thousands of texts from shared passages, so that pairs of frequent tokens, large buckets and pivots are met unforced."""
+    draw = np.random.default_rng(7)
+    vocabulary = [f"v{i}" for i in range(400)]
+    base = [" ".join(draw.choice(vocabulary, 60)) for _ in range(12)]
+    rows = []
+    for i in range(1700):
+        w = base[0 if i < 1100 else int(draw.integers(1, 12))].split()
+        for _ in range(int(draw.integers(0, 6))):
+            w[int(draw.integers(60))] = str(draw.choice(vocabulary))
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80).collect()}
+    assert got == brute(rows, 3, 80)
+
+
+def test_tokens_spread_over_all_workers_are_found(spark):
+    rows = [(i, f"shared words here own{i} words{i} only{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as binary) as tag").repartition(50)
+    real, jaccard.COUNTED, jaccard.SAMPLED = (jaccard.COUNTED, jaccard.SAMPLED), 4, 16
+    try:
+        order = jaccard.frequent_tokens(docs, 3)
+    finally:
+        jaccard.COUNTED, jaccard.SAMPLED = real
+    assert jaccard.shingles("shared words here", 3)[0] in order.tokens and len(order.tokens) < 100
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a"), "x"), (2, text("a"), "x"), (2, text("b"), "x"), (None, text("a"), "x"), (None, text("c"), "x"), (None, text("c"), "y"), (7, "", "x"), (7, "", "x"), (8, "", "x"), (None, None, "x")]
+    kept = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").withColumnRenamed("a.b", "__id.x"))
+    assert kept.columns == ["doc_id", "text", "__id.x"]
+    assert sorted(map(str, ((r[0], r[1]) for r in kept.collect()))) == sorted(map(str, [(1, text("a")), (2, text("b")), (None, text("c")), (7, ""), (8, ""), (None, None)]))
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_signature(percent):
     draw = np.random.default_rng(percent)
