@@ -84,6 +84,19 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), also where columns of df have names that Spark would take apart; run finds them renamed."""
+    from pyspark.sql import types as T
+
+    names = [f"__c{i}" if {".", "`"} & set(c) else c for i, c in enumerate(df.columns)]
+    if names == df.columns:
+        return df.mapInArrow(run, schema)
+    safe = dict(zip(df.columns, names))
+    renamed = T.StructType([T.StructField(safe.get(f.name, f.name), f.dataType, f.nullable) for f in schema.fields])
+    out = df.select(*[named(c).alias(n) for c, n in safe.items()]).mapInArrow(run, renamed)
+    return out.select(*[F.col(f.name).alias(g.name) for f, g in zip(renamed.fields, schema.fields)])
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names: an operator's own outputs win over clashing inputs."""
     taken = {n.lower() for n in names}

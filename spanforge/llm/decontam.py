@@ -9,8 +9,8 @@ share the words so far is narrowed by ..., 4, 2, 1 further words. `matches` list
 at a place, unless the match there is only the rest of one that begins before (once an item, at its first place in it).
 
 Words: A-Z lower-cased, then runs of digits, a-z and anything beyond ASCII. Documents are never shuffled; the
-benchmark is broadcast in blocks of at most BLOCK_WORDS words, one after the other, so no single object grows
-with the benchmark.
+benchmark is broadcast in blocks of at most BLOCK_WORDS words (a longer item alone), and a worker opens one after the
+other, so it never holds more than one.
 
 Defined cases: null text (document or item): no words, so no hit and no window. Null item_id: listed as "null".
 Items with equal id count once. Repeated documents: each is judged. Empty tables: nothing hit. Input columns named
@@ -30,6 +30,8 @@ from spanforge.llm import common
 WINDOW = 10
 BLOCK_WORDS = 200_000
 BITS = 21
+#: Bytes of text that meet a block at a time; more if there are several blocks, which are opened anew each time.
+SLICE = common.SLICE_BYTES
 PER_KEY = 3
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "longest", "matches", "contaminated")
 COLUMNS = {
@@ -70,6 +72,8 @@ class Block:
             owner += [number[name]] * (len(known) + 1)
             left += [*range(len(known), -1, -1)]
             place += [*range(len(known) + 1)]
+        if len(self.vocabulary) >= (1 << BITS) - 1:
+            raise ValueError(f"a benchmark item has {len(self.vocabulary):,} different words; at most {(1 << BITS) - 2:,} can be told apart")
         self.ids = np.concatenate([np.array(ids, "int64"), np.zeros(window + PER_KEY, "int64")])
         owner, left = np.array(owner, "int64"), np.array(left, "int64")
         first = np.concatenate([[True], left[:-1] == 0]) if len(left) else np.zeros(0, bool)
@@ -220,8 +224,16 @@ def blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
     return out
 
 
-def judged(texts: list[str | None], found: list, locate: bool = True) -> list[tuple]:
-    """The output columns for some texts."""
+def held(found: list):
+    """A function that opens the blocks of `found` one after the other; a lone one stays open."""
+    if len(found) == 1:
+        only = [common.opened(found[0])]
+        return lambda: only
+    return lambda: map(common.opened, found)
+
+
+def judged(texts: list[str | None], found, locate: bool = True) -> list[tuple]:
+    """The output columns for some texts; found: the blocks."""
     docs = [words(t) for t in texts]
     sizes = [len(d) for d in docs]
     hit, start, pairs, matches = None, None, set(), {}
@@ -253,16 +265,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), kind, pa.bool_()]
 
     def run(batches):
-        held = [common.opened(b) for b in found]
+        opened = held(found)
         for batch in batches:
-            for part in common.slices(batch):
-                rows = judged(part.column(part.schema.get_field_index("text")).to_pylist(), held, locate)
+            for part in common.slices(batch, limit=SLICE * min(4, max(1, len(found)))):
+                rows = judged(part.column(part.schema.get_field_index("text")).to_pylist(), opened(), locate)
                 fields = ("start", "length", "item_id", "item_start")
                 spans = [[dict(zip(fields, m)) for m in r[5]] for r in rows]
                 made = [pa.array(spans if i == 5 else [r[i] for r in rows], kinds[i]) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(run, common.add_columns(docs.schema, **COLUMNS))
+    return common.mapped(docs, run, common.add_columns(docs.schema, **COLUMNS))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -272,13 +284,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     found = blocks(benchmark, window)
 
     def run(batches):
-        held = [common.opened(b) for b in found]
+        opened = held(found)
         for batch in batches:
-            for part in common.slices(batch):
-                rows = judged(part.column(part.schema.get_field_index("text")).to_pylist(), held, False)
+            for part in common.slices(batch, limit=SLICE * min(4, max(1, len(found)))):
+                rows = judged(part.column(part.schema.get_field_index("text")).to_pylist(), opened(), False)
                 yield part.filter(pa.array([not r[-1] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *COLUMNS])
 
-    return docs.mapInArrow(run, common.add_columns(docs.schema, **COLUMNS))
+    return common.mapped(docs, run, common.add_columns(docs.schema, **COLUMNS))
 
 
 def trained(docs: DataFrame, train: Column | None = None) -> Model:

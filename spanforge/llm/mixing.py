@@ -9,7 +9,7 @@ are range-sorted by position.
 
 Defined cases: null source: a source of its own, ranked last. Null or empty text: size 0, taken 0. Sources
 without words: target 0. Null doc_id: ordered like the text ''. Repeated rows: each counts and is placed.
-Empty table: empty result. Input columns named like an output column are replaced.
+Empty table: empty result. Input columns named like an output column are replaced; other names are free and may hold dots.
 
 Scale: one narrow shuffle on (source, hash bucket), so a source with a third of all rows is spread over
 thousands of buckets; running sums are per bucket, then per source over at most 16**bucket_digits rows.
@@ -31,7 +31,7 @@ SCHEDULES = (
     ((0.0, 1.0), (1.0, 1.0)),
     ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
 )
-OUTPUTS = ("size", "source_size", "target", "taken", "copies", "positions")
+OUTPUTS = ("size", "source_size", "target", "taken", "copies", "positions", "position")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -103,7 +103,7 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     offsets = (
         sums.withColumn("__before", F.coalesce(F.sum("__sum").over(in_order), F.lit(0)))
         .join(per_source.drop("source"), F.col("__src") == F.col("src_key"))
-        .select("__src", "__bucket", "__before", "source_size", "rank", "target")
+        .select("__src", "__bucket", "__before", "source_size", F.col("rank").alias("__rank"), "target")
     )
     inside = Window.partitionBy("__src", "__bucket").orderBy("__key", "doc_id", "size", "__tie")
     mid = F.col("__before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("size") / 2
@@ -116,8 +116,8 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
         .withColumn("__whole", whole)
         .withColumn("copies", F.when(F.col("size") > 0, F.col("__whole") + F.when(F.col("__mid") <= rest, 1).otherwise(0)).otherwise(F.lit(0)))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: position(u(k), F.col("rank"), schedules))).otherwise(F.array().cast("array<double>")))
-        .drop("__src", "__bucket", "__key", "__tie", "__before", "__mid", "__whole", "rank")
+        .withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: position(u(k), F.col("__rank"), schedules))).otherwise(F.array().cast("array<double>")))
+        .drop("__src", "__bucket", "__key", "__tie", "__before", "__mid", "__whole", "__rank")
     )
 
 

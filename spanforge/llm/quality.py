@@ -209,7 +209,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 made = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype("int32"), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *COLUMNS])
 
-    return docs.mapInArrow(run, common.add_columns(docs.schema, **COLUMNS))
+    return common.mapped(docs, run, common.add_columns(docs.schema, **COLUMNS))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def counted(docs: DataFrame, folder: str = bpe.FOLDER) -> DataFrame:
                 made = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *STATE])
 
-    return docs.mapInArrow(run, common.add_columns(docs.schema, **STATE))
+    return common.mapped(docs, run, common.add_columns(docs.schema, **STATE))
 
 
 def recounted(state: DataFrame, edits: str = "edits", folder: str = bpe.FOLDER) -> DataFrame:

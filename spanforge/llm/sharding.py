@@ -5,11 +5,16 @@ a probability in proportion to the record's size, gives quantile boundaries; the
 ranges than shards, and a range that comes out overfull is sampled again and subdivided (a text with very many
 copies is cut by doc_id). Exact bytes and rows of each range, summed over the ranges before it, turn the place
 within a range into a global place, and shard = place in bytes * shards / all bytes. So the sample decides only
-how evenly the work is spread, never the result: shards differ from the mean by less than one record on either side.
+how evenly the work is spread, never the result. Records of equal text form a group; a group of at most 1 / GROUP_PART of a
+shard's share goes whole into the shard that its middle falls in, a larger one is cut. So shards differ from the mean by less
+than half such a group, or one record, on either side.
+
+Records may be placed by two long columns instead of their text (`place`), as for a corpus in training order: then shards
+are consecutive stretches of that order, slots follow it, and there are no groups.
 
 Defined cases: null text: no bytes, size 1, crc 0, before all other texts. Null doc_id: before all others of its
 text. Repeated rows: each has its own slot. Empty table: empty result. Input columns named like an output column are
-replaced. A record larger than a shard's share fills it alone; a shard may then be empty.
+replaced; column names may hold dots. A record larger than a shard's share fills it alone; a shard may then be empty.
 
 Scale: the shuffle is on the range, of which none is a hot key; ranges and the sample are bounded by parameters.
 """
@@ -29,6 +34,8 @@ RANGES_PER_SHARD = 16
 SAMPLE_PER_RANGE = 16
 #: A range is overfull above so many times the mean; it is subdivided at most so often.
 OVERFULL = 2.0
+#: A group of equal texts above 1 / GROUP_PART of a shard's share is cut.
+GROUP_PART = 20
 ROUNDS = 3
 LEAST = -(2**63)
 OUTPUTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -86,35 +93,49 @@ def splitters(keyed: DataFrame, ranges: int) -> np.ndarray:
     return cuts
 
 
-def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """docs (doc_id, text, ...) with size, text_crc32, law, shard, slot and grown_shard."""
+def shards(docs: DataFrame, n_shards: int = SHARDS, place: tuple[str, str] | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) with size, text_crc32, law, shard, slot and grown_shard; place: two columns that give the order."""
     blob = F.col("text").cast("binary")
+    by_text = F.coalesce(F.conv(F.substring(F.md5(blob), 1, 15), 16, 10).cast("long"), F.lit(-1)), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+    key, tie = (F.col(c).cast("long") for c in place) if place else by_text
     keyed = (
         common.without(docs, *OUTPUTS)
         .withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
         .withColumn("text_crc32", F.coalesce(F.crc32(blob), F.lit(0)).cast("long"))
-        .withColumn("__key", F.coalesce(F.conv(F.substring(F.md5(blob), 1, 15), 16, 10).cast("long"), F.lit(-1)))
-        .withColumn("__tie", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)))
+        .withColumn("__key", key)
+        .withColumn("__tie", tie)
     )
     narrow = common.stored(keyed.select("__key", "__tie", "size"), "shard-keys")
-    cuts = splitters(narrow, n_shards * RANGES_PER_SHARD)
-    ranged = lambda df: df.withColumn("__range", range_of(F.col("__key"), F.col("__tie"), cuts))
+    total = narrow.agg(F.sum("size")).head()[0] or 0
+    cut = None  # keys of groups that are cut; None: of all
+    if not place:
+        groups = narrow.groupBy("__key").agg(F.sum("size").alias("bytes"))
+        cut = [r["__key"] for r in groups.where(F.col("bytes") * (n_shards * GROUP_PART) > total).select("__key").collect()]  # fewer than n_shards * GROUP_PART
+    unit = F.col("__tie") if cut is None else F.when(F.col("__key").isin(cut), F.col("__tie")).otherwise(F.lit(LEAST))
+    united = narrow.withColumn("__tie", unit)
+    cuts = splitters(united, n_shards * RANGES_PER_SHARD)
+    ranged = lambda df: df.withColumn("__range", range_of(F.col("__key"), unit, cuts))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged(narrow).groupBy("__range").agg(F.sum("size").alias("__b"), F.count("*").alias("__n"))
-        .select("__range", F.coalesce(F.sum("__b").over(before), F.lit(0)).alias("__bytes"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"),
-                F.sum("__b").over(Window.partitionBy()).alias("__total"))
+        .select("__range", F.coalesce(F.sum("__b").over(before), F.lit(0)).alias("__bytes"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"))
     )
     offsets = common.stored(offsets, "shard-ranges")
 
     def placed(df: DataFrame) -> DataFrame:
         inside = Window.partitionBy("__range").orderBy("__key", "__tie", "size")
+        group = Window.partitionBy("__range", "__key")
         at = F.col("__bytes") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        middle = 2 * F.col("__at") + F.col("size")
+        if cut is not None:
+            whole = 2 * F.min("__at").over(group) + F.sum("size").over(group)
+            middle = F.when(F.col("__key").isin(cut), middle).otherwise(whole)
         return (
             ranged(df).join(F.broadcast(offsets), "__range")  # a row for each range: bounded by the parameters
-            .withColumn("__at", 2 * at + F.col("size"))
+            .withColumn("__at", at)
             .withColumn("__row", F.col("__rows") + F.row_number().over(inside) - 1)
-            .withColumn("shard", F.least(F.expr(f"(__at * {n_shards}) div (2 * __total)"), F.lit(n_shards - 1)).cast("int"))
+            .withColumn("__mid", middle)
+            .withColumn("shard", F.least(F.expr(f"(__mid * {n_shards}) div {2 * max(total, 1)}"), F.lit(n_shards - 1)).cast("int"))
         )
 
     first = placed(narrow).groupBy("shard").agg(F.min("__row").alias("__first"))
@@ -123,7 +144,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
         .withColumn("slot", F.col("__row") - F.col("__first"))
         .withColumn("law", F.lit("bytes"))
         .withColumn("grown_shard", F.lit(None).cast("int"))
-        .drop("__key", "__tie", "__range", "__bytes", "__rows", "__total", "__at", "__row", "__first")
+        .drop("__key", "__tie", "__range", "__bytes", "__rows", "__at", "__mid", "__row", "__first")
     )
 
 
@@ -150,8 +171,9 @@ d as (
   from documents, crc_table),
 p as (
   select *, sum(size) over (order by k, doc_id nulls first, size rows between unbounded preceding and current row) - size as before,
-    row_number() over (order by k, doc_id nulls first, size) - 1 as row, sum(size) over () as total from d),
-s as (select *, least(((2 * before + size) * 16) // (2 * total), 15)::int as shard from p)
+    row_number() over (order by k, doc_id nulls first, size) - 1 as row, sum(size) over () as total, sum(size) over (partition by k) as group_size from d),
+g as (select *, min(before) over (partition by k) as group_before, group_size * 16 * 20 > total as cut from p),
+s as (select *, least(((case when cut then 2 * before + size else 2 * group_before + group_size end) * 16) // (2 * total), 15)::int as shard from g)
 select doc_id, size, text_crc32, 'bytes' as law, shard, (row - min(row) over (partition by shard))::bigint as slot, null::int as grown_shard
 from s
 """

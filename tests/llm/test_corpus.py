@@ -111,9 +111,12 @@ def test_shards_are_even_and_gapless(spark, monkeypatch, hot):
     assert sorted(by) == list(range(16))
     for rows in by.values():
         assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-        assert abs(sum(r["size"] for r in rows) - total / 16) <= 2 * largest
-    if not hot:
-        assert len({r["shard"] for r in got if r["text"] == "x" * 77}) == 1
+        assert abs(sum(r["size"] for r in rows) - total / 16) <= max(2 * largest, total / 16 / 20)
+    groups = defaultdict(list)
+    for r in got:
+        groups[r["text"]].append(r)
+    for text, rows in groups.items():  # equal texts stay together unless they are many
+        assert len({r["shard"] for r in rows}) == 1 or sum(r["size"] for r in rows) * 16 * 20 > total
 
 
 def test_overfull_ranges_are_subdivided(spark, monkeypatch):
