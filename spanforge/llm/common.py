@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager, nullcontext
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +53,7 @@ class Scratch:
         """Like the function `stored`, in this folder. texts: workers get whole texts, so in small batches."""
         self.n += 1
         path = f"{self.path}/{self.n}-{what}"
-        with small_batches(self.spark) if texts else nullcontext():
+        with batch_rows(self.spark, BATCH_ROWS if texts else NARROW_ROWS):
             df.write.mode("error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -62,21 +62,54 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows that go to a Python worker at a time where they carry whole texts.
+#: Rows that go to a Python worker at a time where they carry whole texts, and where they don't.
 BATCH_ROWS = 1000
+NARROW_ROWS = 10_000
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    """Arrow batches of at most BATCH_ROWS rows for what runs inside: the JVM and the worker each hold a batch."""
+def set_batch_rows(spark: SparkSession, rows: int) -> str:
+    """Set the rows of the session's Arrow batches; what was set before."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set(key, str(rows))
+    return before
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what runs inside: the JVM and the worker each hold a batch."""
+    before = set_batch_rows(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        set_batch_rows(spark, int(before))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
+def relieved(run):
+    """run (batches -> batches), which gives its memory back when the task has ended."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return go
 
 
 def named(column: str) -> Column:
@@ -88,6 +121,7 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema), also where columns of df have names that Spark would take apart; run finds them renamed."""
     from pyspark.sql import types as T
 
+    run = relieved(run)
     names = [f"__c{i}" if {".", "`"} & set(c) else c for i, c in enumerate(df.columns)]
     if names == df.columns:
         return df.mapInArrow(run, schema)

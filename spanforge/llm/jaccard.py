@@ -56,7 +56,7 @@ SMALL = 24
 BLOCK_ROWS = 1024
 BLOCK_TOKENS = 1_000_000
 #: A cluster is verified as a whole if its pairs are at most so many times the candidates (and the pairs of its large buckets).
-PAIR_COST = 32
+PAIR_COST = 128
 #: Cells of the sketch that bounds two sets' difference from below.
 CELLS = 64
 #: Bits of the filter of documents whose sets are needed: 8 MB.
@@ -187,7 +187,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> Order:
             yield from counted()
 
     work = common.Scratch(docs.sparkSession, "frequent")
-    sums = docs.mapInArrow(count, "token long, n long, drawn long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("drawn").alias("drawn"))
+    sums = docs.mapInArrow(common.relieved(count), "token long, n long, drawn long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("drawn").alias("drawn"))
     often = work.stored(sums.where((F.col("n") >= FREQUENT) | (F.col("drawn") > 1)).select("token", (F.col("n") + F.col("drawn") * SAMPLED).alias("n")), "often", texts=True)
     least, held = FREQUENT, 0
     for r in often.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect():  # at most 100,000 rows
@@ -235,7 +235,7 @@ def _indexed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFra
         if rows:
             yield made()
 
-    return docs.mapInArrow(run, "doc_id long, tag binary, n int, cid long, more long, cells binary, sigs array<long>")
+    return docs.mapInArrow(common.relieved(run), "doc_id long, tag binary, n int, cid long, more long, cells binary, sigs array<long>")
 
 
 def _buckets(percent: int):
@@ -346,6 +346,9 @@ def _block(width: int, percent: int):
         i, j = block_links(sets, np.flatnonzero(blk == low), np.flatnonzero(blk == high), percent)
         ids = pdf["cid"].to_numpy("int64")
         a, b = forest(ids[i], ids[j])
+        if sum(map(len, sets)) > BLOCK_TOKENS // 8:
+            del sets
+            common.give_back()
         return pd.DataFrame({"a": a, "b": b})
 
     return run
@@ -365,10 +368,14 @@ def _pivoted(width: int, percent: int):
     return run
 
 
+def _filter_words(at: DataFrame) -> DataFrame:
+    """(word, bits) of a filter with the bits `at` set: at most 2 ** (FILTER_BITS - 6) rows, however many bits."""
+    return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+
+
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of the ids (rep); at most 2 ** (FILTER_BITS - 6) rows come to the driver."""
-    at = F.shiftrightunsigned(F.xxhash64("rep"), 64 - FILTER_BITS)
-    rows = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toPandas()
+    """A bit for each hash of the ids (rep)."""
+    rows = _filter_words(ids.select(F.shiftrightunsigned(F.xxhash64("rep"), 64 - FILTER_BITS).alias("at"))).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), "int64")
     out[rows["word"].to_numpy("int64")] = rows["bits"].to_numpy("int64")
     return out
@@ -414,7 +421,7 @@ def _texts(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
             yield made()
 
     at = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(LEAST))), 64 - FILTER_BITS)
-    return docs.select("doc_id", "text", at.alias("at")).mapInArrow(run, "cid long, more long, text binary")
+    return docs.select("doc_id", "text", at.alias("at")).mapInArrow(common.relieved(run), "cid long, more long, text binary")
 
 
 def _compared(work: common.Scratch, grouped: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
@@ -500,7 +507,7 @@ def _vertices(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     reps = rows.where("cid is not null").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("any_rep"), F.min("doc_id").alias("known_rep"), F.max("n").alias("n"))
     reps = kept.stored(reps.select("cid", F.coalesce("known_rep", "any_rep").alias("rep"), "n"), "reps")
     sigs = indexed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cid", "n")
-    found = work.stored(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_buckets(percent), "hot boolean, a long, b long"), "found")
+    found = work.stored(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(common.relieved(_buckets(percent)), "hot boolean, a long, b long"), "found")
     parts = components(_links(work, docs, found, indexed, reps, vertex, width, percent), work)
     parts = kept.stored(parts.select(F.col("node").alias("cid"), "component"), "parts")
     work.drop()
@@ -524,6 +531,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     Rows are told apart by doc_id and text, so a row that shares only its doc_id with a copy stays. Of rows with equal doc_id and
     text one stays, also where they have no words. Empty table: empty result. Column names may hold dots and may clash."""
+    # Texts stay where they are but for rows that a filter of the dropped and repeated ones points at.
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     tag = F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit("")).cast("binary")))
     rows, _, parts = _vertices(docs.select(id_.alias("doc_id"), text.alias("text"), tag.alias("tag")), width, percent)
@@ -533,13 +541,18 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     first = keys.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
     told = keys.join(first, "component", "left").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "m", (F.col("first").isNotNull() & (F.col("first") != order)).alias("gone"))
     told = kept.stored(told.where("gone or m > 1"), "told")
+    at = lambda *key: F.shiftrightunsigned(F.xxhash64(*key), 64 - FILTER_BITS)
+    words = _filter_words(told.select(at("__id", "__tag").alias("at")))
     columns = [common.named(c) for c in docs.columns]
     names = [f"c{i}" for i in range(len(columns))]
     plain = docs.select(*[c.alias(n) for c, n in zip(columns, names)], id_.alias("__doc"), tag.alias("__text"))
     on = lambda df: [plain["__doc"].eqNullSafe(df["__id"]), plain["__text"] == df["__tag"]]
-    out, twice = plain.join(told, on(told), "left_anti"), told.where("not gone")
+    marked = plain.withColumn("__at", at("__doc", "__text")).join(F.broadcast(words), F.shiftright("__at", 6) == F.col("word"), "left")  # at most 2 ** (FILTER_BITS - 6) rows
+    maybe = F.coalesce(F.expr("shiftright(bits, cast(__at & 63 as int)) & 1"), F.lit(0)) == 1
+    clear, suspects = (marked.where(c).select(*plain.columns) for c in (~maybe, maybe))  # only suspects are shuffled
+    out, twice = clear.unionByName(suspects.join(told, on(told), "left_anti")), told.where("not gone")
     if not twice.isEmpty():  # repeated rows: any one of them
-        out = out.unionByName(plain.join(twice, on(twice), "left_semi").dropDuplicates(["__doc", "__text"]))
+        out = out.unionByName(suspects.join(twice, on(twice), "left_semi").dropDuplicates(["__doc", "__text"]))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
