@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs (doc_id, text, lang, source, ...) and returns a DataFrame;
 all but the last return the columns of docs, with the values that they had. Between stages the rows are written as Parquet
-and read again. Other columns may have any name, also one that an operator gives to an output, or one with dots.
+and read again. Other columns may have any name, also one that an operator gives to an output, or one with dots. The stages
+set the session's Arrow batch to few rows where rows carry whole texts to Python workers.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null or empty text, or one without a letter: goes. Where nothing can be learned (no training row has a language), documents
     with a letter stay. Long texts are read whole. Repeated rows: each is judged. Empty table: empty result."""
+    common.set_batch_rows(spark, common.BATCH_ROWS)
     model = langid.trained(docs)
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -49,6 +51,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that hold no window (ten words, or a whole shorter item) of a benchmark item.
 
     Null or empty text: stays. Long texts are read whole. Repeated rows: each is judged. Empty tables: nothing goes."""
+    common.set_batch_rows(spark, common.BATCH_ROWS)
     return decontam.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
@@ -75,6 +78,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows of a written table keep their order: shards are stretches of it and slots follow it, so the curriculum of the
     stage before holds. Rows that come from elsewhere are placed by their text. Null text: size 1. Null doc_id, repeated rows:
     each row has its slot. Columns named like an output are replaced. Empty table: empty result."""
+    common.set_batch_rows(spark, common.NARROW_ROWS)
     placed = _in_file_order(docs)
     if placed is None:
         return sharding.shards(docs)
