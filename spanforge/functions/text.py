@@ -69,28 +69,46 @@ def ocr_normalized(text: Column, composed: bool = True) -> tuple[Column, Column]
     return stripped(F.regexp_replace(c, blank, "\n\n\n")), F.filter(steps, lambda s: s["count"] > 0)
 
 
+def _once(value: Column, then) -> Column:
+    """then(value) with value computed once per row: a lambda variable is not copied into every use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def quality(text: Column) -> Column:
     """struct(label, score (unrounded), reasons) of an extracted page."""
-    t = stripped(F.coalesce(text, F.lit("")))
-    visible = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
-    ratio = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")) / F.greatest(visible, F.lit(1))
-    unreadable = F.regexp_count(t, F.lit("�"))
-    reasons = F.filter(
-        F.array(
-            F.when(F.length(t) < 40, F.lit("Very little text was extracted.")),
-            F.when(ratio < 0.55, F.lit("The text contains a high proportion of non-alphanumeric symbols.")),
-            F.when(unreadable > 0, F.lit("Unreadable replacement characters were detected.")),
-            F.when(t.rlike(P.I + P.SYNOPTIC) & t.rlike(P.I + P.TRUNCATED), F.lit("Synoptic text ends at a staging label; verify that the continuation was captured.")),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    base = F.least(F.lit(1.0), F.length(t) / 200.0) * F.least(F.lit(1.0), ratio / 0.8)
-    score = F.greatest(F.lit(0.0), base - F.least(F.lit(0.4), unreadable * 0.05))
-    label = F.when((F.size(reasons) == 0) & (score >= 0.75), "Good").when(score >= 0.35, "Review recommended").otherwise("Poor")
-    told = F.when((F.size(reasons) == 0) & (label == "Review recommended"), F.array(F.lit("Extracted text is readable but should be checked against the page."))).otherwise(reasons)
-    return F.when(t == "", F.struct(F.lit("Poor").alias("label"), F.lit(0.0).alias("score"), F.array(F.lit("No text was extracted.")).alias("reasons"))).otherwise(
-        F.struct(label.alias("label"), score.alias("score"), told.alias("reasons"))
-    )
+
+    def counted(t: Column) -> Column:
+        return F.struct(
+            t.alias("t"),
+            F.length(F.regexp_replace(t, r"(?U)\s+", "")).alias("visible"),
+            F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")).alias("alnum"),
+            F.regexp_count(t, F.lit("\ufffd")).alias("unreadable"),
+        )
+
+    def measured(m: Column) -> Column:
+        t, ratio, unreadable = m["t"], m["alnum"] / F.greatest(m["visible"], F.lit(1)), m["unreadable"]
+        reasons = F.filter(
+            F.array(
+                F.when(F.length(t) < 40, F.lit("Very little text was extracted.")),
+                F.when(ratio < 0.55, F.lit("The text contains a high proportion of non-alphanumeric symbols.")),
+                F.when(unreadable > 0, F.lit("Unreadable replacement characters were detected.")),
+                F.when(t.rlike(P.I + P.SYNOPTIC) & t.rlike(P.I + P.TRUNCATED), F.lit("Synoptic text ends at a staging label; verify that the continuation was captured.")),
+            ),
+            lambda x: x.isNotNull(),
+        )
+        base = F.least(F.lit(1.0), F.length(t) / 200.0) * F.least(F.lit(1.0), ratio / 0.8)
+        score = F.greatest(F.lit(0.0), base - F.least(F.lit(0.4), unreadable * 0.05))
+        return F.struct((t == "").alias("empty"), score.alias("score"), reasons.alias("reasons"))
+
+    def judged(m: Column) -> Column:
+        none = F.size(m["reasons"]) == 0
+        label = F.when(none & (m["score"] >= 0.75), "Good").when(m["score"] >= 0.35, "Review recommended").otherwise("Poor")
+        told = F.when(none & (m["score"] >= 0.35) & (m["score"] < 0.75), F.array(F.lit("Extracted text is readable but should be checked against the page."))).otherwise(m["reasons"])
+        return F.when(m["empty"], F.struct(F.lit("Poor").alias("label"), F.lit(0.0).alias("score"), F.array(F.lit("No text was extracted.")).alias("reasons"))).otherwise(
+            F.struct(label.alias("label"), m["score"].alias("score"), told.alias("reasons"))
+        )
+
+    return _once(_once(_once(stripped(F.coalesce(text, F.lit(""))), counted), measured), judged)
 
 
 def spreadsheet_safe(value: Column) -> Column:

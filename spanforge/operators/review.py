@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import patterns as P
 from spanforge.functions import spans
-from spanforge.operators import support, validate
+from spanforge.operators import support, validate, versions
 from spanforge.operators.extract import EVIDENCE
 
 NEED_VALUE = ("supported", "uncertain", "superseded")
@@ -98,11 +98,55 @@ def reviewed(rows: DataFrame, reviewed_at: str, reviewer: str = "Unassigned") ->
         by(F.col("evidence").cast(EVIDENCE), F.col("corrected_spans").cast(EVIDENCE), none, none).alias("evidence"),
         by(F.col("alternatives"), F.col("clean_alternatives"), F.array().cast("array<string>"), F.array().cast("array<string>")).alias("alternatives"),
         F.when((a == "accepted") & (F.trim("reason") == ""), "Reviewer accepted the proposed value and QA status.").otherwise(F.trim("reason")).alias("review_reason"),
-        F.lit(reviewed_at).alias("reviewed_at"), F.lit(reviewer).alias("reviewer_identity"),
+        F.col("evidence").cast(EVIDENCE).alias("original_evidence"), F.lit(reviewed_at).alias("reviewed_at"), F.lit(reviewer).alias("reviewer_identity"),
         ident("REV-", "report_id", "method", F.lit(reviewed_at)).alias("review_id"), ident("AUD-", "report_id", "method", F.lit(reviewed_at), "variable_name").alias("audit_id"),
     )
 
 
+def session_errors(reviewer: str | Column) -> Column:
+    """What keeps a review (returned_for_clarification, overall_note) from being completed: an array of messages."""
+    who = F.trim(F.coalesce(F.lit(reviewer) if isinstance(reviewer, str) else reviewer, F.lit("")))
+    return F.filter(
+        F.array(
+            F.when(who.isin("", "Unassigned"), F.lit("a reviewer must be assigned")),
+            F.when(F.coalesce("returned_for_clarification", F.lit(False)) & (F.trim(F.coalesce("overall_note", F.lit(""))) == ""), F.lit("a return for clarification needs a note")),
+        ),
+        lambda x: x.isNotNull(),
+    )
+
+
+def snapshot(fields: DataFrame, results: DataFrame, sessions: DataFrame, extracted_at: str) -> DataFrame:
+    """fields (see reviewed) with the provenance and priority of the proposal (results), the session of their review and the
+    priority that it leaves.
+
+    sessions: report_id, method, reviewer_identity_verified, review_started_at (ISO, null: unknown, so no duration),
+    returned_for_clarification, overall_note. Fields of sessions that may not be completed are left out. The digest of the
+    report binds the review to its text: `approved` tells whether a text is still the one that was reviewed."""
+    header = results.select(
+        "report_id", "method", "source_report_digest", F.col("review_priority").alias("original_review_priority"),
+        F.col("review_priority_reason").alias("original_review_priority_reason"),
+        (F.col("document_provenance_json") if "document_provenance_json" in results.columns else F.lit("null")).alias("document_provenance_json"),
+    )
+    left = residual_priority(fields).select(
+        "review_id", F.col("review_priority").alias("residual_review_priority"), F.col("review_priority_reason").alias("residual_review_priority_reason")
+    )
+    seconds = F.unix_timestamp(F.try_to_timestamp("reviewed_at")) - F.unix_timestamp(F.try_to_timestamp("review_started_at"))
+    return (
+        fields.join(header, ["report_id", "method"]).join(sessions, ["report_id", "method"]).join(left, "review_id")
+        .where(F.size(session_errors(F.col("reviewer_identity"))) == 0)
+        .withColumn("review_duration_seconds", F.greatest(seconds, F.lit(0)).cast("double"))
+        .withColumn("model_version", versions.version(F.col("method")))
+        .withColumn("extraction_timestamp", F.lit(extracted_at))
+    )
+
+
+def approved(snapshots: DataFrame, reports: DataFrame) -> DataFrame:
+    """reports (report_id, text) with approved: there is a review whose digest is that of the text; an edit revokes it."""
+    digests = snapshots.select("report_id", F.col("source_report_digest").alias("__digest")).distinct().withColumn("approved", F.lit(True))
+    named = reports.withColumn("__digest", F.concat(F.lit("sha256:"), F.sha2("text", 256)))
+    return named.join(digests, ["report_id", "__digest"], "left").withColumn("approved", F.coalesce("approved", F.lit(False))).drop("__digest")
+
+
 def residual_priority(fields: DataFrame) -> DataFrame:
     """Priority that the reviewed fields leave, with the fields named in their order."""
     order = F.array_position(F.array(*map(F.lit, P.VARIABLES)), F.col("variable_name"))

@@ -21,9 +21,14 @@ def _named(rules: dict[str, Column]) -> Column:
 
 
 def synthetic(spark: SparkSession, path: str, watermark: str) -> DataFrame:
-    """Reports of a JSON file ({"reports": [...]}) with errors."""
-    rows = spark.read.schema(f"reports array<struct<{REPORT.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path).select(F.inline("reports"))
-    return synthetic_checked(rows, watermark)
+    """Reports of JSON files ({"reports": [...]} or a bare list) with errors; a file without readable reports is one row of errors."""
+    kind = f"array<struct<{REPORT.replace(' ', ':').replace(',:', ',')}>>"
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^[\\uFEFF\\s]+", "").alias("value"))
+    found = F.when(F.col("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json("value", f"reports {kind}")["reports"])
+    files = files.select(found.alias("reports"))
+    bad = (F.coalesce(F.size("reports"), F.lit(-1)) < 1).alias("__bad")
+    checked = synthetic_checked(files.select(bad, F.inline_outer("reports")), watermark)
+    return checked.withColumn("errors", F.when(F.col("__bad"), F.array(F.lit("no readable reports in the file"))).otherwise(F.col("errors"))).drop("__bad")
 
 
 def synthetic_checked(rows: DataFrame, watermark: str) -> DataFrame:

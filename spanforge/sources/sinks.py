@@ -30,14 +30,14 @@ def whole_json(value: Column) -> Column:
 
 
 def laid_out(rows: DataFrame, columns: tuple[str, ...], label: str) -> DataFrame:
-    """rows with exactly these columns, missing ones empty, strings safe for spreadsheets, booleans as True or False."""
+    """rows with exactly these columns, strings safe for spreadsheets, booleans as True or False; a missing column is an error."""
     kinds = dict(rows.dtypes)
+    if missing := [c for c in columns if c not in kinds and c != "export_label"]:
+        raise ValueError(f"columns missing for the export: {', '.join(missing)}")
 
     def one(c: str) -> Column:
         if c == "export_label":
             return F.lit(label).alias(c)
-        if c not in kinds:
-            return F.lit("").alias(c)
         if kinds[c] == "boolean":
             return F.when(F.col(c), "True").when(~F.col(c), "False").otherwise("").alias(c)
         if kinds[c] == "string":
@@ -57,6 +57,7 @@ def audit_csv(fields: DataFrame) -> DataFrame:
         "*", F.col("reviewed_at").alias("timestamp"), F.col("review_action").alias("reviewer_action"), F.col("reviewed_value").alias("resulting_value"),
         F.when(F.col("review_action") == "corrected", F.col("reviewed_value")).alias("corrected_value"), F.col("reviewed_status").alias("resulting_status"),
         whole_json(F.col("alternatives")).alias("resulting_alternatives_json"), whole_json(F.col("evidence")).alias("resulting_evidence_json"),
+        whole_json(F.col("original_evidence")).alias("original_evidence_json"),
     )
     return laid_out(rows, AUDIT, LABEL_REVIEWED)
 

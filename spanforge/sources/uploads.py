@@ -35,6 +35,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return inspected(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 
+#: Inflated bytes of a DOCX body at most; larger ones count as damaged.
+DOCX_INNER = 200 << 20
+
+
 def docx_text(content: Column) -> Column:
     """Paragraphs of a DOCX file joined by blank lines; null if it is not one or has no text."""
 
@@ -42,6 +46,7 @@ def docx_text(content: Column) -> Column:
     def paragraphs(s: pd.Series) -> pd.Series:
         import io
         import zipfile
+        import zlib
         from xml.etree import ElementTree
 
         word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -51,9 +56,13 @@ def docx_text(content: Column) -> Column:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     if "[Content_Types].xml" not in z.namelist():
                         return None
-                    root = ElementTree.fromstring(z.read("word/document.xml"))
-            except (zipfile.BadZipFile, KeyError, TypeError, ElementTree.ParseError):
-                return None
+                    with z.open("word/document.xml") as member:
+                        inner = member.read(DOCX_INNER + 1)
+                    if len(inner) > DOCX_INNER:
+                        return None
+                    root = ElementTree.fromstring(inner)
+            except (zipfile.BadZipFile, zlib.error, KeyError, TypeError, ValueError, EOFError, RuntimeError, NotImplementedError, ElementTree.ParseError):
+                return None  # no zip, damaged, encrypted, or of an unknown compression
             text = ("".join(t.text or "" for t in p.iter(f"{word}t")).strip() for p in root.iter(f"{word}p"))
             return "\n\n".join(t for t in text if t).strip() or None
 

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import patterns as P
@@ -114,7 +115,21 @@ def test_review(spark):
     got = {r["variable_name"]: r for r in out.collect()}
     assert len(got) == out.count() == 4 and got[PT]["reviewed_status"] == "unsupported" and got[PN]["reviewed_status"] == "manual_review_required" and got[S]["reviewed_value"] == "3.2 cm"
     assert review.residual_priority(out).head()["review_priority"] == "high" and len({r["audit_id"] for r in got.values()}) == 4
-    assert len(sinks.reviewed_csv(out).columns) == 28 and len(sinks.audit_csv(out).columns) == 22
+    report = out.select("report_id", "method").distinct().withColumns({"source_report_digest": F.concat(F.lit("sha256:"), F.sha2(F.lit(text), 256)), "review_priority": F.lit("low"), "review_priority_reason": F.lit("none")})
+    session = lambda started, returned, note: out.select("report_id", "method").distinct().withColumns({"reviewer_identity_verified": F.lit(True), "review_started_at": F.lit(started), "returned_for_clarification": F.lit(returned), "overall_note": F.lit(note)})
+    named = out.withColumn("reviewer_identity", F.lit("A"))
+    whole = review.snapshot(named, report, session("2023-12-31T23:59:00Z", True, "ask"), "2023-12-31T00:00:00Z").cache()
+    csv = sinks.reviewed_csv(whole)
+    one = csv.where(F.col("variable_name") == S).head()
+    assert len(csv.columns) == 28 and csv.count() == 4 and all(str(v) for c, v in one.asDict().items() if c != "report_id"), one
+    assert (one["review_duration_seconds"], one["returned_for_clarification"], one["residual_review_priority"]) == (60.0, "True", "high") and one["model_version"].startswith("evidence_first-sha256:")
+    audit = sinks.audit_csv(whole)
+    assert len(audit.columns) == 22 and "start_offset" in audit.where(F.col("variable_name") == S).head()["original_evidence_json"]
+    assert review.snapshot(named, report, session(None, True, " "), "x").count() == 0 and review.snapshot(out, report, session(None, False, ""), "x").count() == 0
+    texts = spark.createDataFrame([("", text), ("", text + "!")], "report_id string, text string")
+    assert sorted(r["approved"] for r in review.approved(whole, texts).collect()) == [False, True]
+    with pytest.raises(ValueError, match="missing"):
+        sinks.reviewed_csv(out)
     assert '"reviewed_value":null' in sinks.reviewed_json(out).head()["json"]
 
 
@@ -172,3 +187,33 @@ def test_stream_of_reports(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["report_id"], r["variable_name"]): r["extracted_value"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got["a", PT] == "pT2a" and got["b", PN] == "pN1" and len(got) == 8
+
+
+def test_both_json_shapes_and_unreadable_files(spark, tmp_path):
+    from spanforge.sources import reports
+
+    one = '{"report_id":"SYN-%d","cancer_type":"LUAD","is_synthetic":true,"text":"WM some text"}'
+    for name, content in (("a", '{"reports":[' + one % 1 + "]}"), ("b", "[" + one % 2 + "]"), ("c", '{"reports":[{"rep'), ("d", "[]")):
+        (tmp_path / f"{name}.json").write_text(content)
+    got = sorted((r["report_id"] or "", r["errors"]) for r in reports.synthetic(spark, str(tmp_path), "WM").collect())
+    bad = ("", ["no readable reports in the file"])
+    assert got == [bad, bad, ("SYN-1", []), ("SYN-2", [])]
+
+
+def test_damaged_docx_members_give_no_text(spark):
+    import io
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from spanforge.sources import uploads
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", "x")
+        z.writestr("word/document.xml", "<a>" + "word " * 500 + "</a>")
+    data = bytearray(out.getvalue())
+    at = data.find(b"word/document.xml") + 20
+    data[at : at + 6] = b"\xff" * 6
+    rows = spark.createDataFrame([(bytes(data),)], "content binary").select(uploads.docx_text(F.col("content")).alias("t")).collect()
+    assert rows[0]["t"] is None
