@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import patterns as P
 from spanforge.operators import support
+from spanforge.operators.extract import EVIDENCE
 
 COUNTS = ("tp", "fp", "fn", "tn", "unsupported", "abstained", "evidence_correct", "evidence_total", "status_correct", "status_total")
 #: Metric name -> (numerator, denominator, definition), in the order of the evaluation export.
@@ -151,3 +152,28 @@ def matrix(flat_results: DataFrame) -> DataFrame:
     """Per report and field, value and status of each method side by side."""
     cell = F.concat_ws(" / ", F.coalesce("extracted_value", F.lit("-")), "documentation_status")
     return flat_results.groupBy("report_id", "variable_name").pivot("method", list(P.METHODS)).agg(F.first(cell))
+
+
+def per_field(fields: DataFrame, gold: DataFrame) -> DataFrame:
+    """Each field held against its gold annotation: has_evidence, value_correct, status_correct and evidence_valid.
+
+    Evidence is valid if each span contains the gold span or lies in it and its wording carries the status. Fields without
+    evidence, or without gold, have a null there; evidence where gold has none is not valid. Fields without gold are wrong."""
+    marks = ["gold_value", "gold_status", "evidence_text", "evidence_start_offset", "evidence_end_offset"]
+    rows = fields.join(gold.select("report_id", "variable_name", *marks, F.lit(True).alias("__gold")), ["report_id", "variable_name"], "left")
+    v, text, ev = F.col("extracted_value"), F.col("text"), F.coalesce("evidence", F.array().cast(EVIDENCE))
+    rows = rows.withColumn("__p", F.when(v.isNotNull(), support.value_pattern(F.col("variable_name"), v)))
+    carries = support.supports_status(
+        F.col("variable_name"), F.col("documentation_status"), v, F.col("__p"), support.texts_of(ev), support.contexts_of(text, ev), F.coalesce("alternatives", F.array().cast("array<string>"))
+    )
+    sound = F.when(exact(text, ev), carries).otherwise(F.col("documentation_status") == "not_documented")
+    a, b = F.col("evidence_start_offset"), F.col("evidence_end_offset")
+    nested = F.forall(ev, lambda e: ((a <= e["start_offset"]) & (e["end_offset"] <= b)) | ((e["start_offset"] <= a) & (b <= e["end_offset"])))
+    there, known = F.size(ev) > 0, F.coalesce(F.col("__gold"), F.lit(False))
+    unmarked = F.col("evidence_text").isNull() | a.isNull() | b.isNull()
+    valid = F.when(known & there & unmarked, False).when(known & there & (F.col("evidence_text") != ""), nested & sound)
+    return rows.select(
+        "report_id", "method", "variable_name", "extracted_value", "documentation_status", there.alias("has_evidence"),
+        (known & values_match(v, F.col("gold_value"))).alias("value_correct"),
+        (known & F.coalesce(F.col("documentation_status") == F.col("gold_status"), F.lit(False))).alias("status_correct"), valid.alias("evidence_valid"),
+    )

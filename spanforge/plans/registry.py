@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import patterns as P
 from spanforge.functions import spans
 from spanforge.functions import text as T
-from spanforge.operators import evaluate, extract, model, pages, pipeline, review
+from spanforge.operators import evaluate, extract, model, pages, pipeline, review, triage
 from spanforge.plans import fixtures as X
 from spanforge.sources import sinks
 
@@ -369,6 +369,50 @@ def values_match(spark, table):
     return table("orders").select("o_orderkey", a.alias("a"), b.alias("b")).select("o_orderkey", evaluate.values_match(F.col("a"), F.col("b")).alias("same"))
 
 
+# --- triage -----------------------------------------------------------------------------------------------------------
+@query(f"""
+with b as (select * from ({X.expected_sql("baseline")}) x), e as (select * from ({X.expected_sql("evidence_first")}) y),
+r as (select e.report_id, e.variable_name, e.documentation_status as st, e.extracted_value as v, concat_ws('; ',
+    case when e.documentation_status = 'conflicting' then 'Conflicting evidence'
+      when e.documentation_status in ('not_documented', 'cannot_be_assigned') then 'Missing or unassignable documentation'
+      when e.documentation_status in ('uncertain', 'unsupported', 'manual_review_required') then 'Uncertain, low-confidence, or unsupported output'
+      when e.documentation_status = 'superseded' then 'Corrected or superseded statement'
+      when e.documentation_status = 'negated' then 'Explicitly negated finding' end,
+    case when e.documentation_status <> b.documentation_status or e.extracted_value is distinct from b.extracted_value then 'Extraction methods disagree' end) as reasons,
+  list_position(['histologic_diagnosis', 'tumor_size', 'pathological_t_category', 'pathological_n_category'], e.variable_name) as ord
+  from e join b on e.report_id = b.report_id and e.variable_name = b.variable_name)
+select report_id, case variable_name when 'histologic_diagnosis' then 'Histologic diagnosis' when 'tumor_size' then 'Tumor size' when 'pathological_t_category' then 'Pathological T category' else 'Pathological N category' end as label,
+  reasons, (row_number() over (partition by report_id order by reasons = '', ord))::int as review_place,
+  case when variable_name <> 'pathological_n_category' then null when v = 'pN0' then 'Explicit pN0: the report documents pathological N0. This is not pNX or Not documented.'
+    when v = 'pNX' or st = 'cannot_be_assigned' then 'pNX / Cannot be assigned: this is not pN0 or Not documented.'
+    when st = 'not_documented' then 'Not documented: no explicit pathological N category is present. This is not pN0 or pNX.' end as nodal_note from r
+""")
+def triage_fields(spark, table):
+    kept = ["report_id", "method", "variable_order", "variable_name", "extracted_value", "documentation_status", "notes"]
+    first, plain = (pipeline.fields(texts(spark, table), m).select(*kept) for m in ("evidence_first", "baseline"))
+    rows = triage.review_order(triage.reasoned(first, first.unionByName(plain)))
+    note = triage.nodal_note(F.col("variable_name"), F.col("extracted_value"), F.col("documentation_status"))
+    return rows.select("report_id", triage.variable_label(F.col("variable_name")).alias("label"), F.array_join("triage_reasons", "; ").alias("reasons"), "review_place", note.alias("nodal_note"))
+
+
+@query("""
+select o_orderkey as report_id, case when o_orderkey % 4 = 0 then case o_orderkey % 3 when 0 then 'ml' else 'evidence_first' end
+  when o_orderkey % 4 = 1 then 'baseline' when o_orderkey % 3 = 0 then 'ml' else 'evidence_first' end as queue_method from orders
+""")
+def queue_methods(spark, table):
+    """No results for keys 0 and only the baseline's for keys 1 modulo 4, else all; a third of the reports prefers `ml`."""
+    k = F.col("o_orderkey")
+    ids = table("orders").select("o_orderkey", k.alias("report_id"))
+    have = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("baseline"))).otherwise(F.array(*map(F.lit, P.METHODS)))
+    wish = ids.where(k % 3 == 0).select("report_id", F.lit("ml").alias("method"))
+    return triage.queue(ids.select("report_id"), ids.select("report_id", F.explode(have).alias("method")), wish)
+
+
+@query("select (select count(*) from part)::bigint as reports_loaded, (select count(*) from orders)::bigint as extractions_run, (select count(*) from supplier)::bigint as reviews_saved, (select count(*) from events)::bigint as audit_records")
+def workspace_counts(spark, table):
+    return triage.workspace(table("part"), table("orders"), table("supplier"), table("events"))
+
+
 # --- exports and the model: rows only -----------------------------------------------------------------------------------
 @query()
 def reviewed_export(spark, table):
