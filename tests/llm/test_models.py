@@ -82,3 +82,56 @@ def test_sample_size_leaves_the_threshold_at_the_share_of_bad_labels(spark):
     x = np.stack([quality.features(t) for t in rows["text"]]).astype("float64")
     raw = (np.clip((x - model.mean) / model.scale, -8, 8) * model.weights).sum(1)
     assert (raw < model.threshold).sum() <= (rows["quality"] == 0).sum() <= (raw <= model.threshold).sum()
+
+
+LETTERS = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "mnopqrst"}
+
+
+def _prose(draw, lang, n):
+    words = draw.integers(0, len(LETTERS[lang]), (40, 4))  # few words, so that trigrams come again
+    return " ".join("".join(LETTERS[lang][i] for i in words[k]) for k in draw.integers(0, 40, n))
+
+
+def _trigrams(text):
+    """Bins of the trigrams of the words of a text of plain letters, one by one."""
+    data = (" " + " ".join(text.lower().split()) + " ").encode()
+    return [(((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761) % 2**32) >> 17 for i in range(len(data) - 2)]
+
+
+def _best_by_grid(p, c, steps=200):
+    """(log-likelihood, shares) of the best mixture of one or two rows of p."""
+    grid = [np.ones(1)] if len(p) == 1 else [np.array([k / steps, 1 - k / steps]) for k in range(1, steps)]
+    return max(((np.log(s @ p) @ c, tuple(s)) for s in grid))
+
+
+def test_language_model_counts_every_trigram(spark):
+    draw = np.random.default_rng(1)
+    rows = [(i, _prose(draw, lang, 60), lang) for i, lang in enumerate(list(LETTERS) * 4)] + [(99, None, "aa"), (100, "12 !", "bb"), (101, "abc abc", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = np.zeros((3, langid.BINS))
+    for _, text, lang in rows:
+        if lang and text and text != "12 !":
+            np.add.at(want[sorted(LETTERS).index(lang)], _trigrams(text), 1)
+    total = want.sum(1, keepdims=True)
+    assert model.languages == sorted(LETTERS) and np.allclose(model.p, (want + langid.SMOOTH) / (total + langid.SMOOTH * langid.BINS), rtol=1e-12)
+
+
+@pytest.mark.parametrize(("made", "want"), [({"aa": 60}, ["aa"]), ({"aa": 60, "bb": 40}, ["aa", "bb"]), ({"cc": 90, "bb": 30}, ["cc", "bb"]), ({"cc": 80, "aa": 1}, ["cc"])])
+def test_mixture_is_the_best_by_penalised_likelihood(made, want):
+    draw = np.random.default_rng(7)
+    counts, text = np.zeros((3, langid.BINS)), []
+    for i, lang in enumerate(sorted(LETTERS)):
+        words = _prose(draw, lang, 4000).split()
+        np.add.at(counts[i], _trigrams(" ".join(words)), 1)
+        text += [words[k] for k in draw.integers(0, 4000, made.get(lang, 0))]
+    model = langid.Model(sorted(LETTERS), counts)
+    c = np.bincount(_trigrams(" ".join(text)), minlength=langid.BINS)
+    sets = [(i,) for i in range(3)] + [(i, j) for i in range(3) for j in range(i)]
+    fits = {s: _best_by_grid(model.p[list(s)], c) for s in sets}
+    best = max(sets, key=lambda s: fits[s][0] - langid.PENALTY * np.log(c.sum() + 1) * (len(s) - 1))
+    got = model.mixture(" ".join(text))
+    assert {k for k, _ in got} == {model.languages[i] for i in best} and [k for k, _ in got] == want
+    shares = dict(zip([model.languages[i] for i in best], fits[best][1]))
+    assert all(abs(shares[k] - s) < 0.01 for k, s in got)
+    p = model.p[[model.languages.index(k) for k, _ in got]]
+    assert np.log(np.array([s for _, s in got]) @ p) @ c > fits[best][0] - 0.05
