@@ -135,3 +135,19 @@ def test_mixture_is_the_best_by_penalised_likelihood(made, want):
     assert all(abs(shares[k] - s) < 0.01 for k, s in got)
     p = model.p[[model.languages.index(k) for k, _ in got]]
     assert np.log(np.array([s for _, s in got]) @ p) @ c > fits[best][0] - 0.05
+
+
+def test_bradley_terry_minimises_the_pair_loss():
+    draw = np.random.default_rng(3)
+    good, bad = draw.normal(0.5, 1, (60, 4)), draw.normal(0, 1, (80, 4))
+    pick = np.random.default_rng(2)  # the operator's pairs
+    n = min(quality.PAIRS, len(good) * len(bad))
+    diff = good[pick.integers(len(good), size=n)] - bad[pick.integers(len(bad), size=n)]
+    loss = lambda w: np.mean(np.log1p(np.exp(-(diff @ w)))) + quality.DECAY / 2 * w @ w
+    best = np.zeros(4)
+    for _ in range(30):  # Newton's method
+        q = 1 / (1 + np.exp(diff @ best))
+        slope = -(q @ diff) / n + quality.DECAY * best
+        best = best - np.linalg.solve((diff.T * (q * (1 - q))) @ diff / n + quality.DECAY * np.eye(4), slope)
+    w = quality.bradley_terry(good, bad)
+    assert loss(w) < loss(best) + 1e-4 and np.abs(w - best).max() < 0.02
