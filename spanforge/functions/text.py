@@ -122,8 +122,17 @@ def safe_filename(name: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    s = F.floor(seconds).cast("int")
-    return F.format_string("%dm %02ds", F.floor(s / 60).cast("int"), s % 60)
+    """Whole seconds, halves to even, as minutes and seconds; below a minute seconds only; null: N/A."""
+    s = F.rint(seconds).cast("long")
+    m = F.floor(s / 60)
+    text = F.when(m != 0, F.format_string("%dm %02ds", m, F.pmod(s, F.lit(60)))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+    return F.when(seconds.isNull(), "N/A").otherwise(text)
+
+
+def file_size(size: Column) -> Column:
+    """Bytes as KB, from 1,048,576 on as MB, with one decimal, halves to even."""
+    one = lambda x, unit: F.format_string(f"%.1f {unit}", F.bround(x, 1))
+    return F.when(size >= 1 << 20, one(size / (1 << 20), "MB")).otherwise(one(size / 1024, "KB"))
 
 
 def digest(content: Column) -> Column:

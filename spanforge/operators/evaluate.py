@@ -124,6 +124,16 @@ def compared(found: DataFrame, a: str = "evidence_first", b: str = "baseline") -
     return wide.withColumn("delta", F.col(a) - F.col(b)).orderBy("ord")
 
 
+def changes(found: DataFrame, first: str = "evidence_first", base: str = "baseline") -> DataFrame:
+    """One row: how four metrics differ between two methods, from rates rounded to four places; null where a rate is."""
+    rate = lambda method, metric: F.max(F.when((F.col("method") == method) & (F.col("metric") == metric), F.round("rate", 4)))
+    gain = lambda metric: F.round(rate(first, metric) - rate(base, metric), 4)
+    return found.agg(
+        F.round(rate(base, "unsupported_extraction_rate") - rate(first, "unsupported_extraction_rate"), 4).alias("unsupported_rate_reduction"),
+        gain("overall_precision").alias("precision_improvement"), gain("overall_recall").alias("recall_change"), gain("coverage").alias("coverage_change"),
+    )
+
+
 def cohort_errors(results: DataFrame, gold: DataFrame, texts: DataFrame) -> DataFrame:
     """(rule, report_id) of what keeps a cohort from being scored: coverage both ways, repeated results, missing gold fields,
     gold evidence that is not where it says."""

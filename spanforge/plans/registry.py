@@ -413,6 +413,17 @@ def workspace_counts(spark, table):
     return triage.workspace(table("part"), table("orders"), table("supplier"), table("events"))
 
 
+@query("""
+with c as (select c_custkey, case when c_custkey % 10 <> 0 then c_custkey / 4.0 end as seconds, c_custkey * c_custkey * 64 as bytes from customer),
+d as (select *, round_even(seconds, 0)::bigint as s from c)
+select c_custkey, case when s is null then 'N/A' when s >= 60 then printf('%dm %02ds', s // 60, s % 60) else concat(s, 's') end as duration,
+  case when bytes >= 1048576 then printf('%.1f MB', bytes / 1048576::double) else printf('%.1f KB', bytes / 1024::double) end as size from d
+""")
+def display_texts(spark, table):
+    k = F.col("c_custkey")
+    return table("customer").select("c_custkey", T.duration(F.when(k % 10 != 0, k / 4)).alias("duration"), T.file_size(k * k * 64).alias("size"))
+
+
 # --- exports and the model: rows only -----------------------------------------------------------------------------------
 @query()
 def reviewed_export(spark, table):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import patterns as P
+from spanforge.functions import text as T
 from spanforge.operators import evaluate, triage
 from tests.test_parts import FIELD, field
 
@@ -60,3 +61,14 @@ def test_labels(spark):
     assert got == [triage.PN0_NOTE, triage.PNX_NOTE, triage.NO_PN_NOTE, None, None]
     names = spark.createDataFrame([(S,), ("lymph_node",)], "v string").select(triage.variable_label(F.col("v"))).collect()
     assert [r[0] for r in names] == ["Tumor size", "Lymph Node"]
+
+
+def test_changes_between_methods(spark):
+    rates = {"unsupported_extraction_rate": (0.2, 0.05), "overall_precision": (0.33333, 0.66667), "overall_recall": (None, 0.5), "coverage": (0.9, 0.8)}
+    rows = [(m, k, v[i]) for k, v in rates.items() for i, m in enumerate(("baseline", "evidence_first"))]
+    assert tuple(evaluate.changes(spark.createDataFrame(rows, "method string, metric string, rate double")).head()) == (0.15, 0.3334, None, -0.1)
+
+
+def test_durations_and_sizes(spark):
+    rows = spark.createDataFrame([(None, 256), (59.5, 1024), (0.5, 1 << 20), (125.4, 1572864)], "s double, n long")
+    assert [tuple(r) for r in rows.select(T.duration(F.col("s")), T.file_size(F.col("n"))).collect()] == [("N/A", "0.2 KB"), ("1m 00s", "1.0 KB"), ("0s", "1.0 MB"), ("2m 05s", "1.5 MB")]
