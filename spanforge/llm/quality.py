@@ -7,7 +7,8 @@ training scores that leaves as large a share below it as bad labels have; a logi
 
 The weights are fitted on at most about ROWS labelled texts of either label, picked by a hash, and PAIRS pairs of them (the
 documented bounds). The quantile is exact over the scores of all labelled training texts: histograms narrow it down to a
-range of at most RANGE_ROWS scores (or one value). Scoring reads every whole text.
+range of at most RANGE_ROWS scores (or one value). Every whole text is read once (`judged`): its worth is stored, threshold and
+scores are taken from there.
 
 Defined cases: null text: like the empty text, which has a score too. Rows without label, or with contradictory labels,
 are not learned from. One label only, or none: every score is 0.5. Null doc_id: scored, never held out. Repeated rows:
@@ -32,6 +33,7 @@ BINS = 512
 DECAY = 1e-3
 STEPS = 300
 COLUMNS = {"score": "double", "predicted": "int"}
+RAW = "__raw"
 
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 _CLASS = np.zeros(256, "int64")
@@ -83,8 +85,7 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1 for each row of features; 0.5 at the threshold."""
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights - self.threshold
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.threshold, -30, 30)))
 
 
 def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS) -> np.ndarray:
@@ -101,9 +102,10 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS) -> np.n
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """A model from labels (doc_id, quality) of the training split."""
-    spark, size = docs.sparkSession, len(features(""))
+def ranking(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[Model, DataFrame, dict[int, int]]:
+    """Weights from labels (doc_id, quality) of the training split, without a threshold; the usable labels (doc_id, quality)
+    and their number by quality, empty if there are not both labels."""
+    size = len(features(""))
     usable = (
         labels.where(~common.held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     n = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     even = Model(np.zeros(size), np.ones(size), np.zeros(size), 0.0)
     if len(n) < 2:
-        return even
+        return even, usable, {}
     at = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(2)), 11) / F.lit(float(2**53))
     share = F.when(F.col("quality") == 1, min(1.0, rows / n[1])).otherwise(min(1.0, rows / n[0]))
     picked = usable.where(at < share)  # at most about 2 * rows rows
@@ -125,35 +127,47 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
     got = sample.mapInPandas(run, "quality int, x binary").toPandas()
     if not len(got) or got["quality"].nunique() < 2:
-        return even
+        return even, usable, {}
     x = np.stack([np.frombuffer(b, "float32") for b in got["x"]])
     y = got["quality"].to_numpy()
     order = np.lexsort((*x.T[:8], y))  # the same pairs whatever order the rows came in
     x, y = x[order].astype("float64"), y[order]
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = np.clip((x - mean) / scale, -8, 8)
-    w = bradley_terry(z[y == 1], z[y == 0])
-    model = Model(mean, scale, w, 0.0)
-    model.threshold = threshold(labelled(docs, usable, model), n)
+    return Model(mean, scale, bradley_terry(z[y == 1], z[y == 0]), 0.0), usable, n
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
+    """A model from labels (doc_id, quality) of the training split; its threshold takes one pass over all texts."""
+    model, usable, n = ranking(docs, labels, rows)
+    if n:
+        model.threshold = threshold(labelled(raws(docs.select("doc_id", "text"), model), usable), n)
     return model
 
 
-def labelled(docs: DataFrame, usable: DataFrame, model: Model) -> DataFrame:
-    """(quality, raw) of every text that usable (doc_id, quality) labels; texts are scored where they are, and not shuffled."""
+def raws(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (text, ...) with the worth of each text (RAW) in place of the text, which is not shuffled."""
     import pyarrow as pa
 
+    docs = common.without(docs, RAW)
     shared = common.share(docs.sparkSession, model)
-    rows = docs.select("doc_id", "text").where("doc_id is not null")
 
     def run(batches):
         m = common.opened(shared)
         for batch in batches:
             for part in common.slices(batch):
-                x = np.stack([features(t) for t in part.column(1).to_pylist()]).astype("float64")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.raw(x), pa.float64())], names=["doc_id", "raw"])
+                at = part.schema.get_field_index("text")
+                x = np.stack([features(t) for t in part.column(at).to_pylist()]).astype("float64")
+                rest = [(c, name) for i, (c, name) in enumerate(zip(part.columns, part.schema.names)) if i != at]
+                yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), pa.array(m.raw(x), pa.float64())], names=[*(name for _, name in rest), RAW])
+
+    return common.mapped(docs, run, common.add_columns(docs.drop("text").schema, **{RAW: "double"}))
 
-    raws = rows.mapInArrow(run, common.add_columns(rows.select("doc_id").schema, raw="double"))
-    return common.stored(raws.join(usable, "doc_id").select("quality", "raw"), "quality-raw")
+
+def labelled(worth: DataFrame, usable: DataFrame) -> DataFrame:
+    """(quality, raw) of the rows of worth (doc_id, RAW) that usable (doc_id, quality) labels."""
+    rows = worth.select("doc_id", F.col(RAW).alias("raw")).where("doc_id is not null")
+    return common.stored(rows.join(usable, "doc_id").select("quality", "raw"), "quality-raw")
 
 
 def threshold(rows: DataFrame, n: dict[int, int]) -> float:
@@ -212,7 +226,20 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return common.mapped(docs, run, common.add_columns(docs.schema, **COLUMNS))
 
 
+def judged(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """docs (doc_id, text, ...) without the texts, with score and predicted of a model fitted on labels (doc_id, quality).
+
+    Like scored(docs, fit(docs, labels)), but every text is read once: its worth is stored, the threshold and the scores come
+    from there."""
+    model, usable, n = ranking(docs, labels, rows)
+    worth = common.stored(raws(common.without(docs, *COLUMNS), model), "quality-worth")
+    at = threshold(labelled(worth, usable), n) if n else 0.0
+    z = F.least(F.greatest(F.col(RAW) - F.lit(at), F.lit(-30.0)), F.lit(30.0))
+    out = worth.withColumn("score", 1 / (1 + F.exp(-z)))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(RAW)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scored(docs, fit(docs, common.table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    out = judged(docs, common.table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return out.select("doc_id", common.held_out().alias("held_out"), "score", "predicted")

@@ -151,3 +151,15 @@ def test_bradley_terry_minimises_the_pair_loss():
         best = best - np.linalg.solve((diff.T * (q * (1 - q))) @ diff / n + quality.DECAY * np.eye(4), slope)
     w = quality.bradley_terry(good, bad)
     assert loss(w) < loss(best) + 1e-4 and np.abs(w - best).max() < 0.02
+
+
+def test_judged_in_one_pass_like_fit_and_scored(spark):
+    """judged reads texts once and drops them; scores are those of scored(docs, fit(docs, labels)), odd column names stay."""
+    docs = spark.createDataFrame([(i, ("Good words here. " if i % 2 else "BAD ## 99 !! ") * (i % 13 + 1), i) for i in range(300)], "doc_id long, text string, `a.b` int")
+    labels = spark.createDataFrame([(i, i % 2 if i % 17 else 1 - i % 2) for i in range(0, 300, 2)] + [(i, 1) for i in range(1, 300, 2)], "doc_id long, quality int")
+    want = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.scored(docs, quality.fit(docs, labels, 60)).collect()}
+    got = quality.judged(docs, labels, 60)
+    assert got.columns == ["doc_id", "a.b", "score", "predicted"]
+    rows = got.collect()
+    assert len(rows) == 300 and all(r["a.b"] == r["doc_id"] for r in rows)
+    assert all(abs(r["score"] - want[r["doc_id"]][0]) < 1e-12 and r["predicted"] == want[r["doc_id"]][1] for r in rows)
