@@ -1,84 +1,203 @@
-"""Status classifier: character n-grams inside word bounds, own inverse document frequencies, one logistic regression per
-variable. Its confidence goes into notes only; values come from the evidence."""
+"""Field classifier: character n-grams inside word bounds with sublinear term weights, smoothed inverse document frequencies
+and unit length; one logistic regression a variable over labels that carry the value. Its confidence goes into notes only;
+values come from the evidence.
+
+N-grams are hashed to FEATURES places, so a model is bounded whatever the cohort. Everything stays in the JVM; the predictions
+of all variables are made on the report's own row, without a join or a shuffle of texts. Blank texts get no prediction."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, StringIndexer
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import DenseVector, VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-FEATURES = 1 << 13
+from spanforge.functions import patterns as P
 
+FEATURES = 1 << 14
+ITERATIONS = 2000
+TOLERANCE = 1e-4
+PARTITION_ROWS = 5000
 
-def ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Lower-cased character n-grams of each word, padded with a blank on both sides."""
-    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
-    padded = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+# Labels without a value, and the notes of the method.
+ABSENT = "__ABSENT__"
+CANNOT_ASSIGN = "__CANNOT_ASSIGN__"
+CONFLICT = "__CONFLICT__"
+NEGATED = "__NEGATED__"
+UNCERTAIN = "__UNCERTAIN__::"
+SELECTED_NOTE = "Evidence-anchored hybrid candidate selected (classifier confidence=%.2f)."
+WITHHELD_NOTE = "No evidence-anchored candidate was found; a classifier-only suggestion was withheld (confidence=%.2f)."
 
-    def grams(w: Column, n: int) -> Column:
-        last = F.length(w) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array(w))
+_OPEN = "struct<v:struct<type:tinyint,size:int,indices:array<int>,values:array<double>>>"
+_SEALED = T.StructType([T.StructField("v", VectorUDT())])
+PREDICTION = "array<struct<variable_name:string,label:string,confidence:double,probabilities:map<string,double>>>"
 
-    return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[grams(padded(w), n) for n in range(low, high + 1)]))))
 
+def label_of(status: Column, value: Column) -> Column:
+    """The class of a gold annotation: its value, marked where uncertain, or the reason why there is none."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    return (
+        F.when(status == "conflicting", CONFLICT).when(status == "negated", NEGATED).when((v == "") & (status == "cannot_be_assigned"), CANNOT_ASSIGN)
+        .when(v == "", ABSENT).when(status == "uncertain", F.concat(F.lit(UNCERTAIN), v)).otherwise(v)
+    )
 
-def training(gold: DataFrame, texts: DataFrame) -> DataFrame:
-    """(variable_name, text, label, weight): gold statuses with balanced class weights."""
-    rows = gold.join(texts, "report_id").select("variable_name", "text", F.col("gold_status").alias("label"))
-    n = rows.groupBy("variable_name", "label").agg(F.count("*").alias("n"))
-    total = n.groupBy("variable_name").agg(F.sum("n").alias("all"), F.count("*").alias("classes"))
-    weights = n.join(total, "variable_name").select("variable_name", "label", (F.col("all") / (F.col("classes") * F.col("n"))).alias("weight"))
-    return rows.join(weights, ["variable_name", "label"])
 
+def decoded(label: Column) -> Column:
+    """struct(value, status) that a label stands for; a plain value has no status of its own."""
+    marked = label.startswith(UNCERTAIN)
+    status = (
+        F.when(label == ABSENT, "not_documented").when(label == CANNOT_ASSIGN, "cannot_be_assigned").when(label == CONFLICT, "conflicting")
+        .when(label == NEGATED, "negated").when(marked, "uncertain")
+    )
+    value = F.when(marked, F.substring(label, len(UNCERTAIN) + 1, F.length(label))).when(status.isNull(), label)
+    return F.struct(value.alias("value"), status.alias("status"))
 
-def fit(rows: DataFrame, iterations: int = 200) -> PipelineModel:
-    """The model of one variable; rows (text, label, weight) have at least two labels."""
-    stages = [
-        StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=FEATURES, binary=True), IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight", maxIter=iterations, regParam=0.01),
-    ]
-    return Pipeline(stages=stages).fit(rows.withColumn("grams", ngrams(F.col("text"))))
 
+def ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Lower-cased character n-grams of each word, padded with a blank on both sides; none longer than the padded word."""
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def grams(w: Column, n: int) -> Column:
+        last = F.length(w) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """rows (text, ...) with label, confidence and probabilities of each label."""
-    labels = model.stages[0].labels
-    out = Unlabelled(model).transform(rows.withColumn("grams", ngrams(F.col("text"))))
-    p = F.slice(vector_to_array("probability"), 1, len(labels))
-    best = F.array_max(F.zip_with(p, F.array(*map(F.lit, labels)), lambda a, b: F.struct(a.alias("p"), b.alias("label"))))
-    return out.select(*rows.columns, best["label"].alias("label"), best["p"].alias("confidence"), F.map_from_arrays(F.array(*map(F.lit, labels)), p).alias("probabilities"))
+    return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[grams(w, n) for n in range(low, high + 1)]))))
 
 
-class Unlabelled:
-    """The fitted stages after the indexer: rows to be predicted have no label."""
+def sublinear(counts: Column) -> Column:
+    """A sparse vector of 1 + ln(count). Vectors have no functions of their own in SQL: opened and closed by way of JSON."""
+    v = F.from_json(F.to_json(F.struct(counts.alias("v"))), _OPEN)["v"]
+    values = F.transform(v["values"], lambda n: 1 + F.ln(n))
+    again = F.struct(v["type"].alias("type"), v["size"].alias("size"), v["indices"].alias("indices"), values.alias("values"))
+    return F.from_json(F.to_json(F.struct(again.alias("v"))), _SEALED)["v"]
 
-    def __init__(self, model: PipelineModel):
-        self.stages = model.stages[1:]
 
-    def transform(self, rows: DataFrame) -> DataFrame:
-        for stage in self.stages:
-            rows = stage.transform(rows)
-        return rows
+def weighted_terms(rows: DataFrame, features: int = FEATURES) -> DataFrame:
+    """rows (text, ...) with __terms, the hashed n-grams with sublinear weights."""
+    hashed = HashingTF(inputCol="__grams", outputCol="__tf", numFeatures=features)
+    out = hashed.transform(rows.withColumn("__grams", ngrams(F.coalesce("text", F.lit("")))))
+    return out.withColumn("__terms", sublinear(F.col("__tf"))).drop("__grams", "__tf")
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def cohort(gold: DataFrame, most: int) -> DataFrame:
+    """Gold rows of at most `most` reports, picked by a hash of their ids: the documented bound of a fitting sample, which also
+    bounds the number of labels."""
+    picked = gold.select("report_id").distinct().orderBy(F.xxhash64("report_id"), "report_id").limit(most)
+    return gold.join(F.broadcast(picked), "report_id", "left_semi")
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def training(gold: DataFrame, texts: DataFrame) -> DataFrame:
+    """(variable_name, text, label, weight): labels of gold annotations with balanced class weights. A variable with one label
+    only gets one more row, an absent value for its first text, as contrast."""
+    known = gold.where(F.col("variable_name").isin(*P.VARIABLES)).join(texts.where("text is not null").select("report_id", "text"), "report_id")
+    rows = known.select("variable_name", "text", label_of(F.col("gold_status"), F.col("gold_value")).alias("label"))
+    single = rows.groupBy("variable_name").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("text").alias("text")).where("low = high")
+    rows = rows.unionByName(single.select("variable_name", "text", F.lit(ABSENT).alias("label")))
+    n = rows.groupBy("variable_name", "label").agg(F.count("*").alias("n"))
+    total = n.groupBy("variable_name").agg(F.sum("n").alias("all"), F.count("*").alias("classes"))
+    weights = n.join(total, "variable_name").select("variable_name", "label", (F.col("all") / (F.col("classes") * F.col("n"))).alias("weight"))
+    return rows.join(weights, ["variable_name", "label"])
 
 
 def label_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("variable_name", "label").agg(F.count("*").alias("n"))
 
 
-def with_predictions(fields: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Fields of the evidence-first method as method 'ml', the notes led by the predicted status and its confidence."""
-    p = predictions.select("report_id", "variable_name", F.col("label").alias("__l"), F.col("confidence").alias("__c"))
-    note = F.when(F.col("__l").isNull(), F.lit("")).otherwise(F.format_string("Model status %s (confidence %.2f). ", "__l", "__c"))
-    return fields.join(p, ["report_id", "variable_name"], "left").withColumn("notes", F.concat(note, "notes")).withColumn("method", F.lit("ml")).drop("__l", "__c")
+def fit(rows: DataFrame, iterations: int = ITERATIONS, features: int = FEATURES) -> PipelineModel:
+    """The model of one variable: label index, term weights, unit length, regression. rows (text, label, weight)."""
+    counted = rows.agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).first()
+    if counted["n"] < 2 or counted["labels"] < 2:
+        raise ValueError("a model needs two labelled texts and two labels")
+    # each step of the solver is a job: as few partitions as the rows need
+    terms = weighted_terms(rows.coalesce(1 + counted["n"] // PARTITION_ROWS), features).cache()
+    index = StringIndexer(inputCol="label", outputCol="__target", stringOrderType="alphabetAsc").fit(terms)
+    rarity = IDF(inputCol="__terms", outputCol="__idf").fit(terms).idf.toArray() + 1.0
+    weigh = ElementwiseProduct(scalingVec=DenseVector(rarity), inputCol="__terms", outputCol="__weighed")
+    unit = Normalizer(inputCol="__weighed", outputCol="__features", p=2.0)
+    # the penalty |w|^2 / 2 stands against the sum of the losses; Spark takes their mean
+    regression = LogisticRegression(
+        featuresCol="__features", labelCol="__target", weightCol="weight", maxIter=iterations, tol=TOLERANCE, regParam=1.0 / counted["n"],
+        standardization=False, family="multinomial", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__at",
+    )
+    fitted = regression.fit(unit.transform(weigh.transform(index.transform(terms))))
+    terms.unpersist()
+    return PipelineModel([index, weigh, unit, fitted])
+
+
+def fit_all(gold: DataFrame, texts: DataFrame, iterations: int = ITERATIONS, features: int = FEATURES) -> dict[str, PipelineModel]:
+    """A model for each variable; ValueError where a variable has fewer than two labelled texts or labels."""
+    rows = training(gold, texts).cache()
+    models = {v: fit(rows.where(F.col("variable_name") == v).drop("variable_name"), iterations, features) for v in P.VARIABLES}
+    rows.unpersist()
+    return models
+
+
+def annotated(reports: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
+    """reports (text, ...) with predictions: variable, best label, its confidence and the probabilities of all labels, for each
+    model; null for blank texts."""
+    size = {len(m.stages[1].getScalingVec()) for m in models.values()}
+    if len(size) != 1:
+        raise ValueError("the models must share one feature space")
+    out, made = weighted_terms(reports, size.pop()), []
+    for v, m in models.items():
+        index, weigh, unit, fitted = m.stages
+        for stage in (weigh, unit, fitted):
+            out = stage.transform(out)
+        labels, p = F.array(*map(F.lit, index.labels)), vector_to_array("__p")
+        best = F.array_max(F.transform(p, lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))  # the first of equal ones
+        one = F.struct(F.lit(v).alias("variable_name"), F.get(labels, -best["i"]).alias("label"), best["p"].alias("confidence"), F.map_from_arrays(labels, p).alias("probabilities"))
+        name = f"__m{len(made)}"
+        out = out.withColumn(name, one).drop("__weighed", "__features", "__raw", "__p", "__at")
+        made.append(name)
+    there = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+    return out.withColumn("predictions", F.when(there, F.array(*made)).cast(PREDICTION)).drop("__terms", *made)
+
+
+def predicted(reports: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
+    """A row for each report and variable: label, confidence, probabilities, and what the label stands for."""
+    # the plain generator would infer a filter on the array and compute it twice more
+    rows = annotated(reports, models).select("report_id", F.inline_outer("predictions")).where("variable_name is not null")
+    says = decoded(F.col("label"))
+    return rows.withColumn("suggested_value", says["value"]).withColumn("suggested_status", says["status"])
+
+
+def noted(fields: DataFrame) -> DataFrame:
+    """Fields with the report's predictions: the notes led by what the model adds, the method named `ml`. Without a prediction
+    the notes stay."""
+    at = F.get(F.filter("predictions", lambda p: p["variable_name"] == F.col("variable_name")), F.lit(0))["confidence"]
+    lead = F.when(F.col("extracted_value").isNull(), F.format_string(WITHHELD_NOTE, at)).otherwise(F.format_string(SELECTED_NOTE, at))
+    notes = F.when(at.isNull(), F.col("notes")).otherwise(F.trim(F.concat_ws(" ", lead, "notes")))
+    return fields.withColumn("notes", notes).withColumn("method", F.lit("ml")).drop("predictions")
+
+
+def save(models: dict[str, PipelineModel], path: str) -> None:
+    """Write the models of all variables below path, over those that are there."""
+    if set(models) != set(P.VARIABLES):
+        raise ValueError("a model of each variable is needed")
+    for v, m in models.items():
+        m.write().overwrite().save(f"{path}/{v}")
+
+
+def load(path: str) -> dict[str, PipelineModel]:
+    return {v: PipelineModel.load(f"{path}/{v}") for v in P.VARIABLES}
+
+
+def default(spark: SparkSession, path: str, gold: DataFrame, texts: DataFrame) -> dict[str, PipelineModel]:
+    """The saved models; where there are none, fitted from gold and saved."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = [spark._jvm.org.apache.hadoop.fs.Path(folder, f"{v}/metadata/_SUCCESS") for v in P.VARIABLES]
+    if not all(map(there.exists, last)):
+        save(fit_all(gold, texts), path)
+    return load(path)
+
+
+def confusion(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """(variable_name, label, gold_label, n): predicted labels against those of gold annotations."""
+    known = gold.select("report_id", "variable_name", label_of(F.col("gold_status"), F.col("gold_value")).alias("gold_label"))
+    return found.join(known, ["report_id", "variable_name"]).groupBy("variable_name", "label", "gold_label").agg(F.count("*").alias("n"))

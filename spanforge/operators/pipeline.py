@@ -8,30 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import patterns as P
-from spanforge.operators import extract, validate
+from spanforge.operators import extract, model, validate
 from spanforge.operators.extract import ISSUES
 
 FIELD = f"struct<variable_order:int,variable_name:string,extracted_value:string,documentation_status:string,evidence:{extract.EVIDENCE},alternatives:array<string>,notes:string>"
 
 
-def fields(reports: DataFrame, method: str = "evidence_first") -> DataFrame:
-    """Fields of all reports with their issues; the text is still on the row."""
+def fields(reports: DataFrame, method: str = "evidence_first", models: dict | None = None) -> DataFrame:
+    """Fields of all reports with their issues; the text is still on the row. Method `ml` needs models (model.fit_all)."""
     if method not in P.METHODS:
         raise ValueError(f"unknown method {method!r}")
-    rows = validate.checked(extract.fields(reports, "baseline" if method == "baseline" else "evidence_first"))
+    if method == "ml":
+        if not models:
+            raise ValueError("method 'ml' needs models")
+        found = model.noted(extract.fields(model.annotated(reports, models), "evidence_first"))
+        return validate.with_qa(validate.checked(found))
+    rows = validate.checked(extract.fields(reports, method))
     if method == "baseline":
         return validate.without_repeats(rows).withColumnRenamed("__before", "qa_issues")
-    out = validate.with_qa(rows)
-    if method == "ml":
-        note = F.coalesce(F.col("prediction_note"), F.lit("")) if "prediction_note" in out.columns else F.lit("")
-        out = out.withColumn("notes", F.concat(note, "notes")).withColumn("method", F.lit("ml"))
-    return out
+    return validate.with_qa(rows)
 
 
-def results(reports: DataFrame, method: str = "evidence_first") -> DataFrame:
+def results(reports: DataFrame, method: str = "evidence_first", models: dict | None = None) -> DataFrame:
     """One row for each report: its four fields, issues, priority and provenance. Reports whose fields break the schema are
     marked in reject_reasons instead of failing the job."""
-    rows = fields(reports, method).withColumn("__amended", validate.amendments(F.col("text"), F.col("sections")) if method != "baseline" else F.lit(None).cast(extract.ISSUE))
+    rows = fields(reports, method, models).withColumn("__amended", validate.amendments(F.col("text"), F.col("sections")) if method != "baseline" else F.lit(None).cast(extract.ISSUE))
     rows = rows.withColumn("source_report_digest", F.concat(F.lit("sha256:"), F.sha2("text", 256))).withColumn("__empty", F.length(F.trim("text")) == 0)
     if "document_issues" not in rows.columns:
         rows = rows.withColumn("document_issues", F.array().cast(ISSUES))
@@ -58,9 +59,9 @@ def results(reports: DataFrame, method: str = "evidence_first") -> DataFrame:
     )
 
 
-def every_method(reports: DataFrame) -> DataFrame:
-    """The results of all methods."""
-    return reduce(DataFrame.unionByName, [results(reports, m) for m in P.METHODS])
+def every_method(reports: DataFrame, models: dict | None = None) -> DataFrame:
+    """The results of all methods; of those without a model if there are no models."""
+    return reduce(DataFrame.unionByName, [results(reports, m, models) for m in P.METHODS if models or m != "ml"])
 
 
 def rejects(found: DataFrame) -> DataFrame:

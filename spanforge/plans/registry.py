@@ -42,6 +42,20 @@ def gold(spark: SparkSession, table) -> DataFrame:
     return spark.sql(X.gold_sql().replace(" from part", " from {part}"), part=table("part"))
 
 
+#: Reports of the cohort that the models are fitted on at most; predictions are made for all.
+COHORT = 96
+_MODELS: dict = {}
+
+
+def models(spark: SparkSession, table) -> dict:
+    """The models of all variables, fitted once for each session and set of reports."""
+    key = (spark.sparkContext.applicationId, *sorted(table("part").inputFiles()))
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = model.fit_all(model.cohort(gold(spark, table), COHORT), texts(spark, table))
+    return _MODELS[key]
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of all reports by variable and status."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -105,7 +119,7 @@ select variable_name, count_if(agree)::bigint as agreeing, count(*)::bigint as f
   select report_id, variable_name, count(distinct coalesce(extracted_value, '~') || documentation_status) = 1 as agree from e group by 1, 2) x group by 1
 """)
 def method_agreement(spark, table):
-    found = pipeline.flat(pipeline.every_method(texts(spark, table)))
+    found = pipeline.flat(pipeline.every_method(texts(spark, table), models(spark, table)))
     return evaluate.agreement(found).groupBy("variable_name").agg(F.count_if("agree").alias("agreeing"), F.count("*").alias("fields"))
 
 
@@ -441,11 +455,8 @@ def reviewed_export(spark, table):
 
 @query()
 def status_model(spark, table):
-    rows, found = model.training(gold(spark, table), texts(spark, table)), []
-    for v in P.VARIABLES:
-        fitted = model.fit(rows.where(F.col("variable_name") == v).drop("variable_name"))
-        found.append(model.predicted(fitted, texts(spark, table)).select("report_id", F.lit(v).alias("variable_name"), "label", F.round("confidence", 4).alias("confidence")))
-    return reduce(DataFrame.unionByName, found)
+    found = model.predicted(texts(spark, table), models(spark, table))
+    return found.select("report_id", "variable_name", "label", F.round("confidence", 4).alias("confidence"), "suggested_value", "suggested_status")
 
 
 def queries() -> dict:

@@ -76,12 +76,6 @@ def test_baseline_abstains_where_revision_is_needed(spark):
         pipeline.fields(df, "other")
 
 
-def test_ml_returns_the_evidence_first_values(spark):
-    df = spark.createDataFrame([("c", CLEAN)], "report_id string, text string")
-    a, b = (pipeline.fields(df, m).orderBy("variable_order").select("extracted_value", "documentation_status").collect() for m in ("evidence_first", "ml"))
-    assert a == b
-
-
 def test_plan_shuffles_fields_once_and_without_the_text(spark):
     df = spark.createDataFrame([("c", CLEAN)], "report_id string, text string")
     plan = pipeline.results(df)._jdf.queryExecution().executedPlan().toString()
