@@ -82,6 +82,14 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def approved(documents: DataFrame, approvals: DataFrame) -> DataFrame:
+    """documents (document_id, text, ...) with approved: one of the approvals (document_id, approved_digest) is of this very text.
+    An edit changes the digest and so revokes the approval. Only digests are joined, not texts twice."""
+    marks = approvals.select("document_id", F.col("approved_digest").alias("__digest"), F.lit(True).alias("__ok")).distinct()
+    rows = documents.withColumn("__digest", T.digest(F.col("text"))).join(marks, ["document_id", "__digest"], "left")
+    return rows.select(*documents.columns, F.coalesce("__ok", F.lit(False)).alias("approved"))
+
+
 def folded(events: DataFrame) -> DataFrame:
     """events (document_id, page_number, seq, event: accept|blank|rotate|reset, text) -> state of each page after the last."""
     w = Window.partitionBy("document_id", "page_number").orderBy("seq")

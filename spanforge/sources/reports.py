@@ -20,6 +20,15 @@ def _named(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
 
 
+def accessible(rows: DataFrame) -> DataFrame:
+    """rows with report_id (else id, else 'unknown') and text (else report_text, else empty); a null counts as a missing key."""
+    out = rows
+    for name, other, default in (("report_id", "id", "unknown"), ("text", "report_text", "")):
+        there = [F.col(c).cast("string") for c in (name, other) if c in rows.columns]
+        out = out.withColumn(name, F.coalesce(*there, F.lit(default)))
+    return out
+
+
 def synthetic(spark: SparkSession, path: str, watermark: str) -> DataFrame:
     """Reports of JSON files ({"reports": [...]} or a bare list) with errors; a file without readable reports is one row of errors."""
     kind = f"array<struct<{REPORT.replace(' ', ':').replace(',:', ',')}>>"
