@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import chat, decontam, jaccard, langid, mixing, quality, recount, sharding, spelling, topk, warc
+from spanforge.llm import chat, decontam, jaccard, langid, mixing, pagetext, quality, recount, sharding, spelling, topk, warc
 
 _MODULES = {
     "op1_warc": warc,
@@ -16,6 +16,7 @@ _MODULES = {
     "op9_langid": langid,
     "op10_decontam": decontam,
     "op12_spelling": spelling,
+    "op13_pagetext": pagetext,
 }
 
 
