@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import chat, decontam, jaccard, langid, mixing, pagetext, quality, recount, sharding, spelling, topk, warc
+from spanforge.llm import chat, decontam, jaccard, langid, mixing, pagetext, quality, recount, sharding, spelling, topk, trie, warc
 
 _MODULES = {
     "op1_warc": warc,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_sharding": sharding,
     "op9_langid": langid,
     "op10_decontam": decontam,
+    "op11_trie": trie,
     "op12_spelling": spelling,
     "op13_pagetext": pagetext,
 }
