@@ -56,6 +56,15 @@ VALUES = {
         rf"consistent\s+with\s+(?:pathological\s+N\s+category\s+)?(pN{PN_SUFFIX})\b",
     ),
 }
+#: Letters that every match of the pattern at the same place in VALUES has, lower-cased. None is an i, k or s, which other
+#: characters match too where case is ignored.
+CORES = {
+    HISTOLOGY: ("mally", "quamou", "adenocarc", "quamou", "quamou", "quamou", "adenocarc", "adenocarc", "poorly", "large"),
+    SIZE: ("greate", "greate", "ameter", "cm", "cm", "mea", "men", "cm", "max", "record", "cm"),
+    PT: ("pt", "category", "tent"),
+    PN: ("pn", "category", "tent"),
+}
+# Fixed values.
 UNCERTAINTY = (
     r"\buncertain(?:ty)?\b|\bapproximately\b|\bapprox\.?\b|\bestimated?\b|\blikely\b|\bpossible\b|\bprobable\b|\bsuspected\b|"
     r"\bequivocal\b|\bsuggestive\b|\bdiscrepancy\b|\bconflicting\b|\branging\b|\bpending\b|\bprovisional\b"
@@ -64,6 +73,7 @@ UPDATE = (
     r"\b(?:amended?|amendment|revised?|revision|reclassified?|reclassification|corrected?|correction|"
     r"supersed(?:e|ed|es)|updated?|changed\s+from)\b"
 )
+# Fixed values.
 HEADINGS = (
     ("revised", r"REVISED\s+FINAL\s+DIAGNOSIS"),
     ("preliminary", r"PRELIMINARY\s+DIAGNOSIS"),
@@ -88,7 +98,15 @@ NEGATED_NEAR = (
     r"\brule[sd]?\s+out\s+VALUE\b",
 )
 NEGATED_CONCERN = r"\bconcern\s+for\s+VALUE.{0,60}?ruled\s+out\b"
-NEGATED_LOCAL = (NEGATED_NEAR[0], NEGATED_NEAR[1], NEGATED_NEAR[2], NEGATED_NEAR[4], NEGATED_NEAR[5], NEGATED_CONCERN)
+NEGATED_LOCAL = (
+    r"\bno\s+evidence\s+of\s+VALUE\b",
+    r"\bnegative\s+for\s+VALUE\b",
+    r"\babsence\s+of\s+VALUE\b",
+    r"\bnot\s+VALUE\b",
+    r"\bVALUE\s+(?:is|was|are|were)\s+not\s+(?:identified|present|found|detected)\b",
+    r"\bconcern\s+for\s+VALUE.{0,60}?ruled\s+out\b",
+)
+# Fixed values.
 LABELS = {
     HISTOLOGY: r"(?:histologic\s+diagnosis|histology)",
     SIZE: r"tumou?r\s+size",
@@ -142,13 +160,17 @@ SUPERSEDING = (
     r"\b(?:amended|revised|corrected|changed|updated)\s+from\s+(?:VALUE)",
     r"\b(?:supersedes|replaces)\s+(?:VALUE)",
 )
+# Fixed values.
+#: Words without which SUPERSEDING, and NEGATED_TARGET, cannot match.
+REVISING = r"supersed|replac|amended|revised|corrected|updated|changed"
+DENYING = r"\bno|negative|absence|without|absent|ruled"
 TARGETS = {
     HISTOLOGY: r"(?:adenocarcinoma|squamous\s+cell\s+carcinoma|large\s+cell\s+carcinoma|poorly\s+differentiated\s+carcinoma|carcinoma|malignan\w*|tumou?r)",
     SIZE: r"(?:tumou?r(?:\s+size)?|mass|lesion|measurement|size)",
     PT: rf"(?:pathological\s+T\s+category|pT{PT_SUFFIX})",
     PN: rf"(?:pathological\s+N\s+category|pN{PN_SUFFIX}|regional\s+lymph\s+nodes?)",
 }
-#: Cues that a status needs next to its target.
+#: Cues that a status needs next to its target.
 CUES = {
     "uncertain": r"\b(?:uncertain|approximately|approx\.?|estimated?|likely|possible|probable|suspected|equivocal|suggestive|favou?red|provisional|pending)\b",
     "cannot_be_assigned": r"\b(?:cannot\s+be\s+(?:assigned|assessed)|not\s+(?:assessed|assignable))\b",
@@ -175,6 +197,7 @@ CANDIDATES = {
 }
 SYNOPTIC = r"\bsynoptic\s+report\b"
 TRUNCATED = r"\b(?:lymph\s+node\s+involvement|pathologic(?:al)?\s+stag(?:e|ing)|pTNM)\s*:\s*$"
+# Fixed values.
 IDENTIFIERS = (
     ("patient name", r"^\s*patient\s+name\s*:\s*([^\n]*)$"),
     ("medical record number", r"^\s*(?:medical\s+record\s+number|mrn)\s*:\s*([^\n]*)$"),

@@ -8,40 +8,53 @@ from pyspark.sql import functions as F
 SPAN = "struct<text:string,start_offset:int,end_offset:int>"
 
 
-def total(strings: Column) -> Column:
-    """Characters of an array of strings."""
-    return F.aggregate(strings, F.lit(0), lambda a, s: a + F.length(s))
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside lambdas Spark would else compute each mention anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def found(text: Column, pattern: str) -> Column:
-    """What one pattern finds: all matches, their first groups and the gaps between; offsets follow from these."""
-    p = F.lit(pattern)
-    some = text.rlike(pattern)
-    none = F.array().cast("array<string>")
-    return F.struct(
-        F.when(some, F.regexp_extract_all(text, p, F.lit(0))).otherwise(none).alias("all"),
-        F.when(some, F.regexp_extract_all(text, p, F.lit(1 if "(" in pattern.replace("(?", "") else 0))).otherwise(none).alias("group"),
-        F.when(some, F.split(text, pattern, -1)).otherwise(none).alias("gaps"),
-    )
+#: Noncharacters around the matches in a marked text: before a match, before its first group, after it.
+OPEN, CUT, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+MATCH = "struct<start:int,neg_length:int,ord:int,text:string,value:string,stop:int>"
 
 
-def located(hit: Column, order: Column) -> Column:
-    """Structs (start, neg_length, ord, text, value, stop) of what one pattern found; they sort in reading order."""
+def clear(text: Column) -> Column:
+    """The text with other characters in the marks' places, as long as before."""
+    return F.translate(text, OPEN + CUT + CLOSE, "\ufffd" * 3)
 
-    def one(x: Column, i: Column) -> Column:
-        start = total(F.slice(hit["gaps"], F.lit(1), i + 1)) + total(F.slice(hit["all"], F.lit(1), i))
-        value = F.trim(F.element_at(hit["group"], i + 1))
-        return F.struct(
-            start.cast("int").alias("start"), (-F.length(x)).alias("neg_length"), order.cast("int").alias("ord"), x.alias("text"),
-            F.when(value == "", F.trim(x)).otherwise(value).alias("value"), (start + F.length(x)).cast("int").alias("stop"),
+
+def found(text: Column, pattern: str, core: str = "") -> Column:
+    """The text with the matches of a pattern marked, in one pass; null if it lacks core, lower-case letters that every match has.
+
+    text must be clear of marks."""
+    group = "$1" if "(" in pattern.replace("(?", "") else "$0"
+    hit = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CUT}{group}{CLOSE}"))
+    return F.when(F.lower(text).contains(core), hit) if core else hit
+
+
+def located(marked: Column, order: Column) -> Column:
+    """Structs (MATCH) of the matches in a marked text; they sort in reading order."""
+    pieces = F.split(marked, OPEN, -1)
+
+    def one(so_far: Column, piece: Column) -> Column:
+        whole, start = F.substring_index(piece, CUT, 1), so_far["at"]
+        value = F.trim(F.substring_index(F.substring_index(piece, CLOSE, 1), CUT, -1))
+        hit = F.struct(
+            start.alias("start"), (-F.length(whole)).alias("neg_length"), order.cast("int").alias("ord"), whole.alias("text"),
+            F.when(value == "", F.trim(whole)).otherwise(value).alias("value"), (start + F.length(whole)).alias("stop"),
         )
+        return F.struct(
+            (start + F.length(whole) + F.length(F.substring_index(piece, CLOSE, -1))).alias("at"), F.array_append(so_far["hits"], hit.cast(MATCH)).alias("hits")
+        )
 
-    return F.transform(hit["all"], one)
+    first = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast(f"array<{MATCH}>").alias("hits"))
+    none = F.array().cast(f"array<{MATCH}>")
+    return F.when(F.locate(OPEN, marked) > 0, F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, one, lambda x: x["hits"])).otherwise(none)
 
 
 def in_order(hits: Column) -> Column:
-    """Matches of several patterns in reading order, longer ones first; equal spans and values once."""
-    flat = F.array_sort(F.flatten(F.transform(hits, located)))
+    """Matches in reading order, longer ones first; equal spans and values once."""
+    flat = F.array_sort(hits)
     bare = F.transform(flat, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["text"].alias("text"), m["value"].alias("value")))
     return F.array_distinct(F.filter(bare, lambda m: m["value"] != ""))
 
@@ -51,14 +64,19 @@ def first_span(text: Column, pattern) -> Column:
     p = pattern if isinstance(pattern, Column) else F.lit(pattern)
     hit = F.call_function("regexp_extract", text, p, F.lit(0))
     start = F.length(F.element_at(F.split(text, p, 2), 1))
-    return F.when(F.call_function("rlike", text, p), F.struct(hit.alias("text"), start.alias("start_offset"), (start + F.length(hit)).alias("end_offset")))
+    span = let(F.struct(hit.alias("hit"), start.alias("at")), lambda x: F.struct(x["hit"].alias("text"), x["at"].alias("start_offset"), (x["at"] + F.length(x["hit"])).alias("end_offset")))
+    return F.when(F.call_function("rlike", text, p), span)
+
+
+def first_of(text: Column, patterns, value: Column) -> Column:
+    """The first match of the first pattern that has one, with VALUE replaced by a column; as a span, or null."""
+    each = F.transform(F.array(*map(F.lit, patterns)), lambda p: first_span(text, F.replace(p, F.lit("VALUE"), value)))
+    return F.get(F.filter(each, lambda s: s.isNotNull()), F.lit(0))
 
 
 def shifted(span: Column, by: Column) -> Column:
-    return F.when(
-        span.isNotNull(),
-        F.struct(span["text"].alias("text"), (span["start_offset"] + by).cast("int").alias("start_offset"), (span["end_offset"] + by).cast("int").alias("end_offset")),
-    )
+    moved = lambda s: F.struct(s["text"].alias("text"), (s["start_offset"] + by).cast("int").alias("start_offset"), (s["end_offset"] + by).cast("int").alias("end_offset"))
+    return let(span, lambda s: F.when(s.isNotNull(), moved(s)))
 
 
 def slice_of(text: Column, start: Column, stop: Column) -> Column:
@@ -68,11 +86,15 @@ def slice_of(text: Column, start: Column, stop: Column) -> Column:
 def nearby(text: Column, start: Column, stop: Column, window: int = 100) -> Column:
     """Back to the last line end or full stop (included) or `window` characters, whichever is nearest, and on to the next
     line end or full stop wherever it is, else `window` characters."""
-    before, after = F.substring(text, F.lit(1), start), F.substring(text, stop + 1, F.length(text))
-    stop_at = F.locate("\n", F.reverse(before)), F.locate(".", F.reverse(before))
-    left = F.greatest(*[F.when(p > 0, start - p).otherwise(F.lit(-1)) for p in stop_at], start - window, F.lit(0))
-    right = F.when(after.rlike("[\\n.]"), stop + F.length(F.element_at(F.split(after, "[\\n.]", 2), 1)) + 1).otherwise(F.least(F.length(text), stop + window))
-    return slice_of(text, left, right)
+    back = F.reverse(F.substring(text, F.lit(1), start))
+
+    def left(before: Column) -> Column:
+        return F.greatest(*[F.when(p > 0, start - p).otherwise(F.lit(-1)) for p in (F.locate("\n", before), F.locate(".", before))], start - window, F.lit(0))
+
+    def right(after: Column) -> Column:
+        return F.when(after.rlike("[\\n.]"), stop + F.length(F.element_at(F.split(after, "[\\n.]", 2), 1)) + 1).otherwise(F.least(F.length(text), stop + window))
+
+    return let(let(back, left), lambda a: slice_of(text, a, let(F.substring(text, stop + 1, F.length(text)), right)))
 
 
 def statement_start(text: Column, start: Column) -> Column:
@@ -83,7 +105,11 @@ def statement_start(text: Column, start: Column) -> Column:
 
 def statement(text: Column, start: Column, stop: Column) -> Column:
     """The line or sentence around a span; empty if the span lies outside the text."""
-    after, end = F.substring(text, stop + 1, F.length(text)), r"(?Ud)[.!?](?=\s|$)|\n"
-    rest = F.when(after.rlike(end), F.concat(F.element_at(F.split(after, end, 2), 1), F.regexp_extract(after, end, 0))).otherwise(after)
+    end = r"(?Ud)[.!?](?=\s|$)|\n"
+
+    def rest(after: Column) -> Column:
+        return F.when(after.rlike(end), F.concat(F.element_at(F.split(after, end, 2), 1), F.regexp_extract(after, end, 0))).otherwise(after)
+
     inside = (start >= 0) & (start < stop) & (stop <= F.length(text))
-    return F.when(inside, F.concat(slice_of(text, statement_start(text, start), stop), rest)).otherwise(F.lit(""))
+    tail = let(F.substring(text, stop + 1, F.length(text)), rest)
+    return F.when(inside, F.concat(slice_of(text, statement_start(text, start), stop), tail)).otherwise(F.lit(""))

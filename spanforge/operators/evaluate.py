@@ -44,11 +44,15 @@ def exact(text: Column, evidence: Column) -> Column:
 
 
 def anchored(fields: DataFrame) -> DataFrame:
-    """fields with exact_evidence and supported (the value follows from exact evidence)."""
-    ctx, ev = support.contexts_of(F.col("text"), F.col("evidence")), support.texts_of(F.col("evidence"))
-    out = fields.withColumn("exact_evidence", exact(F.col("text"), F.col("evidence"))).withColumn("__p", F.when(F.col("extracted_value").isNotNull(), support.value_pattern(F.col("variable_name"), F.col("extracted_value"))))
-    states = F.exists(F.zip_with(ev, ctx, lambda e, c: support.supports_value(F.col("variable_name"), F.col("extracted_value"), F.col("__p"), e, c)), lambda x: x)
-    return out.withColumn("supported", F.coalesce(F.col("extracted_value").isNotNull() & F.col("exact_evidence") & states, F.lit(False))).drop("__p")
+    """fields with exact_evidence and supported (the value follows from exact evidence). Checked fields (validate.checked) bring
+    `stated` along; for others it is worked out here."""
+    out = fields.withColumn("exact_evidence", exact(F.col("text"), F.col("evidence")))
+    if "stated" not in fields.columns:
+        ctx, ev = support.contexts_of(F.col("text"), F.col("evidence")), support.texts_of(F.col("evidence"))
+        out = out.withColumn("__p", F.when(F.col("extracted_value").isNotNull(), support.value_pattern(F.col("variable_name"), F.col("extracted_value"))))
+        states = F.exists(F.zip_with(ev, ctx, lambda e, c: support.supports_value(F.col("variable_name"), F.col("extracted_value"), F.col("__p"), e, c)), lambda x: x)
+        out = out.withColumn("stated", states).drop("__p")
+    return out.withColumn("supported", F.coalesce(F.col("extracted_value").isNotNull() & F.col("exact_evidence") & F.col("stated"), F.lit(False)))
 
 
 def scored(fields: DataFrame, gold: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A report becomes four rows, one for each variable, and everything about a field is computed on its row with native
 expressions; nothing is shuffled. `method` 'baseline' takes all candidates at face value, 'evidence_first' resolves explicit
-revisions first.
+revisions first. Both can be asked for at once: then the patterns run once, and a field has a row for each method.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def some(*issues: Column) -> Column:
 
 def sections(text: Column) -> Column:
     """Headings with their sections: array of (kind, start, stop, section_end), in order."""
-    return F.array_sort(spans.located(spans.found(text, P.IM + P.HEADING), F.lit(0)))
+    return F.array_sort(spans.located(spans.found(spans.clear(text), P.IM + P.HEADING), F.lit(0)))
 
 
 def with_sections(df: DataFrame) -> DataFrame:
@@ -49,56 +49,81 @@ def with_sections(df: DataFrame) -> DataFrame:
 
 def normalized(variable: Column, value: Column) -> Column:
     """The canonical form of a captured value."""
-    v = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
-    number = F.regexp_extract(v, r"(?iU)(\d+(?:\.\d+)?)\s*cm", 1)
-    size = F.when(number != "", F.concat(number, F.lit(" cm"))).when(v.rlike(r"^\d+(?:\.\d+)?$"), F.concat(v, F.lit(" cm"))).otherwise(v)
+    first_up = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
 
-    def category(letter: str, suffix: str) -> Column:
-        s = F.lower(F.regexp_extract(v, rf"(?iU)p{letter}({suffix})\b", 1))
-        return F.when(s == "", v).otherwise(F.concat(F.lit(f"p{letter}"), F.when(s == "x", F.lit("X")).otherwise(s)))
+    def size(v: Column) -> Column:
+        bare = F.when(v.rlike(r"^\d+(?:\.\d+)?$"), F.concat(v, F.lit(" cm"))).otherwise(v)
+        return spans.let(F.regexp_extract(v, r"(?iU)(\d+(?:\.\d+)?)\s*cm", 1), lambda n: F.when(n != "", F.concat(n, F.lit(" cm"))).otherwise(bare))
 
-    text = F.when((F.upper(v) == v) & (F.lower(v) != v), F.lower(v)).otherwise(v)
-    histology = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
-    return F.when(variable == P.SIZE, size).when(variable == P.PT, category("T", P.PT_SUFFIX)).when(variable == P.PN, category("N", P.PN_SUFFIX)).otherwise(histology)
+    def category(letter: str, suffix: str, v: Column) -> Column:
+        named = lambda s: F.when(s == "", v).otherwise(F.concat(F.lit(f"p{letter}"), F.when(s == "x", F.lit("X")).otherwise(s)))
+        return spans.let(F.lower(F.regexp_extract(v, rf"(?iU)p{letter}({suffix})\b", 1)), named)
 
+    def of(v: Column) -> Column:
+        shouted = (F.upper(v) == v) & (F.lower(v) != v)
+        histology = spans.let(F.when(shouted, F.lower(v)).otherwise(v), first_up)
+        return F.when(variable == P.SIZE, size(v)).when(variable == P.PT, category("T", P.PT_SUFFIX, v)).when(variable == P.PN, category("N", P.PN_SUFFIX, v)).otherwise(histology)
 
-def conflict_key(variable: Column, value: Column) -> Column:
-    """What two values must share so as not to conflict."""
-    low = F.lower(normalized(variable, value))
-    family = low
-    for name in reversed(P.FAMILIES):
-        family = F.when(low.contains(name), F.lit(name)).otherwise(family)
-    return F.when(variable == P.HISTOLOGY, family).otherwise(low)
+    return spans.let(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), of)
+
+
+def conflict_key(variable: Column, norm: Column) -> Column:
+    """What two normalized values must share so as not to conflict."""
+
+    def family(low: Column) -> Column:
+        out = low
+        for name in reversed(P.FAMILIES):
+            out = F.when(low.contains(name), F.lit(name)).otherwise(out)
+        return F.when(variable == P.HISTOLOGY, out).otherwise(low)
+
+    return spans.let(F.lower(norm), family)
+
+
+SMALL_BYTES = 64 << 20
+
+
+def spread(reports: DataFrame) -> DataFrame:
+    """reports over all cores if the table is small (by Catalyst's estimate, SMALL_BYTES a core): extraction is all arithmetic, and
+    a small file would else keep one core busy. Larger tables, which many tasks read anyway, and streams stay where they are."""
+    if reports.isStreaming:
+        return reports
+    cores = reports.sparkSession.sparkContext.defaultParallelism
+    known = int(str(reports._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return reports.repartition(cores) if known < cores * SMALL_BYTES else reports
 
 
 def candidates(reports: DataFrame) -> DataFrame:
     """reports (report_id, text, ...) -> a row for each variable, with sections and matches: array of (start, stop, text, value,
     norm, key, historical, section)."""
-    hits = [
-        F.struct(F.lit(v).alias("variable_name"), F.lit(n).alias("variable_order"), F.array(*[spans.found(F.col("text"), P.IM + p) for p in P.VALUES[v]]).alias("hits"))
-        for n, v in enumerate(P.VARIABLES)
-    ]
-    rows = with_sections(reports).withColumn("__v", F.explode(F.array(*hits)))
-    rows = rows.select("*", "__v.variable_name", "__v.variable_order", spans.in_order(F.col("__v.hits")).alias("__m")).drop("__v")
+    order = [(n, i, p, P.CORES[v][i]) for n, v in enumerate(P.VARIABLES) for i, p in enumerate(P.VALUES[v])]
+    rows = with_sections(spread(reports)).withColumn("__t", spans.clear(F.col("text")))
+    rows = rows.withColumn("__hits", F.array(*[spans.found(F.col("__t"), P.IM + p, core) for _, _, p, core in order]))
+    # (variable, matches) from here on; the ordinal counts within the variable
+    place = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for n, i, _, _ in order])
+    each = F.zip_with("__hits", place, lambda hit, at: F.struct(at["n"].alias("n"), spans.located(hit, at["i"]).alias("m")))
+    rows = rows.withColumn("__m", each).drop("__t", "__hits")
+    rows = rows.withColumn("__v", F.explode(F.array(*[F.struct(F.lit(v).alias("variable_name"), F.lit(n).alias("variable_order")) for n, v in enumerate(P.VARIABLES)])))
+    rows = rows.select("*", "__v.variable_name", "__v.variable_order").drop("__v")
+    own = F.flatten(F.transform(F.filter("__m", lambda x: x["n"] == F.col("variable_order")), lambda x: x["m"]))
+    rows = rows.withColumn("__m", spans.in_order(own))
     text, variable = F.col("text"), F.col("variable_name")
 
     def full(m: Column, i: Column) -> Column:
         before = spans.slice_of(text, F.greatest(m["start"] - 60, F.lit(0)), m["start"])
         after = F.substring(text, m["stop"] + 1, F.lit(60))
         home = F.filter(F.col("sections"), lambda s: (s["start"] <= m["start"]) & (m["start"] < s["section_end"]))
-        return F.struct(
+        made = lambda norm: F.struct(
             m["start"].alias("start"), m["stop"].alias("stop"), m["text"].alias("text"), m["value"].alias("value"), i.alias("ord"),
-            normalized(variable, m["value"]).alias("norm"), conflict_key(variable, m["value"]).alias("key"),
+            norm.alias("norm"), conflict_key(variable, norm).alias("key"),
             (before.rlike(P.I + P.OLD_BEFORE) | after.rlike(P.I + P.OLD_AFTER)).alias("historical"), F.get(home, F.lit(0))["start"].alias("section"),
         )
+        return spans.let(normalized(variable, m["value"]), made)
 
     return rows.withColumn("matches", F.transform("__m", full)).drop("__m")
 
 
-def resolved(rows: DataFrame, chronology: bool) -> DataFrame:
+def resolved(rows: DataFrame, chronology: Column) -> DataFrame:
     """rows with active and superseded matches. Without chronology all matches are active."""
-    if not chronology:
-        return rows.withColumn("active", F.col("matches")).withColumn("superseded", F.filter("matches", lambda m: F.lit(False)))
     parts = F.col("sections")
     rows = rows.withColumn("__ok", F.filter("matches", lambda m: ~m["historical"])).withColumn("__old", F.filter("matches", lambda m: m["historical"]))
     preliminary = F.transform(F.filter(parts, lambda s: s["kind"] == "preliminary"), lambda s: s["start"])
@@ -112,11 +137,11 @@ def resolved(rows: DataFrame, chronology: bool) -> DataFrame:
     in_force = lambda m: (m["start"] >= F.col("__from")) & ~F.array_contains(F.transform(F.filter(parts, lambda s: s["kind"] == "preliminary"), lambda s: s["start"]), m["section"])
     rows = rows.withColumn("__now", F.when(F.col("__from").isNotNull(), F.filter("__ok", lambda m: F.coalesce(in_force(m), F.lit(False)))))
     use = F.coalesce(F.size("__now"), F.lit(0)) > 0
-    return (
-        rows.withColumn("active", F.when(use, F.col("__now")).otherwise(F.col("__ok")))
-        .withColumn("superseded", F.when(use, F.concat(F.filter("__ok", lambda m: ~F.coalesce(in_force(m), F.lit(False))), F.col("__old"))).otherwise(F.col("__old")))
-        .drop("__ok", "__old", "__from", "__now")
-    )
+    late = F.filter("__ok", lambda m: ~F.coalesce(in_force(m), F.lit(False)))
+    return rows.withColumns({
+        "active": F.when(~chronology, F.col("matches")).when(use, F.col("__now")).otherwise(F.col("__ok")),
+        "superseded": F.when(~chronology, F.filter("matches", lambda m: F.lit(False))).when(use, F.concat(late, F.col("__old"))).otherwise(F.col("__old")),
+    }).drop("__ok", "__old", "__from", "__now")
 
 
 def best(matches: Column, variable: Column) -> Column:
@@ -138,21 +163,28 @@ def _title(variable: Column) -> Column:
 def negation(text: Column, variable: Column, value: Column, start: Column, stop: Column) -> Column:
     """The first negation within 100 characters of a candidate, as a span."""
     left = F.greatest(start - 100, F.lit(0))
-    around = spans.slice_of(text, left, F.least(stop + 100, F.length(text)))
-    q = support.quoted(value)
-    each = [spans.first_span(around, support.filled(p, q)) for p in P.NEGATED_NEAR]
-    each.append(F.when(variable == P.HISTOLOGY, spans.first_span(around, support.filled(P.NEGATED_CONCERN, q))))
-    return F.when(support.searched(around, r"\b(?:no|negative|absence|without|not|rule[sd]?|concern)\b", F.lit("")), spans.shifted(F.coalesce(*each), left))
+
+    def first(around: Column) -> Column:
+        q = support.quoted(value)
+        near = spans.first_of(around, [P.I + p for p in P.NEGATED_NEAR], q)
+        ruled_out = F.when(variable == P.HISTOLOGY, spans.first_of(around, [P.I + P.NEGATED_CONCERN], q))
+        return F.when(around.rlike(P.I + r"\b(?:no|negative|absence|without|not|rule[sd]?|concern)\b"), F.coalesce(near, ruled_out))
+
+    return spans.shifted(spans.let(spans.slice_of(text, left, F.least(stop + 100, F.length(text))), first), left)
 
 
 def no_value(rows: DataFrame) -> DataFrame:
-    """rows with __none: (status, span, note) that explicit no-value language gives."""
+    """rows with __none: (status, span, note) that explicit no-value language gives where there is no active match."""
     text, variable, title = F.col("text"), F.col("variable_name"), _title(F.col("variable_name"))
-    by_label = lambda p: F.coalesce(*[F.when(variable == v, spans.first_span(text, P.IM + p.replace("LABEL", P.LABELS[v]))) for v in P.VARIABLES])
-    first = lambda ps: F.coalesce(*[spans.first_span(text, P.IM + p) for p in ps])
+    label = F.lit(P.LABELS[P.PN])
+    for v in P.VARIABLES[:-1]:
+        label = F.when(variable == v, F.lit(P.LABELS[v])).otherwise(label)
+    by_label = lambda ps: spans.first_of(text, [P.IM + p.replace("LABEL", "VALUE") for p in ps], label)
+    first = lambda ps: spans.first_of(text, [P.IM + p for p in ps], F.lit(""))
+    says = lambda core, span: F.when((F.size("active") == 0) & F.lower(text).contains(core), span)
     rows = (
-        rows.withColumn("__nd", by_label(P.NOT_DOCUMENTED)).withColumn("__ca", F.coalesce(*[by_label(p) for p in P.CANNOT_ASSIGN]))
-        .withColumn("__nt", F.when(variable == P.SIZE, first(P.NO_TUMOR))).withColumn("__nn", F.when(variable == P.PN, first(P.NO_NODES)))
+        rows.withColumn("__nd", says("documented", by_label([P.NOT_DOCUMENTED]))).withColumn("__ca", says("cannot", by_label(P.CANNOT_ASSIGN)))
+        .withColumn("__nt", F.when(variable == P.SIZE, says("for", first(P.NO_TUMOR)))).withColumn("__nn", F.when(variable == P.PN, says("node", first(P.NO_NODES))))
     )
     out = lambda status, span, note: F.struct(F.lit(status).alias("status"), span.cast(spans.SPAN).alias("span"), note.alias("note"))
     return rows.withColumn(
@@ -165,15 +197,17 @@ def no_value(rows: DataFrame) -> DataFrame:
     ).drop("__nd", "__ca", "__nt", "__nn")
 
 
-def fields(reports: DataFrame, method: str = "evidence_first") -> DataFrame:
-    """reports (report_id, text, ...) -> one row for each field: extracted_value, documentation_status, evidence, alternatives,
-    notes and the issues met (extract_issues)."""
-    first = method == "baseline"
-    rows = no_value(resolved(candidates(reports), chronology=not first))
+def fields(reports: DataFrame, *methods: str) -> DataFrame:
+    """reports (report_id, text, ...) -> one row for each field and method: extracted_value, documentation_status, evidence,
+    alternatives, notes and the issues met (extract_issues). One pass over the reports for all methods."""
+    methods = methods or ("evidence_first",)
+    each = F.explode(F.array(*map(F.lit, methods))) if len(methods) > 1 else F.lit(methods[0])
+    first = F.col("method") == "baseline"
+    rows = no_value(resolved(candidates(reports).withColumn("method", each), chronology=~first))
     text, variable = F.col("text"), F.col("variable_name")
     keys = F.array_distinct(F.transform("active", lambda m: m["key"]))
     group = lambda k: F.filter("active", lambda m: m["key"] == k)
-    pick = lambda k: best(group(k), variable) if not first else best(F.slice(group(k), 1, 1), variable)
+    pick = lambda k: spans.let(group(k), lambda g: best(F.when(first, F.slice(g, 1, 1)).otherwise(g), variable))
     chosen = F.transform(F.col("__keys"), lambda k: pick(k))
     ordered = F.array_sort(F.transform(F.col("__alts"), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), b["text"].alias("text"), b["norm"].alias("norm"))))
     rows = (
@@ -222,4 +256,4 @@ def fields(reports: DataFrame, method: str = "evidence_first") -> DataFrame:
         F.when(F.col("__prior").isNotNull(), issue("superseded", variable, F.concat(F.lit("An explicit final/amended relationship replaces "), F.col("__prior.norm"), F.lit(" with "), b["norm"], F.lit(".")), "high",
                F.array(span_of(F.col("__prior")), span_of(b)).cast(EVIDENCE), "Use the current value and retain the older span in the audit trail.")),
     )
-    return rows.withColumn("extract_issues", raised).withColumn("method", F.lit(method)).drop("__keys", "__n", "__alts", "__best", "__neg", "__unsure", "__none", "__prior", "matches", "active", "superseded")
+    return rows.withColumn("extract_issues", raised).drop("__keys", "__n", "__alts", "__best", "__neg", "__unsure", "__none", "__prior", "matches", "active", "superseded")

@@ -14,25 +14,26 @@ from spanforge.operators.extract import ISSUES
 FIELD = f"struct<variable_order:int,variable_name:string,extracted_value:string,documentation_status:string,evidence:{extract.EVIDENCE},alternatives:array<string>,notes:string>"
 
 
-def fields(reports: DataFrame, method: str = "evidence_first", models: dict | None = None) -> DataFrame:
-    """Fields of all reports with their issues; the text is still on the row. Method `ml` needs models (model.fit_all)."""
-    if method not in P.METHODS:
-        raise ValueError(f"unknown method {method!r}")
-    if method == "ml":
-        if not models:
-            raise ValueError("method 'ml' needs models")
-        found = model.noted(extract.fields(model.annotated(reports, models), "evidence_first"))
-        return validate.with_qa(validate.checked(found))
-    rows = validate.checked(extract.fields(reports, method))
-    if method == "baseline":
-        return validate.without_repeats(rows).withColumnRenamed("__before", "qa_issues")
-    return validate.with_qa(rows)
-
-
-def results(reports: DataFrame, method: str = "evidence_first", models: dict | None = None) -> DataFrame:
-    """One row for each report: its four fields, issues, priority and provenance. Reports whose fields break the schema are
-    marked in reject_reasons instead of failing the job."""
-    rows = fields(reports, method, models).withColumn("__amended", validate.amendments(F.col("text"), F.col("sections")) if method != "baseline" else F.lit(None).cast(extract.ISSUE))
+def fields(reports: DataFrame, *methods: str, models: dict | None = None) -> DataFrame:
+    """Fields of all reports with their issues, one pass for all methods; the text is still on the row. Method `ml` needs models
+    (model.fit_all)."""
+    methods = methods or ("evidence_first",)
+    if unknown := set(methods) - set(P.METHODS):
+        raise ValueError(f"unknown method {sorted(unknown)[0]!r}")
+    if "ml" in methods and not models:
+        raise ValueError("method 'ml' needs models")
+    plain, out = [m for m in methods if m != "ml"], []
+    if plain:
+        out.append(validate.with_qa(validate.checked(extract.fields(reports, *plain))))
+    if "ml" in methods:
+        out.append(validate.with_qa(validate.checked(model.noted(extract.fields(model.annotated(reports, models), "evidence_first")))))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+def results(reports: DataFrame, *methods: str, models: dict | None = None) -> DataFrame:
+    """One row for each report and method: its four fields, issues, priority and provenance. Reports whose fields break the
+    schema are marked in reject_reasons instead of failing the job."""
+    rows = fields(reports, *methods, models=models).withColumn("__amended", F.when(F.col("method") != "baseline", validate.amendments(F.col("text"), F.col("sections"))))
     rows = rows.withColumn("source_report_digest", F.concat(F.lit("sha256:"), F.sha2("text", 256))).withColumn("__empty", F.length(F.trim("text")) == 0)
     if "document_issues" not in rows.columns:
         rows = rows.withColumn("document_issues", F.array().cast(ISSUES))
@@ -46,12 +47,13 @@ def results(reports: DataFrame, method: str = "evidence_first", models: dict | N
         "qa_issues", F.concat(all_of("q"), F.filter(F.array("__amended"), lambda i: i.isNotNull()), "__doc").cast(ISSUES)
     )
     level, reason = validate.priority(F.col("qa_issues"), final=True)
-    if method == "baseline":
+    if "baseline" in methods:
+        first = F.col("method") == "baseline"
         first_level, first_reason = validate.priority(all_of("e").cast(ISSUES), final=False)
         critical = F.exists(all_of("v"), lambda i: i["severity"] == "critical")
         denied = F.exists(all_of("v"), lambda i: i["issue_type"] == "negated")
-        level = F.when(critical, "critical").when(denied & (first_level == "low"), "high").otherwise(first_level)
-        reason = F.when(critical, "Critical evidence validation failure requires manual review.").when(denied, "A proposed value was explicitly negated and was removed.").otherwise(first_reason)
+        level = F.when(~first, level).when(critical, "critical").when(denied & (first_level == "low"), "high").otherwise(first_level)
+        reason = F.when(~first, reason).when(critical, "Critical evidence validation failure requires manual review.").when(denied, "A proposed value was explicitly negated and was removed.").otherwise(first_reason)
     rejects = F.concat(F.array_distinct(all_of("bad")), F.when(F.col("__empty"), F.array(F.lit("empty text"))).otherwise(F.array().cast("array<string>")))
     return grouped.select(
         "report_id", "method", "source_report_digest", "variables", "qa_issues", level.alias("review_priority"), reason.alias("review_priority_reason"),
@@ -61,7 +63,7 @@ def results(reports: DataFrame, method: str = "evidence_first", models: dict | N
 
 def every_method(reports: DataFrame, models: dict | None = None) -> DataFrame:
     """The results of all methods; of those without a model if there are no models."""
-    return reduce(DataFrame.unionByName, [results(reports, m, models) for m in P.METHODS if models or m != "ml"])
+    return results(reports, *[m for m in P.METHODS if models or m != "ml"], models=models)
 
 
 def rejects(found: DataFrame) -> DataFrame:

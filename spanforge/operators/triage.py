@@ -53,17 +53,14 @@ def nodal_note(variable: Column, value: Column, status: Column) -> Column:
     return F.when(variable == P.PN, of_n)
 
 
-def disagreeing(flat_results: DataFrame) -> DataFrame:
-    """(report_id, variable_name) of fields to which the methods give different values or statuses. Nulls are equal."""
-    seen = F.struct(F.col("extracted_value").isNull(), F.coalesce("extracted_value", F.lit("")), "documentation_status")
-    return flat_results.groupBy("report_id", "variable_name").agg((F.min(seen) != F.max(seen)).alias("differ")).where("differ").drop("differ")
-
-
-def reasoned(fields: DataFrame, every: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """fields (report_id, method, variable_name, documentation_status, notes, ...) with triage_reasons, empty for routine ones.
-
-    every: the flat results of all methods; decisions (report_id, method, variable_name, action) may be missing."""
-    rows = fields.join(disagreeing(every).withColumn("__differ", F.lit(True)), ["report_id", "variable_name"], "left")
+def triaged(every: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """every: flat results of all methods (report_id, method, variable_order, variable_name, extracted_value,
+    documentation_status, notes), without texts -> the same rows with triage_reasons, empty for routine fields, and
+    review_place, from 1 in each report and method: fields with reasons first, else the order of variables.
+
+    One aggregate over the reports: a report has one row for each variable and method, so its group is small. Methods disagree where they give
+    a variable different values or statuses; nulls are equal. decisions (report_id, method, variable_name, action) may be missing."""
+    rows = every
     if decisions is None:
         rows = rows.withColumn("__action", F.lit(None).cast("string"))
     else:
@@ -74,19 +71,27 @@ def reasoned(fields: DataFrame, every: DataFrame, decisions: DataFrame | None =
     for marker in WEAK_NOTES:
         weak = weak | notes.contains(marker)
     by_status = looked_up(F.col("documentation_status"), REASON_OF_STATUS)
-    all_reasons = F.array(
-        by_status, F.when(weak & ~by_status.eqNullSafe(WEAK), WEAK), F.when(F.col("__differ"), DISAGREE), F.when(F.col("__action") == "corrected", CORRECTING)
-    )
-    return rows.withColumn("triage_reasons", F.filter(all_reasons, lambda r: r.isNotNull())).drop("__differ", "__action")
-
-
-def review_order(reasoned_fields: DataFrame) -> DataFrame:
-    """With review_place, from 1 in each report and method: fields with reasons first, else the order of variables.
-
-    A report has one row for each variable; the place follows from the others' flags, gathered without texts."""
-    flag = F.struct((F.size("triage_reasons") == 0).alias("routine"), "variable_order")
-    places = reasoned_fields.groupBy("report_id", "method").agg(F.array_sort(F.collect_list(flag)).alias("__flags"))
-    return reasoned_fields.join(places, ["report_id", "method"]).withColumn("review_place", F.array_position("__flags", flag).cast("int")).drop("__flags")
+    own = F.array(by_status, F.when(weak & ~by_status.eqNullSafe(WEAK), WEAK))
+    keep = [c for c in rows.columns if c not in ("report_id", "__action")]
+    field = F.struct("variable_order", "method", F.struct(*keep).alias("row"), own.alias("own"), (F.col("__action") == "corrected").alias("correcting"))
+    grouped = rows.groupBy("report_id").agg(F.array_sort(F.collect_list(field)).alias("__f"))
+
+    def differs(x: Column) -> Column:
+        same = lambda a, b: (a["row"]["extracted_value"].eqNullSafe(b["row"]["extracted_value"])) & (a["row"]["documentation_status"].eqNullSafe(b["row"]["documentation_status"]))
+        return F.exists("__f", lambda y: (y["row"]["variable_name"] == x["row"]["variable_name"]) & ~same(x, y))
+
+    def told(x: Column) -> Column:
+        reasons = F.filter(F.concat(x["own"], F.array(F.when(differs(x), DISAGREE), F.when(x["correcting"], CORRECTING))), lambda r: r.isNotNull())
+        return F.struct(x["row"].alias("row"), reasons.alias("reasons"), x["method"].alias("method"), x["variable_order"].alias("variable_order"))
+
+    def placed(x: Column) -> Column:
+        key = lambda y: F.struct((F.size(y["reasons"]) == 0).alias("routine"), y["variable_order"].alias("o"))
+        before = F.filter("__t", lambda y: (y["method"] == x["method"]) & (key(y) < key(x)))
+        return F.struct(x["row"].alias("row"), x["reasons"].alias("triage_reasons"), (F.size(before) + 1).cast("int").alias("review_place"))
+
+    told_rows = grouped.select("report_id", F.transform("__f", told).alias("__t"))
+    out = told_rows.select("report_id", F.inline(F.transform("__t", placed)))
+    return out.select("report_id", "row.*", "triage_reasons", "review_place")
 
 
 def queue(reports: DataFrame, found: DataFrame, preferred: DataFrame) -> DataFrame:

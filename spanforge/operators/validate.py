@@ -27,7 +27,7 @@ def contract_violations(variable: Column, value: Column, status: Column, evidenc
     n = F.size(evidence)
     spans_of = F.transform(evidence, lambda e: F.struct(e["start_offset"], e["end_offset"]))
     lowered = F.transform(alternatives, lambda a: F.lower(F.trim(a)))
-    own = F.zip_with(alternatives, F.slice(evidence, 1, F.greatest(F.size(alternatives), F.lit(1))), lambda a, e: support.supports_value(variable, a, support.value_pattern(variable, a), e["text"], e["text"]))
+    own = F.zip_with(alternatives, F.slice(evidence, 1, F.greatest(F.size(alternatives), F.lit(1))), lambda a, e: spans.let(support.value_pattern(variable, a), lambda p: support.supports_value(variable, a, p, e["text"], e["text"])))
     known = F.when(variable == P.PT, F.coalesce(value.isin(*P.CATEGORIES[P.PT]), F.lit(True))).when(variable == P.PN, F.coalesce(value.isin(*P.CATEGORIES[P.PN]), F.lit(True))).when(variable == P.SIZE, F.coalesce(value.rlike(r"^\d+(?:\.\d+)? cm$"), F.lit(True))).otherwise(F.lit(True))
     x = F.coalesce(value.isin("pTX", "pNX"), F.lit(False))
     allowed_x = F.coalesce(((variable == P.PT) & (value == "pTX")) | ((variable == P.PN) & (value == "pNX")), F.lit(False))
@@ -70,16 +70,17 @@ def checked(fields: DataFrame) -> DataFrame:
     applies = value.isNotNull() & (status != "negated") & ~((variable == P.PN) & (value == "pN0"))
 
     def denied(e: Column) -> Column:
-        begin = spans.statement_start(text, e["start_offset"])
-        around = spans.statement(text, e["start_offset"], e["end_offset"])
-        return spans.shifted(F.coalesce(*[spans.first_span(around, support.filled(p, support.quoted(value))) for p in P.NEGATED_LOCAL]), begin)
+        first = lambda around: spans.first_of(around, [P.I + p for p in P.NEGATED_LOCAL], support.quoted(value))
+        found = spans.let(spans.statement(text, e["start_offset"], e["end_offset"]), first)
+        return spans.shifted(found, spans.statement_start(text, e["start_offset"]))
 
     cue = F.exists("__ctx", lambda c: c.rlike(P.I + r"\b(?:no|negative|absence|not|concern)\b"))
     rows = rows.withColumn("__denied", F.when(applies & cue, F.get(F.filter(F.transform("evidence", denied), lambda s: s.isNotNull()), F.lit(0))))
     negated = F.when(F.col("__denied").isNotNull(), issue("negated", variable, F.lit("The proposed value is explicitly negated in its local context."), "high", F.array("__denied").cast(EVIDENCE), "Abstain and classify the field as negated."))
     stated = F.exists(F.zip_with(support.texts_of(ev), F.col("__ctx"), lambda e, c: support.supports_value(variable, value, F.col("__p"), e, c)), lambda x: x)
-    rows = rows.withColumn("__value_bad", F.coalesce((status != "superseded") & value.isNotNull() & (F.size(ev) > 0) & ~stated, F.lit(False)))
-    carried = support.supports_status(variable, status, value, F.col("__p"), support.texts_of(ev), F.col("__ctx"), F.col("alternatives"))
+    rows = rows.withColumn("stated", F.coalesce(value.isNotNull() & stated, F.lit(False)))
+    rows = rows.withColumn("__value_bad", F.coalesce((status != "superseded") & value.isNotNull() & (F.size(ev) > 0) & ~F.col("stated"), F.lit(False)))
+    carried = support.supports_status(variable, status, value, F.col("__p"), support.texts_of(ev), F.col("__ctx"), F.col("alternatives"), F.col("stated"))
     rows = rows.withColumn("__status_bad", ~F.col("__value_bad") & ~carried)
     positive = F.col("__denied").isNull()
     value_issue = F.when(positive & F.col("__value_bad"), issue("unsupported_evidence", variable, F.concat(F.lit("The proposed value "), LITERAL(value), F.lit(" is not supported by its exact evidence in local context.")), "critical", ev, "Abstain or attach evidence that explicitly states the value for this variable in the current context."))
@@ -114,7 +115,7 @@ def amendments(text: Column, sections: Column) -> Column:
 
 
 def with_qa(rows: DataFrame) -> DataFrame:
-    """checked fields with qa_issues: those of extraction and validation, then what QA adds under a new type."""
+    """checked fields with qa_issues: those of extraction and validation, then what QA adds under a new type (not for the baseline)."""
     text, variable, value, status = (F.col(c) for c in ("text", "variable_name", "extracted_value", "documentation_status"))
     stage = variable.isin(P.PT, P.PN) & value.isNull() & text.rlike(P.I + P.SYNOPTIC)
     axis = F.when(variable == P.PT, "pT").otherwise("pN")
@@ -131,7 +132,8 @@ def with_qa(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("__found", found)
     types = F.transform("__before", lambda i: i["issue_type"])
     fresh = F.filter("__found", lambda i, n: ~F.array_contains(types, i["issue_type"]) & ~F.exists(F.slice(F.col("__found"), F.lit(1), n), lambda j: j["issue_type"] == i["issue_type"]))
-    return without_repeats(rows).withColumn("qa_issues", F.concat("__before", fresh)).drop("__found", "__before")
+    qa = F.when(F.col("method") == "baseline", F.col("__before")).otherwise(F.concat("__before", fresh))
+    return without_repeats(rows).withColumn("qa_issues", qa).drop("__found", "__before")
 
 
 def without_repeats(rows: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ select report_id, i as n, ms[i] as value,
 from m, unnest(range(1, len(ms) + 1)) as u(i)
 """)
 def pt_candidates(spark, table):
-    hit = spans.in_order(F.array(spans.found(F.col("text"), P.I + P.VALUES[P.PT][0])))
+    hit = spans.in_order(spans.located(spans.found(spans.clear(F.col("text")), P.I + P.VALUES[P.PT][0], P.CORES[P.PT][0]), F.lit(0)))
     rows = texts(spark, table).select("report_id", F.posexplode(hit).alias("i", "m"))
     return rows.select("report_id", (F.col("i") + 1).cast("long").alias("n"), F.col("m.value").alias("value"), F.col("m.start").alias("start"))
 
@@ -392,7 +392,8 @@ r as (select e.report_id, e.variable_name, e.documentation_status as st, e.extra
       when e.documentation_status in ('uncertain', 'unsupported', 'manual_review_required') then 'Uncertain, low-confidence, or unsupported output'
       when e.documentation_status = 'superseded' then 'Corrected or superseded statement'
       when e.documentation_status = 'negated' then 'Explicitly negated finding' end,
-    case when e.documentation_status <> b.documentation_status or e.extracted_value is distinct from b.extracted_value then 'Extraction methods disagree' end) as reasons,
+    case when e.documentation_status <> b.documentation_status or e.extracted_value is distinct from b.extracted_value then 'Extraction methods disagree' end,
+    case when cast(substring(e.report_id, 2) as bigint) % 13 = 0 and e.variable_name in ('tumor_size', 'pathological_n_category') then 'Reviewer correction in progress' end) as reasons,
   list_position(['histologic_diagnosis', 'tumor_size', 'pathological_t_category', 'pathological_n_category'], e.variable_name) as ord
   from e join b on e.report_id = b.report_id and e.variable_name = b.variable_name)
 select report_id, case variable_name when 'histologic_diagnosis' then 'Histologic diagnosis' when 'tumor_size' then 'Tumor size' when 'pathological_t_category' then 'Pathological T category' else 'Pathological N category' end as label,
@@ -403,8 +404,11 @@ select report_id, case variable_name when 'histologic_diagnosis' then 'Histologi
 """)
 def triage_fields(spark, table):
     kept = ["report_id", "method", "variable_order", "variable_name", "extracted_value", "documentation_status", "notes"]
-    first, plain = (pipeline.fields(texts(spark, table), m).select(*kept) for m in ("evidence_first", "baseline"))
-    rows = triage.review_order(triage.reasoned(first, first.unionByName(plain)))
+    every = pipeline.fields(texts(spark, table), "evidence_first", "baseline").select(*kept)
+    started = F.expr("cast(substring(report_id, 2) as bigint) % 13 = 0 and variable_name in ('tumor_size', 'pathological_n_category')")
+    ids = texts(spark, table).select("report_id", F.explode(F.array(*map(F.lit, P.VARIABLES))).alias("variable_name"))
+    decisions = ids.select("report_id", F.lit("evidence_first").alias("method"), "variable_name", F.when(started, "corrected").otherwise("accepted").alias("action"))
+    rows = triage.triaged(every, decisions).where("method = 'evidence_first'")
     note = triage.nodal_note(F.col("variable_name"), F.col("extracted_value"), F.col("documentation_status"))
     return rows.select("report_id", triage.variable_label(F.col("variable_name")).alias("label"), F.array_join("triage_reasons", "; ").alias("reasons"), "review_place", note.alias("nodal_note"))
 

@@ -79,4 +79,4 @@ def test_baseline_abstains_where_revision_is_needed(spark):
 def test_plan_shuffles_fields_once_and_without_the_text(spark):
     df = spark.createDataFrame([("c", CLEAN)], "report_id string, text string")
     plan = pipeline.results(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "BatchEvalPython" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan") == 1 and "BatchEvalPython" not in plan

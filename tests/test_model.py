@@ -94,7 +94,7 @@ def test_method_notes_save_and_load(spark, tmp_path):
     assert first == second and {r[0] for r in first} == {"a", "b"} and len(first) == 8
     known = texts.where("report_id in ('a', 'b')")
     want = {(r["report_id"], r["variable_name"]): r for r in pipeline.fields(known).collect()}
-    for r in pipeline.fields(known, "ml", models).collect():
+    for r in pipeline.fields(known, "ml", models=models).collect():
         plain = want[r["report_id"], r["variable_name"]]
         assert (r["extracted_value"], r["documentation_status"], r["method"]) == (plain["extracted_value"], plain["documentation_status"], "ml")
         lead = "Evidence-anchored hybrid candidate selected (classifier confidence=0." if r["extracted_value"] else "No evidence-anchored candidate was found; a classifier-only suggestion was withheld (confidence=0."

@@ -18,7 +18,7 @@ def test_reasons_and_order(spark):
     other = [("a", "n", 1, H, None, "supported", ""), ("a", "n", 4, PN, "pN0", "supported", "")]
     fields = spark.createDataFrame(made, ROW)
     decisions = spark.createDataFrame([("a", "m", PT, "corrected"), ("a", "m", PN, "accepted")], "report_id string, method string, variable_name string, action string")
-    rows = triage.review_order(triage.reasoned(fields, fields.unionByName(spark.createDataFrame(other, ROW)), decisions))
+    rows = triage.triaged(fields.unionByName(spark.createDataFrame(other, ROW)), decisions).where("method = 'm'")
     got = {r["variable_name"]: (r["review_place"], r["triage_reasons"]) for r in rows.collect()}
     assert got == {
         H: (1, [triage.DISAGREE]), S: (2, ["Missing or unassignable documentation"]), PT: (3, [triage.WEAK, triage.CORRECTING]), PN: (4, []),
@@ -27,7 +27,7 @@ def test_reasons_and_order(spark):
 
 def test_weak_notes_do_not_repeat_the_reason(spark):
     fields = spark.createDataFrame([("a", "m", 1, H, "x", "uncertain", "not decisive")], ROW)
-    assert triage.reasoned(fields, fields).head()["triage_reasons"] == [triage.WEAK]
+    assert triage.triaged(fields).head()["triage_reasons"] == [triage.WEAK]
 
 
 @pytest.mark.parametrize(("have", "wish", "want"), [(["baseline", "ml"], "ml", "ml"), (["baseline", "evidence_first"], "ml", "evidence_first"), (["ml", "baseline"], None, "baseline"), ([], "ml", "ml"), ([], None, "evidence_first")])
