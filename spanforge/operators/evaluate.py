@@ -87,7 +87,13 @@ def f1(precision: Column, recall: Column) -> Column:
 
 def by_variable(flags: DataFrame) -> DataFrame:
     """Counts and unrounded precision, recall and F1 of each method and variable."""
-    sums = flags.groupBy("method", "variable_name").agg(*[F.count_if(c).alias(c) for c in COUNTS])
+    return by_level(flags).where("level = 0").drop("level")
+
+
+def by_level(flags: DataFrame) -> DataFrame:
+    """Counts, precision, recall and F1 of each method and variable, and of each method over all variables (variable_name is
+    null, level 1), in one aggregate over one shuffle."""
+    sums = flags.rollup("method", "variable_name").agg(F.grouping_id().cast("int").alias("level"), *[F.count_if(c).alias(c) for c in COUNTS]).where("level < 3")
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return sums.select("*", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
@@ -138,22 +144,49 @@ def changes(found: DataFrame, first: str = "evidence_first", base: str = "baseli
     )
 
 
-def cohort_errors(results: DataFrame, gold: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rule, report_id) of what keeps a cohort from being scored: coverage both ways, repeated results, missing gold fields,
-    gold evidence that is not where it says."""
-    ids = lambda df: df.select("report_id").distinct()
-    say = lambda df, rule: df.select(F.lit(rule).alias("rule"), "report_id")
-    found = say(ids(results).join(ids(gold), "report_id", "left_anti"), "result without gold").unionByName(say(ids(gold).join(ids(results), "report_id", "left_anti"), "gold without result"))
-    found = found.unionByName(say(ids(results).join(ids(texts), "report_id", "left_anti"), "result without text"))
-    found = found.unionByName(say(results.groupBy("report_id", "method").count().where("count > 1"), "repeated result"))
-    full = gold.groupBy("report_id").agg(F.collect_set("variable_name").alias("v"), F.count("*").alias("n"))
-    bad = full.where((F.col("n") != len(P.VARIABLES)) | (F.size("v") != len(P.VARIABLES)))
-    found = found.unionByName(say(bad, "gold needs each variable once"))
-    if "evidence_text" in gold.columns:
+COHORT_KEYS = ("report_id", "method")
+
+
+def cohort_errors(results: DataFrame, gold: DataFrame, texts: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """(rule, report_id) of what keeps a cohort from being scored. results: report_id, method; gold: report_id, variable_name and, if
+    there, cancer_type, gold_value, gold_status, evidence_text and offsets; texts: report_id, text and, if there, cancer_type;
+    fields: results by field (report_id, method, variable_name).
+
+    Coverage both ways, results and gold without text, repeated results, methods over different reports, missing or repeated gold fields,
+    result fields that are not each variable once, gold cancer types that vary or differ from the report's, statuses whose value or evidence
+    is missing or not allowed, evidence that is not where it says. Tables are aggregated by report before they are joined."""
+    named = lambda df, *flags: df.select("report_id", F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in flags]), lambda x: x.isNotNull())).alias("rule"))
+    have = gold.columns
+    opt = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
+    status, value, said = opt("gold_status", "string"), opt("gold_value", "string"), opt("evidence_text", "string")
+    n_methods = results.agg(F.countDistinct("method").alias("__methods"))
+    r = results.groupBy("report_id").agg(F.count("*").alias("r_n"), F.countDistinct("method").alias("r_methods"))
+    needs, bans = status.isin("supported", "uncertain", "superseded") & value.isNull(), status.isin("not_documented", "unsupported", "manual_review_required", "negated", "conflicting") & value.isNotNull()
+    g = gold.groupBy("report_id").agg(
+        F.count("*").alias("g_n"), F.countDistinct("variable_name").alias("g_v"), F.count_if(F.col("variable_name").isin(*P.VARIABLES)).alias("g_known"),
+        F.countDistinct(opt("cancer_type", "string")).alias("g_cancers"), F.min(opt("cancer_type", "string")).alias("g_cancer"),
+        F.bool_or(needs).alias("g_needs"), F.bool_or(bans).alias("g_bans"), F.bool_or(status.isin("negated", "uncertain", "superseded", "supported") & said.isNull()).alias("g_bare") if "evidence_text" in have else F.lit(False).alias("g_bare"),
+    )
+    t = texts.groupBy("report_id").agg(F.lit(True).alias("t"), F.min(F.col("cancer_type") if "cancer_type" in texts.columns else F.lit(None).cast("string")).alias("t_cancer"))
+    whole = r.join(g, "report_id", "full").join(t, "report_id", "full").join(F.broadcast(n_methods))
+    n = len(P.VARIABLES)
+    flags = [
+        ("result without gold", F.col("r_n").isNotNull() & F.col("g_n").isNull()), ("gold without result", F.col("g_n").isNotNull() & F.col("r_n").isNull()),
+        ("result without text", F.col("r_n").isNotNull() & F.col("t").isNull()), ("gold without text", F.col("g_n").isNotNull() & F.col("t").isNull()),
+        ("repeated result", F.col("r_n") > F.col("r_methods")), ("not a result of every method", F.col("r_methods") < F.col("__methods")),
+        ("gold needs each variable once", (F.col("g_n") != n) | (F.col("g_v") != n) | (F.col("g_known") != n)), ("gold cancer types differ", F.col("g_cancers") > 1),
+        ("gold cancer type is not the report's", F.col("g_cancer") != F.col("t_cancer")), ("gold status needs a value", F.col("g_needs")), ("gold status allows no value", F.col("g_bans")),
+        ("gold status needs evidence", F.col("g_bare")),
+    ]
+    found = named(whole, *flags)
+    if fields is not None:
+        per = fields.groupBy("report_id", "method").agg(F.count("*").alias("n"), F.countDistinct("variable_name").alias("v"))
+        found = found.unionByName(named(per, ("result needs each variable once", (F.col("n") != n) | (F.col("v") != n))))
+    if "evidence_text" in have:
         there = F.substring(F.col("text"), F.col("evidence_start_offset") + 1, F.col("evidence_end_offset") - F.col("evidence_start_offset"))
-        wrong = gold.where("evidence_text is not null").join(texts, "report_id").where(~(there == F.col("evidence_text")))
-        found = found.unionByName(say(wrong, "gold evidence is not at its offsets"))
-    return found
+        wrong = gold.where("evidence_text is not null").select("report_id", "evidence_text", "evidence_start_offset", "evidence_end_offset").join(texts.select("report_id", "text"), "report_id").where(~F.coalesce(there == F.col("evidence_text"), F.lit(False)))
+        found = found.unionByName(wrong.select("report_id", F.lit("gold evidence is not at its offsets").alias("rule")).distinct())
+    return found.select("rule", "report_id")
 
 
 def agreement(flat_results: DataFrame) -> DataFrame:

@@ -20,17 +20,20 @@ def ranges(pages: DataFrame) -> DataFrame:
 
 
 def assembled(pages: DataFrame) -> DataFrame:
-    """document_id, text (pages joined by a blank line), page_ranges, error (null if every page is accepted and has text)."""
-    kept = F.struct("page_number", "text")
-    grouped = pages.groupBy("document_id").agg(
+    """document_id, text (pages joined by a blank line), page_ranges, error (null if every page is accepted and has text).
+
+    Places come from a running sum over the pages, in the shuffle that also gathers them: a document of p pages costs p."""
+    w = Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.when(~F.col("excluded_as_blank"), F.length("text") + GAP).otherwise(0)
+    placed = pages.withColumn("__at", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("int"))
+    kept = F.struct("page_number", "text", F.col("__at").alias("start"), (F.col("__at") + F.length("text")).alias("stop"))
+    grouped = placed.groupBy("document_id").agg(
         F.array_sort(F.collect_list(F.when(~F.col("excluded_as_blank"), kept))).alias("p"), F.bool_and("accepted").alias("all_accepted"),
         F.count_if(~F.col("excluded_as_blank") & (F.length(F.trim("text")) == 0)).alias("empty"),
     )
-    joined = grouped.withColumn("text", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"))
-    at = lambda i: F.aggregate(F.slice("p", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["text"]) + GAP)
-    spans = F.transform("p", lambda x, i: F.struct(x["page_number"].alias("page_number"), at(i).alias("start"), (at(i) + F.length(x["text"])).alias("stop")))
+    spans = F.transform("p", lambda x: F.struct(x["page_number"].alias("page_number"), x["start"].alias("start"), x["stop"].alias("stop")))
     error = F.when(~F.col("all_accepted"), "every page must be accepted").when(F.col("empty") > 0, "an accepted page is empty").when(F.size("p") == 0, "no page has text")
-    return joined.select("document_id", "text", spans.alias("page_ranges"), error.alias("error"))
+    return grouped.select("document_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), spans.alias("page_ranges"), error.alias("error"))
 
 
 def page_for(page_ranges: Column, offset: Column) -> Column:
@@ -38,11 +41,27 @@ def page_for(page_ranges: Column, offset: Column) -> Column:
     return F.get(F.filter(page_ranges, lambda r: (r["start"] <= offset) & (offset < r["stop"])), F.lit(0))["page_number"]
 
 
-def located(offsets: DataFrame, page_spans: DataFrame) -> DataFrame:
-    """offsets (document_id, offset) joined with the page that holds each."""
-    o, p = offsets.alias("o"), page_spans.alias("p")
-    inside = (F.col("o.document_id") == F.col("p.document_id")) & (F.col("p.start") <= F.col("o.offset")) & (F.col("o.offset") < F.col("p.stop"))
-    return o.join(p, inside, "left").select("o.*", "p.page_number")
+#: Characters of a document that one group of the sweep covers.
+BIN = 1 << 20
+
+
+def located(offsets: DataFrame, page_spans: DataFrame, bin_chars: int = BIN) -> DataFrame:
+    """offsets (document_id, offset, ...) with page_number, the page that holds each; null in gaps, outside, and for null offsets.
+
+    A sweep instead of a join on ranges: page starts and offsets are sorted together by position, and each offset takes the last
+    start before it, if its page reaches that far. A document of p pages and o offsets costs p + o. Long documents are cut into
+    bins; a page that reaches into a bin starts there anew. Pages of a document must not overlap (empty ones hold nothing)."""
+    size = F.lit(bin_chars).cast("long")
+    home = lambda c: F.floor(F.col(c).cast("long") / size)
+    pieces = F.sequence(home("start"), F.floor((F.col("stop").cast("long") - 1) / size))
+    page = F.struct("page_number", "start", "stop")
+    starts = page_spans.where("start < stop").select(F.col("document_id").alias("__doc"), page.alias("__page"), F.explode(pieces).alias("__bin"))
+    starts = starts.select("__doc", "__bin", F.greatest(F.col("__page.start").cast("long"), F.col("__bin") * size).alias("__at"), F.lit(0).alias("__kind"), "__page")
+    rows = offsets.select(F.col("document_id").alias("__doc"), home("offset").alias("__bin"), F.col("offset").cast("long").alias("__at"), F.lit(1).alias("__kind"), F.struct(*offsets.columns).alias("__row"))
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    sweep = Window.partitionBy("__doc", "__bin").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("__last", F.last("__page", ignorenulls=True).over(sweep)).where("__kind = 1")
+    return met.select("__row.*", F.when(F.col("__at") < F.col("__last.stop"), F.col("__last.page_number")).alias("page_number"))
 
 
 def routed(pages: DataFrame, force: bool = False) -> DataFrame:

@@ -76,3 +76,89 @@ def expected_sql(method: str) -> str:
 def gold_sql() -> str:
     e = expected_sql("evidence_first")
     return f"select report_id, variable_name, case when documentation_status = 'cannot_be_assigned' and extracted_value is null then null else extracted_value end as gold_value, documentation_status as gold_status, documentation_status <> 'supported' as gold_review from ({e}) e"
+
+
+# --- saved reviews with planted faults ------------------------------------------------------------------------------------
+def reviews_sql(side: str) -> str:
+    """Reviewed fields (side 'field') or audit records (side 'audit') of one review for each part, flat: evidence is one text
+    or null. What is wrong with a review follows from its key modulo 29; most are sound."""
+    field = side == "field"
+    value = "case v when 0 then 'Invasive adenocarcinoma' when 1 then cm when 2 then stage else nodes end"
+    fixed = "case v when 0 then 'Squamous cell carcinoma' when 1 then '9.9 cm' when 2 then 'pT4' else 'pN3' end"
+    action = "case (p_partkey + v) % 4 when 0 then 'accepted' when 1 then 'corrected' when 2 then 'rejected' else 'flagged_for_review' end"
+    base = (
+        f"select p_partkey, p_partkey % 29 as m, v, {action} as act, {value} as original_value, {fixed} as fixed, case v when 0 then 'histologic_diagnosis' when 1 then 'tumor_size' when 2 then 'pathological_t_category' else 'pathological_n_category' end as variable "
+        f"from (select p_partkey, {CM} as cm, {STAGE} as stage, {NODES} as nodes from part) p cross join (select 0 as v union all select 1 union all select 2 union all select 3) vs"
+    )
+    made = (
+        "select *, case act when 'accepted' then original_value when 'corrected' then fixed end as sound_value, "
+        "case act when 'rejected' then 'unsupported' when 'flagged_for_review' then 'manual_review_required' else 'supported' end as sound_status, "
+        f"case act when 'accepted' then concat('Found: ', original_value) when 'corrected' then concat('Found: ', fixed) end as sound_text from ({base}) b"
+    )
+    if field:
+        own_action = "case when m = 2 and v = 1 then 'pending' else act end"
+        own_status = "case when m = 4 and act = 'flagged_for_review' then 'unsupported' when m = 5 and act = 'accepted' then 'uncertain' else sound_status end"
+        text, reason, when = "case when m = 3 and act = 'rejected' then 'kept' else sound_text end", "case when m = 1 and v = 0 then ' ' else concat('checked by ', act) end", "'2024-05-01T00:00:00Z'"
+        own_value, gone, extra = "case when m = 15 and act = 'corrected' and v = 2 then 'pT9' else sound_value end", "m = 9 and v = 3", ""
+        names = ("review_action", "reviewed_value", "reviewed_status", "evidence_text", "reviewed_at")
+    else:
+        own_action, own_status, text, reason = "act", "sound_status", "sound_text", "concat('checked by ', act)"
+        when = "case when m = 11 and v = 1 then '2024-05-02T00:00:00Z' else '2024-05-01T00:00:00Z' end"
+        own_value = "case when m = 12 and act = 'corrected' then original_value when m = 15 and act = 'corrected' and v = 2 then 'pT9' else sound_value end"
+        gone = "m = 8 and v = 2"
+        extra = ", case when m = 6 then null when m = 7 and act = 'accepted' then 'x' when act = 'corrected' then case when m = 15 and v = 2 then 'pT9' else fixed end end as corrected_value"
+        names = ("reviewer_action", "resulting_value", "resulting_status", "evidence_text", "timestamp")
+    out = (
+        f"select concat('REV-', cast(p_partkey as varchar(20))) as review_id, concat('R', cast(p_partkey as varchar(20))) as report_id, case when m = 14 then null else 'evidence_first' end as method, "
+        f"case when m = 13 and v = 0 then 'other' else variable end as variable_name, concat('AUD-', cast(p_partkey as varchar(20)), '-', cast(v as varchar(2))) as audit_id, original_value, 'supported' as original_status, concat('Found: ', original_value) as original_text, "
+        f"{own_action} as {names[0]}, {own_value} as {names[1]}, {own_status} as {names[2]}, {text} as {names[3]}, {when} as {names[4]}, {reason} as review_reason, 'Reviewer A' as reviewer_identity{extra}, m, v from ({made}) x where not ({gone})"
+    )
+    return out if not field else f"{out} union all select * from ({out}) twice where m = 10 and v = 0"
+
+
+def review_rules_sql(side: str) -> str:
+    """(review_id, variable_name, rule) that the flat rows of one side break by themselves."""
+    a, value, status = ("review_action", "reviewed_value", "reviewed_status") if side == "field" else ("reviewer_action", "resulting_value", "resulting_status")
+    rules = {
+        "still pending": f"{a} = 'pending'", "no reason": "trim(review_reason) = ''",
+        "unknown variable": "variable_name not in ('histologic_diagnosis', 'tumor_size', 'pathological_t_category', 'pathological_n_category')",
+        "breaks the field schema": f"({value} is not null and evidence_text is null) or ({status} in ('supported', 'uncertain') and {value} is null) or ({status} in ('unsupported', 'manual_review_required') and {value} is not null) or (variable_name = 'pathological_t_category' and {value} = 'pT9')",
+        "acceptance changes the proposal": f"{a} = 'accepted' and ({value} is distinct from original_value or {status} is distinct from original_status or evidence_text is distinct from original_text)",
+        "rejection keeps something": f"{a} = 'rejected' and ({value} is not null or {status} <> 'unsupported' or evidence_text is not null)",
+        "flag keeps something": f"{a} = 'flagged_for_review' and ({value} is not null or {status} <> 'manual_review_required' or evidence_text is not null)",
+    }
+    if side == "audit":
+        rules |= {
+            "corrected value is not the result": f"{a} = 'corrected' and corrected_value is distinct from {value}", "corrected value without a correction": f"{a} <> 'corrected' and corrected_value is not null",
+        }
+    return " union all ".join(f"select review_id, variable_name, '{side}: {name}' as rule from {side}s where {test}" for name, test in rules.items())
+
+
+# --- an annotated data set with planted faults ----------------------------------------------------------------------------
+def demo_reports_sql() -> str:
+    """Reports of a data set, one for each part, some with a fault by their key modulo 31."""
+    scenario = "case p_partkey % 8 when 0 then 'complete' when 1 then 'no_nodes_cannot_be_assigned' when 2 then 'pn_not_documented' when 3 then 'explicit_pnx' when 4 then 'amended' when 5 then 'conflicting' when 6 then 'uncertain' else 'negated' end"
+    row = (
+        "select p_partkey, p_partkey % 31 as m, concat(case when p_partkey % 31 = 1 then 'REAL-' else 'SYN-' end, cast(p_partkey as varchar(20))) as report_id, case when p_partkey % 31 = 2 then 'SCLC' when p_partkey % 2 = 0 then 'LUAD' else 'LUSC' end as cancer_type, "
+        f"p_partkey % 31 <> 3 as is_synthetic, case when p_partkey % 31 = 4 then null else {scenario} end as scenario, case when p_partkey % 31 = 5 then 'a report' else 'A Synthetic report' end as description, "
+        "concat(case when p_partkey % 31 = 6 then '' else concat('SYNTHETIC DEMONSTRATION REPORT — NO REAL PATIENT DATA', chr(10)) end, case when p_partkey % 31 = 7 then 'MRN: 1' else 'Brand' end, ' ', p_name, ' of ', p_brand) as text from part"
+    )
+    return f"select * from ({row}) a union all select * from ({row}) b where m = 8"
+
+
+def demo_gold_sql() -> str:
+    """Raw annotations of these reports, four each, some with a fault by the key modulo 31."""
+    start, stop = "instr(text, p_name) - 1", "instr(text, p_name) - 1 + length(p_name)"
+    base = f"select r.*, p_name, {start} as s, {stop} as e from (select * from ({demo_reports_sql()}) z) r join (select p_partkey as pk, p_name from part) q on q.pk = r.p_partkey"
+    one = (
+        "select report_id, m, v, case when m = 9 then 'NSCLC' else cancer_type end as cancer_type, case when m = 10 and v = 0 then 'grade' else variable end as variable_name, "
+        "case when v = 3 and scenario = 'complete' and m <> 11 then 'pN0' when v = 3 and scenario = 'explicit_pnx' then 'pNX' when v = 1 and scenario = 'amended' then '4.1 cm' when v = 2 and scenario = 'amended' then 'pT2b' else '' end as gold_value, "
+        "case when v = 1 and m = 12 then '' when v = 3 and scenario = 'pn_not_documented' then '' else p_name end as evidence_text, "
+        "case when v = 3 and scenario = 'pn_not_documented' then case when m = 13 then '3' else '' end when v = 0 and m = 14 then 'x' when v = 0 and m = 15 then '-1' when v = 0 and m = 16 then cast(s + 1 as varchar(20)) else cast(s as varchar(20)) end as evidence_start_offset, "
+        "case when v = 3 and scenario = 'pn_not_documented' then '' when v = 0 and m = 17 then '99999' else cast(e as varchar(20)) end as evidence_end_offset, "
+        "case when m = 18 and v = 2 then 'unclear' when v = 3 and scenario in ('no_nodes_cannot_be_assigned', 'explicit_pnx') and m <> 19 then 'cannot_be_assigned' when v = 3 and scenario = 'pn_not_documented' then 'not_documented' when v = 0 and scenario = 'negated' then 'negated' else 'supported' end as documentation_status, "
+        "case when m = 20 and v = 1 then 'yes' when v = 2 then 'True' else 'False' end as manual_review_required "
+        "from (select *, case v when 0 then 'histologic_diagnosis' when 1 then 'tumor_size' when 2 then 'pathological_t_category' else 'pathological_n_category' end as variable "
+        f"from ({base}) b cross join (select 0 as v union all select 1 union all select 2 union all select 3) vs where not (m = 21 and v = 3) and not (m = 8)) w"
+    )
+    return f"select * from ({one}) x union all select * from ({one}) y where m = 22 and v = 1 union all select concat('GONE-', report_id), m, v, cancer_type, variable_name, gold_value, evidence_text, evidence_start_offset, evidence_end_offset, documentation_status, manual_review_required from ({one}) z where m = 23 and v = 0"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions import patterns as P
 from spanforge.functions import text as T
 
 LABEL_REVIEWED = "Illustrative synthetic or approved local results"
@@ -67,12 +68,42 @@ def evaluation_csv(metrics: DataFrame) -> DataFrame:
     return laid_out(metrics.withColumn("rate", F.when(F.col("rate").isNull(), F.lit("N/A")).otherwise(rate)), EVALUATION, LABEL_EVALUATION)
 
 
-def reviewed_json(fields: DataFrame) -> DataFrame:
-    """One JSON document for each review: metadata and its fields."""
-    field = F.struct("variable_name", "original_value", "original_status", "review_action", "reviewed_value", "reviewed_status", "evidence", "alternatives", "review_reason")
-    meta = F.struct(F.lit(LABEL_REVIEWED).alias("export_label"), "review_id", "report_id", "method", "reviewer_identity", "reviewed_at")
-    grouped = fields.groupBy("review_id", meta.alias("metadata")).agg(F.array_sort(F.collect_list(field)).alias("reviewed_abstractions"))
-    return grouped.select("review_id", whole_json(F.struct("metadata", "reviewed_abstractions")).alias("json"))
+#: Columns of a review that its fields share, in the order of the document.
+REVIEW = (
+    "review_id", "report_id", "method", "model_version", "source_report_digest", "extraction_timestamp", "document_provenance_json", "reviewer_identity", "reviewer_identity_verified",
+    "reviewed_at", "review_started_at", "review_duration_seconds", "returned_for_clarification", "original_review_priority", "original_review_priority_reason",
+    "residual_review_priority", "residual_review_priority_reason", "overall_note",
+)
+DISCLAIMER = "Research and review prototype; not for diagnosis or clinical use."
+_ORIGINAL = (("extracted_value", "original_value"), ("documentation_status", "original_status"), ("evidence", "original_evidence"), ("alternatives", "original_alternatives"))
+_FIELD = ("variable_name", "reviewed_value", "reviewed_status", "review_action", "review_reason", "evidence", "alternatives")
+_RECORD = (
+    "audit_id", "review_id", "report_id", "method", "model_version", "source_report_digest", "extraction_timestamp", "reviewer_identity", "reviewer_identity_verified", "variable_name",
+    "reviewer_action", "corrected_value", "resulting_value", "resulting_status", "resulting_evidence", "resulting_alternatives", "review_reason", "timestamp",
+)
+
+
+def reviewed_json(fields: DataFrame, audit: DataFrame | None = None) -> DataFrame:
+    """One JSON document for each review: metadata, the review with all its columns and its fields in the order of variables, and
+    its audit history in the order of time. Nulls are kept; columns that are not there are null.
+
+    Fields and history are of two grains, so each is gathered by review_id first and then joined, a review to a review. A review has a
+    field for each variable; its history grows with its corrections only."""
+    there = lambda df, names, place=None: F.struct(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in names], *(place or []))
+    original = lambda df: F.struct(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(n) for n, c in _ORIGINAL]).alias("original_output")
+    order = F.array_position(F.array(*map(F.lit, P.VARIABLES)), F.col("variable_name"))
+    one = F.struct(order.alias("o"), "variable_name", there(fields, _FIELD, [original(fields)]).alias("f"))
+    grouped = fields.groupBy("review_id").agg(F.first(there(fields, REVIEW)).alias("review"), F.array_sort(F.collect_list(one)).alias("fields"))
+    if audit is None:
+        grouped = grouped.withColumn("history", F.array().cast("array<string>"))
+    else:
+        event = F.struct("timestamp", "audit_id", there(audit, _RECORD, [original(audit)]).alias("a"))
+        history = audit.groupBy("review_id").agg(F.array_sort(F.collect_list(event)).alias("__h"))
+        grouped = grouped.join(history, "review_id", "left").withColumn("history", F.coalesce(F.transform("__h", lambda x: x["a"]), F.array()))
+    meta = F.struct(F.lit(LABEL_REVIEWED).alias("label"), F.lit(DISCLAIMER).alias("disclaimer"))
+    review = F.struct("review.*", F.transform("fields", lambda x: x["f"]).alias("fields"))
+    body = F.struct(meta.alias("metadata"), review.alias("reviewed_abstraction"), F.col("history").alias("audit_history"))
+    return grouped.select("review_id", whole_json(body).alias("json"))
 
 
 def unreviewed_json(results: DataFrame) -> DataFrame:
