@@ -131,6 +131,16 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     return out.select(*[F.col(f.name).alias(g.name) for f, g in zip(renamed.fields, schema.fields)])
 
 
+def through(docs: DataFrame, read: tuple[str, ...], outputs: tuple[str, ...], operator) -> DataFrame:
+    """operator(docs) with all columns of docs under their own names, whatever these are, and the outputs; a column named like an
+    output gives way. The operator finds the columns that it doesn't read under names that can't clash with its own."""
+    taken = {o.lower() for o in outputs}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    safe = {c: c if c in read else f"__c{i}" for i, c in enumerate(kept)}
+    out = operator(docs.select(*[named(c).alias(n) for c, n in safe.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in safe.items()], *outputs)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names: an operator's own outputs win over clashing inputs."""
     taken = {n.lower() for n in names}

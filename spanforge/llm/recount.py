@@ -237,7 +237,7 @@ def recounted(state: DataFrame, edits: str = "edits", folder: str = bpe.FOLDER)
                 made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *COUNTS])
 
-    return state.mapInArrow(run, common.add_columns(state.schema, **COUNTS))
+    return common.mapped(state, run, common.add_columns(state.schema, **COUNTS))
 
 
 def scripted(docs: DataFrame) -> DataFrame:
