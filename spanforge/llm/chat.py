@@ -10,8 +10,8 @@ Defined cases: null text or role: empty. Null turn: after the others. Equal turn
 conv_id: one conversation of its own. A turn larger than the budget stands whole in a window of its own, beside the
 system turn. Empty table: no windows. Columns beyond conv_id, turn, role and text are ignored.
 
-Scale: one shuffle by conversation; turns and windows stream through the workers in order, so a conversation with very
-many turns needs memory for one window only.
+Scale: one shuffle by conversation to make the windows, which are written, and one to read them back from their files; turns
+and windows stream through the workers in order, so a conversation with very many turns needs memory for one window only.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def windows(rows: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY
                         put(made.end(), now)
                     now, made = conv, Windows(budget, history_tokens, history_turns)
                 put(made.add(role, text, len(encode(turn(role, text)[0]))), now)
-                if sum(len(h[2]) for h in held[-1:]) and len(held) >= 500:
+                if len(held) >= 500:
                     yield pd.DataFrame(held, columns=names)
                     held = []
         if made is not None:
@@ -147,6 +147,11 @@ def windows(rows: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY
     return ordered.mapInPandas(run, WINDOWS)
 
 
+def read_back(written: DataFrame) -> DataFrame:
+    """Windows as files hold them, in any order -> those of one conversation together, in order."""
+    return written.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+
+
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long, max_tokens long"
 
 
@@ -196,4 +201,4 @@ def _frame(rows: list) -> pd.DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(int(c), t, r, EXTRA_TEXT) for c, t, r in EXTRA], "conv_id long, turn long, role string, text string")
-    return digests(windows(rows.unionByName(extra)))
+    return digests(read_back(common.stored(windows(rows.unionByName(extra)), "windows")))

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spanforge.llm import bpe, chat
 
@@ -70,5 +71,19 @@ def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, 0, "user", chat.EXTRA_TEXT), (-7, 1, "assistant", chat.EXTRA_TEXT)]
-    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.query(spark, folder).collect()}
+    out = chat.query(spark, folder)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "parquet" in plan  # what is digested comes from written windows
+    found = out.collect()
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in found}
     assert got == brute(rows)
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chars = {r["conv_id"]: r["n"] for r in chat.windows(data).groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert {str(r["conv_id"]): r["formatted_chars"] for r in found} == chars
+
+
+def test_windows_are_read_in_any_order(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    mixed = chat.windows(df, budget=40).repartition(7).orderBy(F.rand(3))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digests(chat.read_back(mixed)).collect()}
+    assert got == brute(ROWS)
