@@ -85,8 +85,13 @@ def position(u: Column, rank: Column, schedules=SCHEDULES) -> Column:
 def curriculum(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, schedules=SCHEDULES,
                bucket_digits: int = 3) -> DataFrame:
     """docs (doc_id, source, text, ...) with size, source_size, target, taken, copies and positions array<double>."""
+    made = tuple(c for c in OUTPUTS if c != "position")
+    return common.through(common.without(docs, *OUTPUTS), ("doc_id", "source", "text"), made, lambda d: _curriculum(d, weights, share, cap, schedules, bucket_digits))
+
+
+def _curriculum(docs: DataFrame, weights, share: float, cap: int, schedules, bucket_digits: int) -> DataFrame:
     keyed = (
-        common.without(docs, *OUTPUTS)
+        docs
         .withColumn("size", common.n_words("text"))
         .withColumn("__key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
         .withColumn("__tie", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)))
