@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontam, mixing, sharding
+from spanforge.llm import decontam, mixing, recount, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,7 +98,7 @@ def test_inverse_of_the_integral(spark, knots):
     assert np.abs(np.sort(got.to_numpy()) - t).max() < 1e-4
 
 
-@pytest.mark.parametrize("hot", [0.0, 0.4])
+@pytest.mark.parametrize("hot", [0.0, 0.02, 0.1, 0.4])
 def test_shards_are_even_and_gapless(spark, monkeypatch, hot):
     draw = np.random.default_rng(1)
     rows = [(i, "same text" if draw.random() < hot else "x" * int(draw.integers(0, 200))) for i in range(3000)]
@@ -115,8 +115,39 @@ def test_shards_are_even_and_gapless(spark, monkeypatch, hot):
     groups = defaultdict(list)
     for r in got:
         groups[r["text"]].append(r)
-    for text, rows in groups.items():  # equal texts stay together unless they are many
-        assert len({r["shard"] for r in rows}) == 1 or sum(r["size"] for r in rows) * 16 * 20 > total
+    for text, rows in groups.items():  # equal texts stay together unless they are more than a shard holds
+        assert len({r["shard"] for r in rows}) == 1 or sum(r["size"] for r in rows) * 16 > total
+
+
+def test_groups_up_to_a_share_stay_whole(spark, write, agree):
+    """Thirteen groups of a twentieth to a whole share, one of two shares, and single texts; the SQL deals them alike."""
+    rows, n = [(0, "z" * 999, 0)], 0
+    for g, size in enumerate([60, 55, 50, 45, 40, 30, 20, 20, 10, 8, 6, 4, 4]):
+        for _ in range(size):
+            n += 1
+            rows.append((n, f"group {g} " + "y" * 91, n))
+    rows += [(n + i, "twice a share " + "x" * 85, n + i) for i in range(1, 131)] + [(n + 200 + i, f"single {i} " + "w" * 90, i) for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(5)
+    got = sharding.shards(docs).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r["text"]].add(r["shard"])
+    assert sorted(len(v) for v in by.values())[-2:] in ([1, 2], [1, 3])
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert max(sizes) - min(sizes) < sum(sizes) / 16 / 10
+    for s in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert agree(sharding.query(spark, folder := write(documents=docs)), sharding.ORACLE, folder) == len(rows)
+
+
+INTERNAL = ["__at", "__mid", "__key", "__tie", "__range", "__row", "__own", "__home", "__bucket", "__src", "__rank", "rank", "a.b", "ends", "__file"]
+
+
+def test_columns_with_internal_names_survive(spark):
+    docs = spark.createDataFrame([(i, f"{'word ' * (i % 7)}{i % 40}", "ab"[i % 2], *[f"{c}{i}" for c in INTERNAL]) for i in range(60)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in INTERNAL))
+    for out in (sharding.shards(docs), mixing.curriculum(docs), recount.recounted(recount.counted(recount.scripted(docs)))):
+        rows = out.collect()
+        assert len(rows) == 60 and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in INTERNAL)
 
 
 def test_overfull_ranges_are_subdivided(spark, monkeypatch):

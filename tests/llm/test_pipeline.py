@@ -32,7 +32,7 @@ def test_stages_against_brute_force(spark):
 
 def test_columns_of_any_name_keep_their_values(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = ["rank", "position", "positions", "size", "a.b", "shard", "cid", "n", "__gone"]
+    extra = ["rank", "position", "positions", "size", "a.b", "shard", "cid", "n", "__gone", "__at", "__mid", "__key", "__range", "__row", "__file", "__first"]
     docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in extra])
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
