@@ -63,11 +63,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _through(docs, lambda d: mixing.training_order(mixing.curriculum(d)))
 
 
-def _in_file_order(docs: DataFrame) -> DataFrame | None:
-    """docs with __file and __row, the place of each row in files numbered by Spark's writer; None if docs is no such table."""
+def _in_file_order(docs: DataFrame, file: str, row: str) -> DataFrame | None:
+    """docs with the place of each row in files numbered by Spark's writer, under these names; None if docs is no such table."""
     try:
         part, piece = (f"coalesce(try_cast(regexp_extract(_metadata.file_name, '{p}', 1) as bigint), 0)" for p in ("^part-([0-9]+)-", "[.-]c([0-9]+)[.]"))
-        return docs.select("*", F.expr(f"{part} * 1000000 + {piece}").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        return docs.select("*", F.expr(f"{part} * 1000000 + {piece}").alias(file), F.col("_metadata.row_index").alias(row))
     except AnalysisException:
         return None
 
@@ -79,10 +79,12 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stage before holds. Rows that come from elsewhere are placed by their text. Null text: size 1. Null doc_id, repeated rows:
     each row has its slot. Columns named like an output are replaced. Empty table: empty result."""
     common.set_batch_rows(spark, common.NARROW_ROWS)
-    placed = _in_file_order(docs)
+    free = next(n for n in (f"__place{i}" for i in range(len(docs.columns) + 1)) if not {f"{n}_file", f"{n}_row"} & set(docs.columns))
+    place = f"{free}_file", f"{free}_row"
+    placed = _in_file_order(docs, *place)
     if placed is None:
         return sharding.shards(docs)
-    return sharding.shards(placed, place=("__file", "__row")).drop("__file", "__row")
+    return sharding.shards(placed, place=place).drop(*place)
 
 
 STAGES = [
