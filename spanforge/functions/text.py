@@ -147,18 +147,3 @@ def html_escaped(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
-
-
-def highlighted(text: Column, evidence: Column) -> Column:
-    """Escaped text with <mark> around every stretch that a valid span covers."""
-    n = F.length(text)
-    valid = F.filter(evidence, lambda e: (e["start_offset"] >= 0) & (e["start_offset"] < e["end_offset"]) & (e["end_offset"] <= n))
-    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), n), F.transform(valid, lambda e: e["start_offset"]), F.transform(valid, lambda e: e["end_offset"]))))
-
-    def piece(a: Column, i: Column) -> Column:
-        b = F.coalesce(F.get(edges, i + 1), n)
-        part = html_escaped(F.substring(text, a + 1, b - a))
-        marked = F.exists(valid, lambda e: (e["start_offset"] <= a) & (b <= e["end_offset"]))
-        return F.when((b > a) & marked, F.concat(F.lit("<mark>"), part, F.lit("</mark>"))).otherwise(part)
-
-    return F.array_join(F.transform(edges, piece), "")

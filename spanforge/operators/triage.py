@@ -47,6 +47,27 @@ def variable_label(name: Column) -> Column:
     return F.coalesce(looked_up(name, VARIABLE_LABELS), F.initcap(F.replace(name, F.lit("_"), F.lit(" "))))
 
 
+# Label, tone and description of each status.
+STATUS = {
+    "supported": ("Supported", "positive", "An exact report span supports the proposed value."),
+    "not_documented": ("Not documented", "neutral", "The report does not explicitly document this field."),
+    "cannot_be_assigned": ("Cannot be assigned", "neutral", "The report explicitly says the category cannot be assigned."),
+    "negated": ("Negated", "neutral", "The report explicitly denies the candidate finding."),
+    "uncertain": ("Uncertain", "warning", "The report qualifies the candidate as uncertain or provisional."),
+    "conflicting": ("Conflicting", "danger", "Different report statements cannot be safely reconciled."),
+    "superseded": ("Superseded", "warning", "A later explicitly linked statement replaces this finding."),
+    "unsupported": ("Unsupported", "danger", "The proposed value does not have valid exact evidence."),
+    "manual_review_required": ("Manual review required", "danger", "The field is intentionally withheld for reviewer resolution."),
+}
+
+
+def status_presentation(status: Column) -> Column:
+    """label, tone and description of a status; a null struct for what is none."""
+    part = lambda i: looked_up(status, {k: v[i] for k, v in STATUS.items()})
+    shown = F.struct(part(0).alias("label"), part(1).alias("tone"), part(2).alias("description"))
+    return F.when(status.isin(*STATUS), shown)
+
+
 def nodal_note(variable: Column, value: Column, status: Column) -> Column:
     """Which of pN0, pNX and not documented an N category is; null for other variables and values."""
     of_n = F.when(value == "pN0", PN0_NOTE).when((value == "pNX") | (status == "cannot_be_assigned"), PNX_NOTE).when(status == "not_documented", NO_PN_NOTE)
@@ -105,6 +126,27 @@ def queue(reports: DataFrame, found: DataFrame, preferred: DataFrame) -> DataFra
     return rows.withColumn("queue_method", chosen).drop("__have", "__wish")
 
 
+CASE_STATUSES = ("Needs review", "In progress", "Completed")
+
+
+def queue_cases(queued: DataFrame, found: DataFrame, decisions: DataFrame, snapshots: DataFrame, dirty: DataFrame | None = None, only: str = "All") -> DataFrame:
+    """queued (report_id, queue_method, ...) with case_status of the queued method, of one status only unless that is All.
+
+    Completed: there is a snapshot (report_id, method). Needs review: there is no result (report_id, method), or nothing was begun. In progress:
+    a decision other than pending, or a draft with unsaved changes (dirty) beside any decision."""
+    if only not in ("All", *CASE_STATUSES):
+        raise ValueError(f"unknown case status {only!r}")
+    key = lambda df, flag: df.groupBy("report_id", F.col("method").alias("queue_method")).agg(F.lit(True).alias(flag))
+    rows = queued.join(key(snapshots, "__done"), ["report_id", "queue_method"], "left").join(key(found, "__has"), ["report_id", "queue_method"], "left")
+    taken = decisions.groupBy("report_id", F.col("method").alias("queue_method")).agg(F.bool_or(F.col("action") != "pending").alias("__begun"), F.lit(True).alias("__any"))
+    rows = rows.join(taken, ["report_id", "queue_method"], "left")
+    rows = rows.join(key(dirty, "__dirty"), ["report_id", "queue_method"], "left") if dirty is not None else rows.withColumn("__dirty", F.lit(None).cast("boolean"))
+    begun = F.col("__has") & F.col("__any") & (F.col("__begun") | F.coalesce("__dirty", F.lit(False)))
+    out = rows.withColumn("case_status", F.when(F.col("__done"), "Completed").when(begun, "In progress").otherwise("Needs review"))
+    out = out.drop("__done", "__has", "__begun", "__any", "__dirty")
+    return out if only == "All" else out.where(F.col("case_status") == only)
+
+
 def issues_shown(issues: DataFrame, severities: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> DataFrame:
     """Issues (severity, issue_type, ...) of the chosen severities and types; an empty choice takes all."""
     out = issues

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import patterns as P
 from spanforge.functions import spans
 from spanforge.functions import text as T
-from spanforge.operators import coherence, datacheck, evaluate, extract, model, pages, pipeline, review, triage
+from spanforge.operators import coherence, datacheck, evaluate, extract, highlight, model, pages, pipeline, review, triage
 from spanforge.plans import fixtures as X
 from spanforge.sources import sinks
 
@@ -588,6 +588,35 @@ def display_texts(spark, table):
     return table("customer").select("c_custkey", T.duration(F.when(k % 10 != 0, k / 4)).alias("duration"), T.file_size(k * k * 64).alias("size"))
 
 
+_SPANS = (
+    "select report_id, text, v.variable_name, v.said, instr(text, v.said) - 1 as start from ({reports}) r "
+    "join (select report_id as rid, 'tumor_size' as variable_name, cm as said from ({reports}) a union all select report_id, 'tumor_size', concat('size: ', cm) from ({reports}) b "
+    "union all select report_id, 'pathological_t_category', stage from ({reports}) c union all select report_id, 'pathological_t_category', concat(stage, '.', chr(10), '- Path') from ({reports}) d "
+    "union all select report_id, 'pathological_n_category', concat('category: ', nodes) from ({reports}) e union all select report_id, 'histologic_diagnosis', concat(h, '.') from ({reports}) f) v on v.rid = r.report_id"
+).replace("{reports}", X.reports_sql())
+
+
+@query(f"""
+with s as (select *, start + length(said) as stop from ({_SPANS}) x where start >= 0), r as (select distinct report_id, text from ({X.reports_sql()}) y),
+first as (select report_id, variable_name, min(start) as start from s group by 1, 2),
+b as (select report_id, text, at_ from (select report_id, text, start as at_ from s union select report_id, text, stop from s union select report_id, text, 0 from r union select report_id, text, length(text) from r) z),
+p as (select report_id, text, at_, lead(at_) over (partition by report_id order by at_) as next from b),
+esc as (select *, replace(replace(replace(replace(replace(substring(text, at_ + 1, next - at_), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') as part from p where next is not null),
+cover as (select esc.report_id, at_, string_agg(distinct variable_name, ',' order by variable_name) as cover from esc join s on s.report_id = esc.report_id and s.start <= at_ and next <= s.stop group by 1, 2),
+anchor as (select report_id, start as at_, string_agg('<span class="evidence-anchor" id="evidence-' || replace(variable_name, '_', '-') || '"></span>', '' order by list_position(['histologic_diagnosis', 'tumor_size', 'pathological_t_category', 'pathological_n_category'], variable_name)) as anchors from first group by 1, 2),
+shown as (select esc.*, coalesce(anchors, '') || case when cover is null then part else '<mark class="evidence-mark' || case when contains(cover, 'tumor_size') then ' evidence-mark--focused' else '' end || '" title="Evidence for '
+  || replace(replace(replace(replace(replace(cover, ',', ', '), 'histologic_diagnosis', 'Histologic diagnosis'), 'pathological_n_category', 'Pathological N category'), 'pathological_t_category', 'Pathological T category'), 'tumor_size', 'Tumor size') || '">' || part || '</mark>' end as piece
+  from esc left join cover using (report_id, at_) left join anchor using (report_id, at_))
+select report_id, string_agg(piece, '' order by at_) as html from shown group by 1
+""")
+def highlighted_reports(spark, table):
+    """Every report with the places of its statements marked; tumor size is in focus."""
+    spans_ = _over_part(spark, table, _SPANS).where("start >= 0")
+    span = F.struct(F.col("said").alias("text"), F.col("start").alias("start_offset"), (F.col("start") + F.length("said")).alias("end_offset"))
+    fields = spans_.groupBy("report_id", "variable_name").agg(F.collect_list(span).alias("evidence"))
+    return highlight.highlighted(texts(spark, table), fields, focused=P.SIZE).select("report_id", "html")
+
+
 # --- exports and the model: rows only -----------------------------------------------------------------------------------
 @query()
 def reviewed_export(spark, table):
