@@ -162,3 +162,66 @@ def demo_gold_sql() -> str:
         f"from ({base}) b cross join (select 0 as v union all select 1 union all select 2 union all select 3) vs where not (m = 21 and v = 3) and not (m = 8)) w"
     )
     return f"select * from ({one}) x union all select * from ({one}) y where m = 22 and v = 1 union all select concat('GONE-', report_id), m, v, cancer_type, variable_name, gold_value, evidence_text, evidence_start_offset, evidence_end_offset, documentation_status, manual_review_required from ({one}) z where m = 23 and v = 0"
+
+
+# --- decisions that reach every rule of a review ---------------------------------------------------------------------------
+_COMPLETE = f"select p_partkey, report_id, text, cm, stage, nodes, h, cast(floor(p_partkey / 12) as bigint) % 22 as c from ({reports_sql()}) r where scenario = 'complete'"
+
+
+def proposals_sql() -> str:
+    """The four fields of every complete report as they are proposed: evidence is one text at its place."""
+    one = lambda v, value, said: f"select report_id, text, '{v}' as variable_name, {value} as extracted_value, {said} as said, instr(text, {said}) - 1 as start from ({_COMPLETE}) a"
+    return " union all ".join([
+        one("histologic_diagnosis", "h", "h"), one("tumor_size", "cm", "concat('Tumor size: ', cm)"),
+        one("pathological_t_category", "stage", "concat('Pathological T category: ', stage)"), one("pathological_n_category", "nodes", "concat('Pathological N category: ', nodes)"),
+    ])
+
+
+def decisions_sql() -> str:
+    """A decision for each of these fields, flat (up to two texts and two alternatives); what the third field's says goes by the case c."""
+    t = "concat('Pathological T category: ', stage)"
+    case = lambda default, **by: "case " + " ".join(f"when c = {k[1:]} then {v}" for k, v in by.items()) + f" else {default} end"
+    of_t = (
+        "select report_id, c, text, 'pathological_t_category' as variable_name, "
+        + case("'corrected'", c2="'pending'", c3="'maybe'", c17="'accepted'", c18="'rejected'", c20="'flagged_for_review'", c21="'accepted'") + " as action, "
+        + case("stage", c7="cast(null as varchar(10))", c8="cast(null as varchar(10))", c9="'  '", c11="'pT2'", c15="'pT0'") + " as value, "
+        + case("'supported'", c4="cast(null as varchar(10))", c7="'conflicting'", c8="'conflicting'", c10="'negated'", c11="'cannot_be_assigned'", c16="'uncertain'") + " as status, "
+        + case(t, c5="repeat('long', 2501)", c12="cast(null as varchar(10))", c13="'not in the report'", c14="'category'") + " as e1, "
+        + case("cast(null as varchar(10))", c6=t, c7="concat('Tumor size: ', cm)", c8="concat('Tumor size: ', cm)") + " as e2, "
+        + case("cast(null as varchar(10))", c7="stage", c8="stage") + " as a1, " + case("cast(null as varchar(10))", c8="lower(stage)") + " as a2, "
+        + case("'checked'", c18="'  '") + f" as reason from ({_COMPLETE}) a where c <> 0"
+    )
+    rest = f"select report_id, c, text, variable_name, action, value, 'supported' as status, e1, cast(null as varchar(10)) as e2, cast(null as varchar(10)) as a1, cast(null as varchar(10)) as a2, reason from (" + " union all ".join([
+        f"select report_id, c, text, 'histologic_diagnosis' as variable_name, 'accepted' as action, h as value, cast(null as varchar(10)) as e1, '' as reason from ({_COMPLETE}) b",
+        f"select report_id, c, text, 'tumor_size', case when c = 17 then 'corrected' else 'accepted' end, case when c = 17 then replace(cm, ' cm', '') else cm end, case when c = 17 then concat('Tumor size: ', cm) end, 'read again' from ({_COMPLETE}) d",
+        f"select report_id, c, text, 'pathological_n_category', 'accepted', nodes, cast(null as varchar(10)), '' from ({_COMPLETE}) e",
+        f"select report_id, c, text, 'extra', 'accepted', 'x', cast(null as varchar(10)), '' from ({_COMPLETE}) f where c = 1",
+    ]) + ") o"
+    return f"{of_t} union all {rest}"
+
+
+def decision_rules_sql() -> str:
+    """(report_id, variable_name, error) of the decisions (table d), worked out from their flat columns."""
+    times = lambda e: f"(length(text) - length(replace(text, {e}, ''))) // length({e})"
+    v, n = "nullif(trim(value), '')", "((e1 is not null)::int + (e2 is not null)::int)"
+    once = f"(coalesce(({times('e1')} = 1)::int, 0) + coalesce(({times('e2')} = 1)::int, 0))"
+    need = "case when status = 'conflicting' then 2 when status in ('supported', 'cannot_be_assigned', 'negated', 'uncertain', 'superseded') then 1 else 0 end"
+    alts = "((a1 is not null)::int + (a2 is not null)::int)"
+    stated = f"(case when variable_name = 'tumor_size' then contains(e1, {v}) when starts_with({v}, 'pT') then regexp_matches(lower(e1), concat('\\b', lower({v}), '\\b')) else contains(lower(e1), lower({v})) end and {times('e1')} = 1)"
+    whole = f"{once} = {n} and {once} >= {need}"
+    rules = {
+        "choose Accept, Correct, Reject, or Flag": "action = 'pending'", "unknown action": "action not in ('pending', 'accepted', 'corrected', 'rejected', 'flagged_for_review')",
+        "choose a corrected QA status": "fix and status is null", "each corrected evidence span must be 10,000 characters or fewer": "fix and length(e1) > 10000",
+        "corrected evidence spans must be distinct": "fix and e1 = e2", "one distinct alternative is needed for each of at least two spans": f"fix and status = 'conflicting' and ({alts} < 2 or {alts} <> {n})",
+        "conflicting alternatives must be distinct": "fix and status = 'conflicting' and lower(a1) = lower(a2)", "a corrected value is required": f"fix and status in ('supported', 'uncertain', 'superseded') and {v} is null",
+        "this status requires an empty corrected value": f"fix and status in ('not_documented', 'negated', 'conflicting', 'unsupported', 'manual_review_required') and {v} is not null",
+        "only explicit pNX or pTX may carry a cannot-be-assigned value": f"fix and status = 'cannot_be_assigned' and {v} is not null and {v} not in ('pTX', 'pNX')",
+        "more distinct exact evidence is required for the corrected status": f"fix and {n} < {need}", "corrected evidence must be an exact report substring": "fix and not contains(text, e1)",
+        "corrected evidence occurs more than once": f"fix and {times('e1')} > 1", "corrected evidence does not state the corrected value": f"fix and {v} is not null and coalesce(status, 'superseded') <> 'superseded' and {n} > 0 and not {stated}",
+        # none of these reports doubts, denies or revises anything, so evidence carries only what is plainly stated
+        "corrected evidence does not support the corrected status": f"fix and status is not null and {whole} and not coalesce(case when status = 'supported' then {v} is not null and {stated} when status = 'conflicting' then false else false end, false)",
+        "corrected value or status violates the field schema": f"fix and {whole} and (coalesce(status not in ('supported', 'uncertain', 'superseded'), false) or {v} is not null) and ((variable_name = 'tumor_size' and {v} not like '% cm') or (status = 'negated' and {v} is not null) "
+        f"or (status = 'cannot_be_assigned' and {v} is not null) or (status = 'conflicting'))",
+        "explain this reviewer action": "action in ('corrected', 'rejected', 'flagged_for_review') and trim(reason) = ''",
+    }
+    return " union all ".join(f"select report_id, variable_name, '{name}' as error from f where {test}" for name, test in rules.items())

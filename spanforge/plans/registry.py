@@ -309,6 +309,29 @@ def reviewed_json(spark, table):
     return sinks.reviewed_json(fields, _review_side(spark, table, "audit"))
 
 
+@query(f"""
+with p as ({X.proposals_sql()}), d as ({X.decisions_sql()}),
+f as (select d.*, action = 'corrected' as fix from d join p on p.report_id = d.report_id and p.variable_name = d.variable_name),
+e as ({X.decision_rules_sql()}
+  union all select report_id, variable_name, 'no review decision' from p where not exists (select 1 from d where d.report_id = p.report_id and d.variable_name = p.variable_name)
+  union all select report_id, variable_name, 'unexpected review decision' from d where not exists (select 1 from p where d.report_id = p.report_id and d.variable_name = p.variable_name))
+select report_id, variable_name, error from e
+""")
+def review_errors(spark, table):
+    """What is wrong with reviewers' decisions: a decision for every field of a report, with breaches of all rules among them."""
+    span = F.struct(F.col("said").alias("text"), F.col("start").alias("start_offset"), (F.col("start") + F.length("said")).alias("end_offset"))
+    fields = _over_part(spark, table, X.proposals_sql()).select(
+        "report_id", F.lit("evidence_first").alias("method"), "variable_name", "text", "extracted_value", F.lit("supported").alias("documentation_status"), F.array(span).alias("evidence"),
+        F.array().cast("array<string>").alias("alternatives"),
+    )
+    some_ = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
+    decisions = _over_part(spark, table, X.decisions_sql()).select(
+        "report_id", F.lit("evidence_first").alias("method"), "variable_name", "action", F.col("value").alias("corrected_value"), F.col("status").alias("corrected_status"),
+        some_("a1", "a2").alias("conflicting_alternatives"), some_("e1", "e2").alias("corrected_evidence_texts"), "reason",
+    )
+    return review.checked(fields, decisions).select("report_id", "variable_name", F.explode("errors").alias("error"))
+
+
 # --- data sets --------------------------------------------------------------------------------------------------------
 _VARIABLES_SQL = "('histologic_diagnosis', 'tumor_size', 'pathological_t_category', 'pathological_n_category')"
 

@@ -213,3 +213,8 @@ def test_queue_by_case_status(spark):
     assert set(of(only=begun)) == {"b", "f"}
     with pytest.raises(ValueError):
         of(only="Done")
+
+
+def test_every_rule_of_a_decision_is_reached(spark):
+    got = {r["error"] for r in registry.queries()["review_errors"](spark, "/root/testdata/sf0.01").select("error").distinct().collect()}
+    assert len(got) == 19
