@@ -2,16 +2,19 @@
 and unit length; one logistic regression a variable over labels that carry the value. Its confidence goes into notes only;
 values come from the evidence.
 
-N-grams are hashed to FEATURES places, so a model is bounded whatever the cohort. Everything stays in the JVM; the predictions
-of all variables are made on the report's own row, without a join or a shuffle of texts. Blank texts get no prediction."""
+The models share one vocabulary, the n-grams of the fitting cohort (no two share a place; at most VOCABULARY, the most frequent
+ones, beyond that), and each ignores those that its own rows lack. Everything stays in the JVM; the predictions of all variables are made on
+the report's own row, without a join or a shuffle of texts. Blank texts get no prediction. Saved models come with a manifest that
+holds a digest of what they were fitted on: other texts or annotations are fitted anew."""
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +23,7 @@ from pyspark.sql import types as T
 
 from spanforge.functions import patterns as P
 
-FEATURES = 1 << 14
+VOCABULARY = 1 << 20
 ITERATIONS = 2000
 TOLERANCE = 1e-4
 PARTITION_ROWS = 5000
@@ -79,10 +82,18 @@ def sublinear(counts: Column) -> Column:
     return F.from_json(F.to_json(F.struct(again.alias("v"))), _SEALED)["v"]
 
 
-def weighted_terms(rows: DataFrame, features: int = FEATURES) -> DataFrame:
-    """rows (text, ...) with __terms, the hashed n-grams with sublinear weights."""
-    hashed = HashingTF(inputCol="__grams", outputCol="__tf", numFeatures=features)
-    out = hashed.transform(rows.withColumn("__grams", ngrams(F.coalesce("text", F.lit("")))))
+def _grams(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("__grams", ngrams(F.coalesce("text", F.lit(""))))
+
+
+def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> CountVectorizerModel:
+    """The n-grams of rows (text, ...), each with a place of its own."""
+    return CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=most, minDF=1.0).fit(_grams(rows))
+
+
+def weighted_terms(rows: DataFrame, terms: CountVectorizerModel) -> DataFrame:
+    """rows (text, ...) with __terms, the n-grams of a vocabulary with sublinear weights."""
+    out = terms.transform(_grams(rows))
     return out.withColumn("__terms", sublinear(F.col("__tf"))).drop("__grams", "__tf")
 
 
@@ -110,15 +121,18 @@ def label_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("variable_name", "label").agg(F.count("*").alias("n"))
 
 
-def fit(rows: DataFrame, iterations: int = ITERATIONS, features: int = FEATURES) -> PipelineModel:
-    """The model of one variable: label index, term weights, unit length, regression. rows (text, label, weight)."""
+def fit(rows: DataFrame, iterations: int = ITERATIONS, terms: CountVectorizerModel | None = None) -> PipelineModel:
+    """The model of one variable: label index, vocabulary, term weights, unit length, regression. rows (text, label, weight)."""
     counted = rows.agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).first()
     if counted["n"] < 2 or counted["labels"] < 2:
         raise ValueError("a model needs two labelled texts and two labels")
     # each step of the solver is a job: as few partitions as the rows need
-    terms = weighted_terms(rows.coalesce(1 + counted["n"] // PARTITION_ROWS), features).cache()
-    index = StringIndexer(inputCol="label", outputCol="__target", stringOrderType="alphabetAsc").fit(terms)
-    rarity = IDF(inputCol="__terms", outputCol="__idf").fit(terms).idf.toArray() + 1.0
+    few = rows.coalesce(1 + counted["n"] // PARTITION_ROWS)
+    terms = terms or vocabulary(few)
+    known = weighted_terms(few, terms).cache()
+    index = StringIndexer(inputCol="label", outputCol="__target", stringOrderType="alphabetAsc").fit(known)
+    rare = IDF(inputCol="__terms", outputCol="__idf").fit(known)
+    rarity = (rare.idf.toArray() + 1.0) * [n > 0 for n in rare.docFreq]  # other variables' n-grams weigh nothing
     weigh = ElementwiseProduct(scalingVec=DenseVector(rarity), inputCol="__terms", outputCol="__weighed")
     unit = Normalizer(inputCol="__weighed", outputCol="__features", p=2.0)
     # the penalty |w|^2 / 2 stands against the sum of the losses; Spark takes their mean
@@ -126,17 +140,18 @@ def fit(rows: DataFrame, iterations: int = ITERATIONS, features: int = FEATURES)
         featuresCol="__features", labelCol="__target", weightCol="weight", maxIter=iterations, tol=TOLERANCE, regParam=1.0 / counted["n"],
         standardization=False, family="multinomial", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__at",
     )
-    fitted = regression.fit(unit.transform(weigh.transform(index.transform(terms))))
-    terms.unpersist()
-    return PipelineModel([index, weigh, unit, fitted])
+    fitted = regression.fit(unit.transform(weigh.transform(index.transform(known))))
+    known.unpersist()
+    return PipelineModel([index, terms, weigh, unit, fitted])
 
 
-def fit_all(gold: DataFrame, texts: DataFrame, iterations: int = ITERATIONS, features: int = FEATURES) -> dict[str, PipelineModel]:
+def fit_all(gold: DataFrame, texts: DataFrame, iterations: int = ITERATIONS) -> dict[str, PipelineModel]:
     """A model for each variable; ValueError where a variable has fewer than two labelled texts or labels. The four fits are
     chains of small jobs, so they run side by side."""
     rows = training(gold, texts).cache()
-    one = lambda v: fit(rows.where(F.col("variable_name") == v).drop("variable_name"), iterations, features)
     try:
+        terms = vocabulary(rows.select("text").distinct())
+        one = lambda v: fit(rows.where(F.col("variable_name") == v).drop("variable_name"), iterations, terms)
         with ThreadPoolExecutor(len(P.VARIABLES)) as pool:
             return dict(zip(P.VARIABLES, pool.map(one, P.VARIABLES)))
     finally:
@@ -146,12 +161,12 @@ def fit_all(gold: DataFrame, texts: DataFrame, iterations: int = ITERATIONS, fea
 def annotated(reports: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     """reports (text, ...) with predictions: variable, best label, its confidence and the probabilities of all labels, for each
     model; null for blank texts."""
-    size = {len(m.stages[1].getScalingVec()) for m in models.values()}
-    if len(size) != 1:
-        raise ValueError("the models must share one feature space")
-    out, made = weighted_terms(reports, size.pop()), []
+    terms = [m.stages[1] for m in models.values()]
+    if any(t.vocabulary != terms[0].vocabulary for t in terms[1:]):
+        raise ValueError("the models must share one vocabulary")
+    out, made = weighted_terms(reports, terms[0]), []
     for v, m in models.items():
-        index, weigh, unit, fitted = m.stages
+        index, _, weigh, unit, fitted = m.stages
         for stage in (weigh, unit, fitted):
             out = stage.transform(out)
         labels, p = F.array(*map(F.lit, index.labels)), vector_to_array("__p")
@@ -181,25 +196,48 @@ def noted(fields: DataFrame) -> DataFrame:
     return fields.withColumn("notes", notes).withColumn("method", F.lit("ml")).drop("predictions")
 
 
-def save(models: dict[str, PipelineModel], path: str) -> None:
-    """Write the models of all variables below path, over those that are there."""
+def save(models: dict[str, PipelineModel], path: str, facts: dict | None = None) -> None:
+    """Write the models of all variables below path, over those that are there, and last what they were fitted on."""
     if set(models) != set(P.VARIABLES):
         raise ValueError("a model of each variable is needed")
     for v, m in models.items():
         m.write().overwrite().save(f"{path}/{v}")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(facts or {}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
 def load(path: str) -> dict[str, PipelineModel]:
     return {v: PipelineModel.load(f"{path}/{v}") for v in P.VARIABLES}
 
 
-def default(spark: SparkSession, path: str, gold: DataFrame, texts: DataFrame) -> dict[str, PipelineModel]:
-    """The saved models; where there are none, fitted from gold and saved."""
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """What the saved models were fitted on; None if there are none, or they were never completed."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    last = [spark._jvm.org.apache.hadoop.fs.Path(folder, f"{v}/metadata/_SUCCESS") for v in P.VARIABLES]
-    if not all(map(there.exists, last)):
-        save(fit_all(gold, texts), path)
+    last = [spark._jvm.org.apache.hadoop.fs.Path(folder, f"{v}/_SUCCESS") for v in ("manifest", *(f"{v}/metadata" for v in P.VARIABLES))]
+    return json.loads(spark.read.text(f"{path}/manifest").head()[0]) if all(map(there.exists, last)) else None
+
+
+def facts(gold: DataFrame, texts: DataFrame) -> dict:
+    """What a fit rests on: number of reports, labels of each variable, and a digest of the labelled texts in any order.
+
+    gold is a cohort, whose size is bounded, so the digests of its rows fit one array."""
+    rows = gold.where(F.col("variable_name").isin(*P.VARIABLES)).join(texts.where("text is not null").select("report_id", "text"), "report_id")
+    rows = rows.select("report_id", "variable_name", label_of(F.col("gold_status"), F.col("gold_value")).alias("label"), F.sha2(F.col("text").cast("binary"), 256).alias("t"))
+    own = F.sha2(F.concat_ws("\0", "report_id", "variable_name", "label", "t").cast("binary"), 256)
+    n, digest = rows.agg(F.countDistinct("report_id"), F.sha2(F.array_join(F.array_sort(F.collect_list(own)), "").cast("binary"), 256)).head()
+    counts: dict[str, dict] = {}
+    for r in label_counts(rows).orderBy("variable_name", "label").collect():
+        counts.setdefault(r["variable_name"], {})[r["label"]] = r["n"]
+    return {"reports": n, "digest": digest, "label_counts": counts}
+
+
+def default(spark: SparkSession, path: str, gold: DataFrame, texts: DataFrame) -> dict[str, PipelineModel]:
+    """The saved models if they were fitted on these very texts and annotations, or if there is nothing to fit from; else they are
+    fitted and saved."""
+    known, now = manifest(spark, path), facts(gold, texts)
+    if known is None or now["reports"] and known.get("digest") != now["digest"]:
+        save(fit_all(gold, texts), path, now)
     return load(path)
 
 

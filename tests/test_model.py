@@ -39,15 +39,16 @@ def rows(spark):
 
 @pytest.fixture(scope="module")
 def fitted(rows):
-    return model.fit(rows, features=1 << 18)
+    return model.fit(rows)
 
 
 def test_terms_and_probabilities(rows, fitted):
-    index, weigh, unit, regression = fitted.stages
-    got = unit.transform(weigh.transform(model.weighted_terms(rows, 1 << 18))).orderBy("i").collect()
+    index, terms, weigh, unit, regression = fitted.stages
+    assert sorted(terms.vocabulary) == sorted({g for t in TEXTS for g in grams(t)})  # every n-gram has its own place
+    got = unit.transform(weigh.transform(model.weighted_terms(rows, terms))).orderBy("i").collect()
     x = np.stack([r["__features"].toArray() for r in got])
     want = weights(TEXTS)
-    assert np.allclose(x @ x.T, want @ want.T, atol=1e-9)  # the same angles, wherever the n-grams are hashed to
+    assert np.allclose(x @ x.T, want @ want.T, atol=1e-9)  # the same angles, wherever the n-grams stand
     assert list(index.labels) == ["x", "y", "z"]
     w, b = regression.coefficientMatrix.toArray(), regression.interceptVector.toArray()
     z = x @ w.T + b
@@ -103,3 +104,48 @@ def test_method_notes_save_and_load(spark, tmp_path):
         pipeline.fields(known, "ml")
     with pytest.raises(ValueError):
         model.save({P.PN: models[P.PN]}, str(tmp_path / "n"))
+
+
+def test_other_variables_terms_weigh_nothing(spark):
+    """In a shared vocabulary a model still sees only the n-grams of its own rows."""
+    own = spark.createDataFrame([("aaa bbb", "x", 1.0), ("bbb ccc", "y", 1.0)], "text string, label string, weight double")
+    wide = model.vocabulary(own.select("text").unionByName(spark.createDataFrame([("zzz yyy",)], "text string")))
+    probe = spark.createDataFrame([("aaa zzz yyy",), ("ccc qqq",)], "text string")
+    first, second = (model.annotated(probe, {P.PN: model.fit(own, terms=t)}).collect() for t in (None, wide))
+    for a, b in zip(first, second):
+        assert a["predictions"][0]["label"] == b["predictions"][0]["label"] and abs(a["predictions"][0]["confidence"] - b["predictions"][0]["confidence"]) < 1e-6
+
+
+def test_train_job(spark, tmp_path, capsys):
+    """Two runs load the same models; other annotations are fitted anew; label counts are printed."""
+    import csv
+    import json
+
+    from spanforge.jobs import train
+    from spanforge.operators import datacheck
+    from spanforge.sources.reports import GOLD_COLUMNS
+
+    texts = {f"SYN-{i}": f"{datacheck.WATERMARK}\nReport {i}: category pN{i % 2}." for i in range(4)}
+    (tmp_path / "reports.json").write_text(json.dumps({"reports": [{"report_id": r, "cancer_type": "LUAD", "is_synthetic": True, "scenario": "complete", "description": "synthetic", "text": t} for r, t in texts.items()]}))
+
+    def annotate(value):
+        with open(tmp_path / "gold.csv", "w", newline="") as out:
+            rows = csv.writer(out)
+            rows.writerow(GOLD_COLUMNS)
+            for i, (r, t) in enumerate(texts.items()):
+                for v in P.VARIABLES:
+                    said = v == P.PN
+                    at = t.index("pN")
+                    rows.writerow([r, "LUAD", v, f"pN{i % 2}" if said else "", f"pN{i % 2}" if said else "", at if said else "", at + 3 if said else "", "supported" if said else value if i % 2 else "conflicting", str(not said), ""])
+
+    asked = ["--reports", str(tmp_path / "reports.json"), "--gold", str(tmp_path / "gold.csv"), "--output", str(tmp_path / "models")]
+    annotate("not_documented")
+    assert train.main(asked) == 0
+    said = capsys.readouterr().out
+    assert "Fitted and saved" in said and "Reports used: 4" in said and "{'pN0': 2, 'pN1': 2}" in said and model.ABSENT in said
+    first = model.manifest(spark, str(tmp_path / "models"))
+    assert train.main(asked) == 0 and "Already there" in capsys.readouterr().out
+    assert model.manifest(spark, str(tmp_path / "models")) == first
+    (tmp_path / "gold.csv").write_text((tmp_path / "gold.csv").read_text().replace("SYN-3,LUAD,pathological_n_category,pN1,pN1", "SYN-3,LUAD,pathological_n_category,pN1,pN1x"))
+    assert train.main(asked) == 0 and "Fitted and saved" in capsys.readouterr().out  # a row with an error no longer counts
+    assert model.manifest(spark, str(tmp_path / "models"))["digest"] != first["digest"]
