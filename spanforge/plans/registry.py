@@ -434,7 +434,7 @@ def document_issues(spark, table):
 
 
 # --- ingestion and scalars --------------------------------------------------------------------------------------------
-_DIRTY = "select doc_id, concat('  ', text, chr(13), chr(10), 'line two   ', chr(9), chr(13), 'MRN: ', case doc_id % 3 when 0 then '12345' when 1 then '[REDACTED]' else '' end, chr(10), chr(7), 'DOB : 1.1.1970 ', chr(10)) as raw from documents"
+_DIRTY = "select doc_id, concat('  ', text, chr(13), chr(10), repeat(chr(10), cast(doc_id % 7 as int)), 'line two   ', chr(9), chr(13), 'MRN: ', case doc_id % 3 when 0 then '12345' when 1 then '[REDACTED]' else '' end, chr(10), chr(7), 'DOB : 1.1.1970 ', chr(10)) as raw from documents"
 
 
 def dirty(spark, table) -> DataFrame:
@@ -450,22 +450,38 @@ def sanitize_text(spark, table):
     return out.select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"), T.local_id(F.col("text")).alias("local_id"))
 
 
-@query(f"select doc_id, case when doc_id % 3 = 0 then 'medical record number, date of birth' when doc_id % 3 = 1 then 'date of birth' else 'medical record number, date of birth' end as labels from ({_DIRTY}) x")
+_REDACTED = "('', '[redacted]', 'redacted', '[removed]', 'removed', '[synthetic]', 'synthetic', 'n/a', 'none')"
+_SANITIZED = f"select doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(raw, '\\r\\n?', chr(10), 'g')), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}]', '', 'g'), '[ \\t]+\\n', chr(10), 'g'), ' ' || chr(10) || chr(9)) as text from ({_DIRTY}) x"
+
+
+@query(f"""
+with d as ({_SANITIZED}), v as (
+  select doc_id, 1 as o, 'patient name' as label, unnest(regexp_extract_all(text, '(?im)^\\s*patient\\s+name\\s*:\\s*([^\\n]*)$', 1)) as said from d
+  union all select doc_id, 2, 'medical record number', unnest(regexp_extract_all(text, '(?im)^\\s*(?:medical\\s+record\\s+number|mrn)\\s*:\\s*([^\\n]*)$', 1)) from d
+  union all select doc_id, 3, 'date of birth', unnest(regexp_extract_all(text, '(?im)^\\s*(?:date\\s+of\\s+birth|dob)\\s*:\\s*([^\\n]*)$', 1)) from d),
+f as (select distinct doc_id, o, label from v where lower(trim(said)) not in {_REDACTED})
+select d.doc_id, coalesce(string_agg(label, ', ' order by o), '') as labels from d left join f on f.doc_id = d.doc_id group by 1
+""")
 def identifier_labels(spark, table):
     # With nothing after 'MRN:' the value is taken from the next line, as the pattern's white space spans line ends.
     return dirty(spark, table).select("doc_id", F.array_join(T.identifier_labels(T.sanitized(F.col("raw"))), ", ").alias("labels"))
 
 
 @query(f"""
-with a as (select doc_id, regexp_replace(raw, '\\r\\n?', chr(10), 'g') as t from ({_DIRTY}) x),
-b as (select doc_id, length(regexp_replace(t, '[^\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g')) as control, regexp_replace(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g') as t from a)
-select doc_id, control::bigint as control_characters, len(regexp_extract_all(t || chr(10), '[ \\t]+\\n'))::bigint as trailing_blanks from b
+with a as (select doc_id, nfc_normalize(regexp_replace(raw, '\\r\\n?', chr(10), 'g')) as t from ({_DIRTY}) x),
+b as (select doc_id, length(regexp_replace(t, '[^\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}]', '', 'g')) as control, regexp_replace(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}]', '', 'g') as t from a),
+c as (select doc_id, control, len(regexp_extract_all(t || chr(10), '[ \\t]+\\n')) as blanks, regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '[ \\t]+$', '') as t from b)
+select doc_id, control::bigint as control_characters, blanks::bigint as trailing_blanks, len(regexp_extract_all(t, '\\n{{4,}}'))::bigint as blank_lines,
+  sha256(trim(regexp_replace(t, '\\n{{4,}}', repeat(chr(10), 3), 'g'), ' ' || chr(10) || chr(9))) as digest from c
 """)
 def ocr_steps(spark, table):
-    _, steps = T.ocr_normalized(F.col("raw"))
+    text, steps = T.ocr_normalized(F.col("raw"))
     count = lambda n: F.coalesce(F.get(F.filter("steps", lambda s: s["transformation"] == n), F.lit(0))["count"], F.lit(0)).cast("long")
-    rows = dirty(spark, table).select("doc_id", steps.alias("steps"))
-    return rows.select("doc_id", count("remove_control_characters").alias("control_characters"), count("trim_trailing_whitespace").alias("trailing_blanks"))
+    rows = dirty(spark, table).select("doc_id", text.alias("text"), steps.alias("steps"))
+    return rows.select(
+        "doc_id", count("remove_control_characters").alias("control_characters"), count("trim_trailing_whitespace").alias("trailing_blanks"),
+        count("collapse_excess_blank_lines").alias("blank_lines"), F.sha2("text", 256).alias("digest"),
+    )
 
 
 @query("""
@@ -473,12 +489,14 @@ with t as (select doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as t f
 c as (select doc_id, t, length(regexp_replace(t, '\\s+', '', 'g')) as visible, length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) as alnum from t),
 s as (select *, alnum::double / greatest(visible, 1)::double as ratio, (length(t) < 40)::int + (alnum::double / greatest(visible, 1)::double < 0.55)::int as bad from c),
 q as (select *, least(1.0::double, length(t) / 200.0::double) * least(1.0::double, ratio / 0.8::double) as score from s)
-select doc_id, case when t = '' then 'Poor' when bad = 0 and score >= 0.75 then 'Good' when score >= 0.35 then 'Review recommended' else 'Poor' end as label, case when t = '' then 0 else floor(score * 1000 + 0.5)::bigint end as score_milli from q
+select doc_id, case when t = '' then 'Poor' when bad = 0 and score >= 0.75 then 'Good' when score >= 0.35 then 'Review recommended' else 'Poor' end as label, case when t = '' then 0 else floor(score * 1000 + 0.5)::bigint end as score_milli,
+  case when t = '' then 'No text was extracted.' when bad = 0 and score >= 0.35 and score < 0.75 then 'Extracted text is readable but should be checked against the page.'
+    else concat_ws('; ', case when length(t) < 40 then 'Very little text was extracted.' end, case when ratio < 0.55 then 'The text contains a high proportion of non-alphanumeric symbols.' end) end as reasons from q
 """)
 def text_quality(spark, table):
     q = T.quality(F.col("text"))
     rows = table("documents").select("doc_id", q.alias("q"))
-    return rows.select("doc_id", F.col("q.label").alias("label"), F.floor(F.col("q.score") * 1000 + 0.5).cast("long").alias("score_milli"))
+    return rows.select("doc_id", F.col("q.label").alias("label"), F.floor(F.col("q.score") * 1000 + 0.5).cast("long").alias("score_milli"), F.array_join("q.reasons", "; ").alias("reasons"))
 
 
 @query("""
