@@ -1,4 +1,4 @@
-"""The queries over the reference capabilities, with their SQL oracles."""
+"""The queries over reports, reviews, pages and evaluation, with their SQL oracles."""
 
 from __future__ import annotations
 
@@ -423,6 +423,19 @@ def page_lookup(spark, table):
     return pages.located(steps.union(marks).where("offset >= 0").distinct(), rows)
 
 
+@query(f"""
+with t as (select document_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as t from ({_PAGES}) p),
+c as (select *, length(regexp_replace(t, '\\s+', '', 'g')) as visible, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as alnum from t),
+s as (select *, alnum::double / greatest(visible, 1)::double as ratio from c),
+q as (select *, least(1.0::double, length(t) / 200.0::double) * least(1.0::double, ratio / 0.8::double) as score from s),
+r as (select document_id, t = '' or (score < 0.35) as poor from q)
+select document_id, count(*)::bigint as page_count, count_if(not poor)::bigint as native_pages, count_if(poor)::bigint as ocr_pages from r group by 1
+""")
+def page_routes(spark, table):
+    """How many pages of each document keep their native text and how many go to OCR, by the quality of the text."""
+    return pages.counts(pages.routed(page_rows(spark, table).withColumn("native_text", F.col("text"))))
+
+
 @query(f"""
 with p as ({_PAGES}), s as (select document_id, string_agg(case when not excluded_as_blank and label = 'Poor' then page_number::varchar end, ', ' order by page_number) as poor,
   string_agg(case when not excluded_as_blank and label = 'Review recommended' then page_number::varchar end, ', ' order by page_number) as review from p group by 1)
