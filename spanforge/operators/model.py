@@ -142,6 +142,8 @@ def fit(rows: DataFrame, iterations: int = ITERATIONS, terms: CountVectorizerMod
     )
     fitted = regression.fit(unit.transform(weigh.transform(index.transform(known))))
     known.unpersist()
+    # the summary of a fit with two labels holds the session, which cannot go to executors once it has observed a metric
+    fitted._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
     return PipelineModel([index, terms, weigh, unit, fitted])
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from spanforge.functions import patterns as P
@@ -108,6 +109,7 @@ def test_method_notes_save_and_load(spark, tmp_path):
 
 def test_other_variables_terms_weigh_nothing(spark):
     """In a shared vocabulary a model still sees only the n-grams of its own rows."""
+    spark.range(3).observe(Observation(), F.count(F.lit(1)).alias("n")).collect()  # a session that has observed a metric still predicts
     own = spark.createDataFrame([("aaa bbb", "x", 1.0), ("bbb ccc", "y", 1.0)], "text string, label string, weight double")
     wide = model.vocabulary(own.select("text").unionByName(spark.createDataFrame([("zzz yyy",)], "text string")))
     probe = spark.createDataFrame([("aaa zzz yyy",), ("ccc qqq",)], "text string")
