@@ -14,6 +14,8 @@ ignored.
 
 Scale: words are counted with map-side aggregation, so the hottest word is one row a task. A key joins the words that
 differ from it by one letter at some place, which the alphabet bounds (90 letters a place), not the number of documents.
+Every join sorts both sides (hint merge): by the size of their compressed files words and keys look small enough to be
+broadcast, and would go through the driver whole.
 """
 
 from __future__ import annotations
@@ -96,11 +98,11 @@ def _near(a: str, b: str):
 def near(words: DataFrame, long: int = LONG) -> DataFrame:
     """(word, n, other, m): all ordered pairs of words (word, n) at distance one."""
     keys = _keys(words.where(F.length("word") <= long))
-    short = keys.join(keys.select("key", F.col("word").alias("other"), F.col("n").alias("m")), "key").where("word <> other").where(_near("word", "other"))
+    short = keys.join(keys.select("key", F.col("word").alias("other"), F.col("n").alias("m")).hint("merge"), "key").where("word <> other").where(_near("word", "other"))
     hard = _long_keys(words.where(F.length("word") >= long))
     twin = hard.select("k1", "k2", F.col("id").alias("id2"), F.col("letters").alias("letters2"))
-    ids = hard.join(twin, ["k1", "k2"]).where("id <> id2").where(F.greatest("letters", "letters2") > long).select("id", "id2").distinct()
-    named = words.where(F.length("word") >= long).withColumn("id", F.sha2("word", 256))
+    ids = hard.join(twin.hint("merge"), ["k1", "k2"]).where("id <> id2").where(F.greatest("letters", "letters2") > long).select("id", "id2").distinct()
+    named = words.where(F.length("word") >= long).withColumn("id", F.sha2("word", 256)).hint("merge")
     far = ids.join(named, "id").join(named.select(F.col("id").alias("id2"), F.col("word").alias("other"), F.col("n").alias("m")), "id2").where(_near("word", "other"))
     columns = ("word", "n", "other", "m")
     return short.select(*columns).unionByName(far.select(*columns))
@@ -116,9 +118,9 @@ def variants(words: DataFrame, ratio: int = RATIO, long: int = LONG) -> DataFram
     roots = work.stored(found.where("form is not null").select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while not roots.where("moved").isEmpty():
         on = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        roots = work.stored(roots.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        roots = work.stored(roots.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
     return (
-        words.join(found, "word", "left").join(roots.drop("moved"), "word", "left")
+        words.join(found.hint("merge"), "word", "left").join(roots.drop("moved").hint("merge"), "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n")
     )
 

@@ -84,3 +84,14 @@ def test_hashed_keys_are_those_of_the_word():
         assert len(spelling.hashed(word)) == len({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
     assert spelling.hashed("abcd") & spelling.hashed("abxd")
     assert not spelling.hashed("abcd") & spelling.hashed("axyd")
+
+
+def test_words_and_keys_are_never_broadcast(spark, monkeypatch):
+    """Tables in compressed files look small: broadcast, they would go through the driver whole."""
+    plans, stored = [], spelling.common.Scratch.stored
+    keep = lambda self, df, *rest, **more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(self, df, *rest, **more)
+    monkeypatch.setattr(spelling.common.Scratch, "stored", keep)
+    out = spelling.variants(spark.createDataFrame([("whale", 40), ("whxle", 12), ("wyxle", 5), ("w" * 120, 3), ("w" * 121, 9)], "word string, n long"))
+    assert out.count() == 5
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
