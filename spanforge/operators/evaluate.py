@@ -1,4 +1,7 @@
-"""Scoring of methods against gold annotations."""
+"""Scoring of methods against gold annotations.
+
+Tables that grow with the reports are joined by sorting both sides (hint merge): by the size of their compressed files or
+shuffles they look small enough to be broadcast, and would go whole through the driver and into every task."""
 
 from __future__ import annotations
 
@@ -60,7 +63,7 @@ def scored(fields: DataFrame, gold: DataFrame) -> DataFrame:
     variable_name, gold_value, gold_status): one flag for each count."""
     v, g = F.col("extracted_value"), F.col("gold_value")
     hit = values_match(v, g)
-    return fields.join(gold, ["report_id", "variable_name"]).select(
+    return fields.join(gold.hint("merge"), ["report_id", "variable_name"]).select(
         "report_id", "method", "variable_name",
         (v.isNotNull() & g.isNotNull() & hit).alias("tp"),
         (v.isNotNull() & (g.isNull() | ~hit)).alias("fp"),
@@ -101,7 +104,7 @@ def by_level(flags: DataFrame) -> DataFrame:
 def referrals(reports: DataFrame, gold: DataFrame) -> DataFrame:
     """Counts of reports sent to review against those that gold sends (reports: report_id, method, manual_review_required, valid)."""
     expected = gold.groupBy("report_id").agg(F.bool_or("gold_review").alias("expected"))
-    both = reports.join(expected, "report_id", "left").withColumn("expected", F.coalesce("expected", F.lit(False)))
+    both = reports.join(expected.hint("merge"), "report_id", "left").withColumn("expected", F.coalesce("expected", F.lit(False)))
     sent = F.col("manual_review_required")
     return both.groupBy("method").agg(
         F.count("*").alias("reports"), F.count_if(sent).alias("referred"), F.count_if(sent & F.col("expected")).alias("referral_tp"),
@@ -207,7 +210,7 @@ def per_field(fields: DataFrame, gold: DataFrame) -> DataFrame:
     Evidence is valid if each span contains the gold span or lies in it and its wording carries the status. Fields without
     evidence, or without gold, have a null there; evidence where gold has none is not valid. Fields without gold are wrong."""
     marks = ["gold_value", "gold_status", "evidence_text", "evidence_start_offset", "evidence_end_offset"]
-    rows = fields.join(gold.select("report_id", "variable_name", *marks, F.lit(True).alias("__gold")), ["report_id", "variable_name"], "left")
+    rows = fields.join(gold.select("report_id", "variable_name", *marks, F.lit(True).alias("__gold")).hint("merge"), ["report_id", "variable_name"], "left")
     v, text, ev = F.col("extracted_value"), F.col("text"), F.coalesce("evidence", F.array().cast(EVIDENCE))
     rows = rows.withColumn("__p", F.when(v.isNotNull(), support.value_pattern(F.col("variable_name"), v)))
     carries = support.supports_status(

@@ -218,3 +218,13 @@ def test_queue_by_case_status(spark):
 def test_every_rule_of_a_decision_is_reached(spark):
     got = {r["error"] for r in registry.queries()["review_errors"](spark, "/root/testdata/sf0.01").select("error").distinct().collect()}
     assert len(got) == 19
+
+
+@pytest.mark.parametrize("name", ["eval_confusion", "eval_scores", "eval_metrics"])
+def test_annotations_are_never_broadcast(spark, name):
+    """They grow with the reports, however small their compressed files look."""
+    out = registry.queries()[name](spark, SF)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # eval_metrics joins one row a method with one row a method at the end: that may be broadcast
+    assert plan.count("SortMergeJoin") >= 1 and plan.count("BroadcastHashJoin") <= 2 * (name == "eval_metrics")
