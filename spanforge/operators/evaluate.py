@@ -171,7 +171,7 @@ def cohort_errors(results: DataFrame, gold: DataFrame, texts: DataFrame, fields:
         F.bool_or(needs).alias("g_needs"), F.bool_or(bans).alias("g_bans"), F.bool_or(status.isin("negated", "uncertain", "superseded", "supported") & said.isNull()).alias("g_bare") if "evidence_text" in have else F.lit(False).alias("g_bare"),
     )
     t = texts.groupBy("report_id").agg(F.lit(True).alias("t"), F.min(F.col("cancer_type") if "cancer_type" in texts.columns else F.lit(None).cast("string")).alias("t_cancer"))
-    whole = r.join(g, "report_id", "full").join(t, "report_id", "full").join(F.broadcast(n_methods))
+    whole = r.join(g.hint("merge"), "report_id", "full").join(t.hint("merge"), "report_id", "full").join(F.broadcast(n_methods))
     n = len(P.VARIABLES)
     flags = [
         ("result without gold", F.col("r_n").isNotNull() & F.col("g_n").isNull()), ("gold without result", F.col("g_n").isNotNull() & F.col("r_n").isNull()),
@@ -187,7 +187,7 @@ def cohort_errors(results: DataFrame, gold: DataFrame, texts: DataFrame, fields:
         found = found.unionByName(named(per, ("result needs each variable once", (F.col("n") != n) | (F.col("v") != n))))
     if "evidence_text" in have:
         there = F.substring(F.col("text"), F.col("evidence_start_offset") + 1, F.col("evidence_end_offset") - F.col("evidence_start_offset"))
-        wrong = gold.where("evidence_text is not null").select("report_id", "evidence_text", "evidence_start_offset", "evidence_end_offset").join(texts.select("report_id", "text"), "report_id").where(~F.coalesce(there == F.col("evidence_text"), F.lit(False)))
+        wrong = gold.where("evidence_text is not null").select("report_id", "evidence_text", "evidence_start_offset", "evidence_end_offset").join(texts.select("report_id", "text").hint("merge"), "report_id").where(~F.coalesce(there == F.col("evidence_text"), F.lit(False)))
         found = found.unionByName(wrong.select("report_id", F.lit("gold evidence is not at its offsets").alias("rule")).distinct())
     return found.select("rule", "report_id")
 

@@ -80,23 +80,29 @@ def conflict_key(variable: Column, norm: Column) -> Column:
 
 
 SMALL_BYTES = 64 << 20
+TASK_BYTES = 64 << 10
+WAVES = 50
 
 
-def spread(reports: DataFrame) -> DataFrame:
+def spread(reports: DataFrame, *keys: str) -> DataFrame:
     """reports over all cores if the table is small (by Catalyst's estimate, SMALL_BYTES a core): extraction is all arithmetic, and
-    a small file would else keep one core busy. Larger tables, which many tasks read anyway, and streams stay where they are."""
+    a small file would else keep one core busy. Larger tables, which many tasks read anyway, and streams stay where they are.
+
+    A compressed file may hold many more rows than its bytes tell, so there is a part for each TASK_BYTES (up to WAVES a core), and
+    what a task holds of them does not grow with the table. keys: where the rows go; without any they are dealt in turn."""
     if reports.isStreaming:
         return reports
     cores = reports.sparkSession.sparkContext.defaultParallelism
     known = int(str(reports._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return reports.repartition(cores) if known < cores * SMALL_BYTES else reports
+    parts = max(cores, min(known // TASK_BYTES, cores * WAVES))
+    return reports.repartition(parts, *keys) if known < cores * SMALL_BYTES else reports
 
 
-def candidates(reports: DataFrame) -> DataFrame:
+def candidates(reports: DataFrame, dealt: bool = False) -> DataFrame:
     """reports (report_id, text, ...) -> a row for each variable, with sections and matches: array of (start, stop, text, value,
-    norm, key, historical, section)."""
+    norm, key, historical, section). dealt: the reports have been spread."""
     order = [(n, i, p, P.CORES[v][i]) for n, v in enumerate(P.VARIABLES) for i, p in enumerate(P.VALUES[v])]
-    rows = with_sections(spread(reports)).withColumn("__t", spans.clear(F.col("text")))
+    rows = with_sections(reports if dealt else spread(reports)).withColumn("__t", spans.clear(F.col("text")))
     rows = rows.withColumn("__hits", F.array(*[spans.found(F.col("__t"), P.IM + p, core) for _, _, p, core in order]))
     # (variable, matches) from here on; the ordinal counts within the variable
     place = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for n, i, _, _ in order])
@@ -197,13 +203,13 @@ def no_value(rows: DataFrame) -> DataFrame:
     ).drop("__nd", "__ca", "__nt", "__nn")
 
 
-def fields(reports: DataFrame, *methods: str) -> DataFrame:
+def fields(reports: DataFrame, *methods: str, dealt: bool = False) -> DataFrame:
     """reports (report_id, text, ...) -> one row for each field and method: extracted_value, documentation_status, evidence,
     alternatives, notes and the issues met (extract_issues). One pass over the reports for all methods."""
     methods = methods or ("evidence_first",)
     each = F.explode(F.array(*map(F.lit, methods))) if len(methods) > 1 else F.lit(methods[0])
     first = F.col("method") == "baseline"
-    rows = no_value(resolved(candidates(reports).withColumn("method", each), chronology=~first))
+    rows = no_value(resolved(candidates(reports, dealt).withColumn("method", each), chronology=~first))
     text, variable = F.col("text"), F.col("variable_name")
     keys = F.array_distinct(F.transform("active", lambda m: m["key"]))
     group = lambda k: F.filter("active", lambda m: m["key"] == k)

@@ -228,3 +228,17 @@ def test_annotations_are_never_broadcast(spark, name):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # eval_metrics joins one row a method with one row a method at the end: that may be broadcast
     assert plan.count("SortMergeJoin") >= 1 and plan.count("BroadcastHashJoin") <= 2 * (name == "eval_metrics")
+
+
+def test_parts_of_a_table_follow_its_bytes(spark, tmp_path, monkeypatch):
+    """Otherwise a task would hold more rows of a larger table."""
+    from spanforge.operators import extract
+
+    spark.range(100_000).select(F.col("id").alias("report_id"), F.rand(1).alias("x")).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(extract, "TASK_BYTES", 20_000)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores < extract.spread(table, "report_id").rdd.getNumPartitions() <= cores * extract.WAVES
+    monkeypatch.setattr(extract, "WAVES", 2)
+    assert extract.spread(table).rdd.getNumPartitions() == 2 * cores
+    assert extract.spread(spark.read.parquet(f"{SF}/region.parquet")).rdd.getNumPartitions() == cores
