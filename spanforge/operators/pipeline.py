@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +20,12 @@ def fields(reports: DataFrame, *methods: str, models: dict | None = None) -> Dat
         raise ValueError(f"unknown method {sorted(unknown)[0]!r}")
     if "ml" in methods and not models:
         raise ValueError("method 'ml' needs models")
-    plain, out = [m for m in methods if m != "ml"], []
-    if plain:
-        out.append(validate.with_qa(validate.checked(extract.fields(reports, *plain))))
-    if "ml" in methods:
-        out.append(validate.with_qa(validate.checked(model.noted(extract.fields(model.annotated(reports, models), "evidence_first")))))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+    if "ml" not in methods:
+        return validate.with_qa(validate.checked(extract.fields(reports, *methods)))
+    # fields need the confidences only; the probabilities of all labels would go along on every row
+    sure = F.transform("predictions", lambda p: F.struct(p["variable_name"].alias("variable_name"), p["confidence"].alias("confidence")))
+    known = model.annotated(reports, models).withColumn("predictions", sure)
+    return validate.with_qa(validate.checked(model.noted(extract.fields(known, *methods, dealt=True))))
 
 
 def results(reports: DataFrame, *methods: str, models: dict | None = None) -> DataFrame:

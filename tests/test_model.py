@@ -151,3 +151,15 @@ def test_train_job(spark, tmp_path, capsys):
     (tmp_path / "gold.csv").write_text((tmp_path / "gold.csv").read_text().replace("SYN-3,LUAD,pathological_n_category,pN1,pN1", "SYN-3,LUAD,pathological_n_category,pN1,pN1x"))
     assert train.main(asked) == 0 and "Fitted and saved" in capsys.readouterr().out  # a row with an error no longer counts
     assert model.manifest(spark, str(tmp_path / "models"))["digest"] != first["digest"]
+
+
+def test_texts_are_not_taken_to_the_cohort(spark, tmp_path):
+    """The cohort is bounded, the texts are not: only the cohort may be broadcast."""
+    texts = spark.range(300).select(F.concat(F.lit("R"), "id").alias("report_id"), F.lit("Tumor size: 2.1 cm.").alias("text"))
+    texts.write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    gold = texts.select("report_id", F.lit(P.SIZE).alias("variable_name"), F.lit("2.1 cm").alias("gold_value"), F.lit("supported").alias("gold_status"))
+    plan = model.training(model.cohort(gold, 9), texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    rows = model.training(model.cohort(gold, 9), texts)
+    assert rows.count() == 10 and rows.select("label").distinct().count() == 2
