@@ -72,7 +72,7 @@ def gold_errors(gold: DataFrame, reports: DataFrame, spot: tuple = SPOT, count:
     rows = gold.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in raw])
     # one row a report id, and texts only where evidence is to be found in them
     known = reports.groupBy("report_id").agg(F.first("cancer_type").alias("__cancer"), F.first("scenario").alias("__scenario"), F.max("text").alias("__text"), F.lit(True).alias("__known"))
-    rows = rows.join(known, "report_id", "left")
+    rows = rows.join(known.hint("merge"), "report_id", "left")
     start, end = F.col("evidence_start_offset").try_cast("int"), F.col("evidence_end_offset").try_cast("int")
     there, evidence = F.col("__known").isNotNull(), F.col("evidence_text")
     ints = start.isNotNull() & end.isNotNull()
@@ -88,7 +88,7 @@ def gold_errors(gold: DataFrame, reports: DataFrame, spot: tuple = SPOT, count:
     keys = rows.groupBy("report_id", "variable_name").agg(F.count("*").alias("n"))
     double = keys.where("n > 1").select(F.lit("gold: duplicate key").alias("rule"), F.explode(F.transform(F.sequence(F.lit(2), "n"), lambda i: subject)).alias("subject"))
     has = keys.groupBy("report_id").agg(F.array_sort(F.collect_set("variable_name")).alias("__have"))
-    lacking = known.select("report_id").where("report_id is not null").join(has, "report_id", "left")
+    lacking = known.select("report_id").where("report_id is not null").join(has.hint("merge"), "report_id", "left")
     covered = F.coalesce(F.col("__have") == F.array_sort(F.array(*map(F.lit, sorted(P.VARIABLES)))), F.lit(False))
     coverage = _failed(lacking, F.col("report_id"), {"report: coverage of variables": ~covered})
     parts = [own, double, coverage]

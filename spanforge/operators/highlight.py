@@ -22,7 +22,7 @@ def valid_spans(reports: DataFrame, fields: DataFrame) -> DataFrame:
     inside = (F.col("start") >= 0) & (F.col("start") < F.col("stop")) & (F.col("stop") <= F.length("text"))
     there = F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("said")
     order = F.array_position(F.array(*map(F.lit, P.VARIABLES)), F.col("variable_name")).cast("int")
-    return spans.join(reports.select("report_id", "text"), "report_id").where(inside & there).select("report_id", order.alias("variable_order"), "variable_name", "start", "stop")
+    return spans.join(reports.select("report_id", "text").hint("merge"), "report_id").where(inside & there).select("report_id", order.alias("variable_order"), "variable_name", "start", "stop")
 
 
 def stretches(spans: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def highlighted(reports: DataFrame, fields: DataFrame, focused: str | None = Non
     name = lambda v: F.element_at(names, v)
     per = stretches(valid_spans(reports, fields).where("variable_order > 0"))
     gathered = per.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("start", "covering", "anchors"))).alias("__b"))
-    rows = reports.join(gathered, "report_id", "left")
+    rows = reports.join(gathered.hint("merge"), "report_id", "left")
     text, borders = F.col("text"), F.col("__b")
 
     def piece(b, i):

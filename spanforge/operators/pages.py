@@ -93,7 +93,7 @@ def first_page(pages: DataFrame) -> DataFrame:
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pages after a re-extraction: corrections stay, blank pages stay accepted, the others must be accepted again."""
     n = new.select("document_id", "page_number", F.col("text").alias("new_text"), F.lit(True).alias("fresh"))
-    both = old.join(n, ["document_id", "page_number"], "left")
+    both = old.join(n.hint("merge"), ["document_id", "page_number"], "left")
     fresh = F.coalesce("fresh", F.lit(False))
     return both.select(
         "document_id", "page_number", F.coalesce("new_text", "text").alias("text"), "corrected_text", "excluded_as_blank",
@@ -105,7 +105,7 @@ def approved(documents: DataFrame, approvals: DataFrame) -> DataFrame:
     """documents (document_id, text, ...) with approved: one of the approvals (document_id, approved_digest) is of this very text.
     An edit changes the digest and so revokes the approval. Only digests are joined, not texts twice."""
     marks = approvals.select("document_id", F.col("approved_digest").alias("__digest"), F.lit(True).alias("__ok")).distinct()
-    rows = documents.withColumn("__digest", T.digest(F.col("text"))).join(marks, ["document_id", "__digest"], "left")
+    rows = documents.withColumn("__digest", T.digest(F.col("text"))).join(marks.hint("merge"), ["document_id", "__digest"], "left")
     return rows.select(*documents.columns, F.coalesce("__ok", F.lit(False)).alias("approved"))
 
 

@@ -86,7 +86,7 @@ def triaged(every: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumn("__action", F.lit(None).cast("string"))
     else:
         taken = decisions.select("report_id", "method", "variable_name", F.col("action").alias("__action"))
-        rows = rows.join(taken, ["report_id", "method", "variable_name"], "left")
+        rows = rows.join(taken.hint("merge"), ["report_id", "method", "variable_name"], "left")
     notes = F.lower(F.coalesce("notes", F.lit("")))
     weak = F.lit(False)
     for marker in WEAK_NOTES:
@@ -119,7 +119,7 @@ def queue(reports: DataFrame, found: DataFrame, preferred: DataFrame) -> DataFra
     """reports with queue_method: the preferred method (report_id, method) if it has a result, else evidence_first, else the
     first there is in the order of P.METHODS; without any result the preferred one, or evidence_first."""
     have = found.groupBy("report_id").agg(F.collect_set("method").alias("__have"))
-    rows = reports.join(have, "report_id", "left").join(preferred.select("report_id", F.col("method").alias("__wish")), "report_id", "left")
+    rows = reports.join(have.hint("merge"), "report_id", "left").join(preferred.select("report_id", F.col("method").alias("__wish")).hint("merge"), "report_id", "left")
     there = lambda m: F.coalesce(F.array_contains("__have", m), F.lit(False))
     first = F.coalesce(*[F.when(there(F.lit(m)), F.lit(m)) for m in P.METHODS])
     chosen = F.when(there(F.col("__wish")), F.col("__wish")).when(there(F.lit("evidence_first")), "evidence_first").otherwise(F.coalesce(first, "__wish", F.lit("evidence_first")))
@@ -136,10 +136,10 @@ def queue_cases(queued: DataFrame, found: DataFrame, decisions: DataFrame, snaps
     a decision other than pending, or a draft with unsaved changes (dirty) beside any decision."""
     if only not in ("All", *CASE_STATUSES):
         raise ValueError(f"unknown case status {only!r}")
-    key = lambda df, flag: df.groupBy("report_id", F.col("method").alias("queue_method")).agg(F.lit(True).alias(flag))
+    key = lambda df, flag: df.groupBy("report_id", F.col("method").alias("queue_method")).agg(F.lit(True).alias(flag)).hint("merge")
     rows = queued.join(key(snapshots, "__done"), ["report_id", "queue_method"], "left").join(key(found, "__has"), ["report_id", "queue_method"], "left")
     taken = decisions.groupBy("report_id", F.col("method").alias("queue_method")).agg(F.bool_or(F.col("action") != "pending").alias("__begun"), F.lit(True).alias("__any"))
-    rows = rows.join(taken, ["report_id", "queue_method"], "left")
+    rows = rows.join(taken.hint("merge"), ["report_id", "queue_method"], "left")
     rows = rows.join(key(dirty, "__dirty"), ["report_id", "queue_method"], "left") if dirty is not None else rows.withColumn("__dirty", F.lit(None).cast("boolean"))
     begun = F.col("__has") & F.col("__any") & (F.col("__begun") | F.coalesce("__dirty", F.lit(False)))
     out = rows.withColumn("case_status", F.when(F.col("__done"), "Completed").when(begun, "In progress").otherwise("Needs review"))
