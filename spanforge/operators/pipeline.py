@@ -31,17 +31,25 @@ def fields(reports: DataFrame, *methods: str, models: dict | None = None) -> Dat
 def results(reports: DataFrame, *methods: str, models: dict | None = None) -> DataFrame:
     """One row for each report and method: its four fields, issues, priority and provenance. Reports whose fields break the
     schema are marked in reject_reasons instead of failing the job."""
-    rows = fields(reports, *methods, models=models).withColumn("__amended", F.when(F.col("method") != "baseline", validate.amendments(F.col("text"), F.col("sections"))))
+    return gathered(fields(reports, *methods, models=models), *methods).drop("kept")
+
+
+def gathered(rows: DataFrame, *methods: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """fields -> results, in one shuffle without texts; kept: columns of the fields that go along, as an array of structs in the
+    order of variables."""
+    rows = rows.withColumn("__amended", F.when(F.col("method") != "baseline", validate.amendments(F.col("text"), F.col("sections"))))
     rows = rows.withColumn("source_report_digest", F.concat(F.lit("sha256:"), F.sha2("text", 256))).withColumn("__empty", F.length(F.trim("text")) == 0)
     if "document_issues" not in rows.columns:
         rows = rows.withColumn("document_issues", F.array().cast(ISSUES))
     field = F.struct("variable_order", "variable_name", "extracted_value", "documentation_status", "evidence", "alternatives", "notes").cast(FIELD)
+    own = F.struct(*kept) if kept else F.lit(None).cast("string")
     grouped = rows.groupBy("report_id", "method").agg(
-        F.array_sort(F.collect_list(F.struct("variable_order", field.alias("field"), F.col("extract_issues").alias("e"), F.col("validate_issues").alias("v"), F.col("qa_issues").alias("q"), F.col("violations").alias("bad")))).alias("__f"),
+        F.array_sort(F.collect_list(F.struct("variable_order", field.alias("field"), F.col("extract_issues").alias("e"), F.col("validate_issues").alias("v"), F.col("qa_issues").alias("q"), F.col("violations").alias("bad"), own.alias("own")))).alias("__f"),
         F.first("__amended").alias("__amended"), F.first("source_report_digest").alias("source_report_digest"), F.first("document_issues").alias("__doc"), F.first("__empty").alias("__empty"),
     )
-    all_of = lambda c: F.flatten(F.transform("__f", lambda f: f[c]))
-    grouped = grouped.withColumn("variables", F.transform("__f", lambda f: f["field"])).withColumn(
+    each = lambda c: F.transform("__f", lambda f: f[c])
+    all_of = lambda c: F.flatten(each(c))
+    grouped = grouped.withColumn("variables", each("field")).withColumn(
         "qa_issues", F.concat(all_of("q"), F.filter(F.array("__amended"), lambda i: i.isNotNull()), "__doc").cast(ISSUES)
     )
     level, reason = validate.priority(F.col("qa_issues"), final=True)
@@ -55,7 +63,7 @@ def results(reports: DataFrame, *methods: str, models: dict | None = None) -> Da
     rejects = F.concat(F.array_distinct(all_of("bad")), F.when(F.col("__empty"), F.array(F.lit("empty text"))).otherwise(F.array().cast("array<string>")))
     return grouped.select(
         "report_id", "method", "source_report_digest", "variables", "qa_issues", level.alias("review_priority"), reason.alias("review_priority_reason"),
-        (level != "low").alias("manual_review_required"), rejects.alias("reject_reasons"),
+        (level != "low").alias("manual_review_required"), rejects.alias("reject_reasons"), each("own").alias("kept"),
     )
 
 
