@@ -67,6 +67,16 @@ def gathered(rows: DataFrame, *methods: str, kept: tuple[str, ...] = ()) -> Data
     )
 
 
+def values(reports: DataFrame, *methods: str) -> DataFrame:
+    """Value and status of every field: a row for each report, field and method (all of them, unless some are named). Those of
+    `ml` are the evidence-first ones: its models lead its notes and nothing else (model.noted), so none are needed here."""
+    wanted = methods or P.METHODS
+    own = [m for m in P.METHODS if m in wanted and m != "ml" or m == "evidence_first" and "ml" in wanted]
+    same = F.array(*[F.lit(m) for m in wanted if m != "baseline"]).cast("array<string>")
+    rows = validate.checked(extract.fields(reports, *own)).select("report_id", "method", "variable_name", "extracted_value", "documentation_status")
+    return rows.withColumn("method", F.explode(F.when(F.col("method") == "baseline", F.array("method")).otherwise(same)))
+
+
 def every_method(reports: DataFrame, models: dict | None = None) -> DataFrame:
     """The results of all methods; of those without a model if there are no models."""
     return results(reports, *[m for m in P.METHODS if models or m != "ml"], models=models)

@@ -29,3 +29,16 @@ def test_the_reviewed_export_works_fields_out_once(spark):
     rows = lambda df: sorted(repr(r) for r in df.select(sorted(joined.columns)).collect())
     assert sorted(once.columns) == sorted(joined.columns) and rows(once) == rows(joined) and len(rows(once)) > 100
     assert _reads(registry.queries()["reviewed_export"](spark, SF)) == 1
+
+
+def test_values_of_methods_need_no_models(spark, monkeypatch):
+    """Agreement is over values and statuses, which the classifiers never touch: none is fitted, and all three methods are there."""
+    def fitted(*_):
+        raise AssertionError("a model was asked for")
+
+    monkeypatch.setattr(registry, "models", fitted)
+    assert {r["fields"] for r in registry.queries()["method_agreement"](spark, SF).collect()} == {_tables(spark)("part").count()}
+    texts = registry.texts(spark, _tables(spark)).limit(40).cache()
+    by = {m: sorted(tuple(r)[:1] + tuple(r)[2:] for r in pipeline.values(texts, m).collect()) for m in ("evidence_first", "ml")}
+    assert by["ml"] == by["evidence_first"] and len(by["ml"]) == 160
+    assert pipeline.values(texts).groupBy("report_id", "variable_name").count().where("count = 3").count() == 160
