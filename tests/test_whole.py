@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from spanforge.operators import pipeline, review
+from spanforge.functions import patterns as P
+from spanforge.operators import model, pipeline, review
 from spanforge.plans import registry
 from tests.sqlcheck import SF
 
@@ -42,3 +43,15 @@ def test_values_of_methods_need_no_models(spark, monkeypatch):
     by = {m: sorted(tuple(r)[:1] + tuple(r)[2:] for r in pipeline.values(texts, m).collect()) for m in ("evidence_first", "ml")}
     assert by["ml"] == by["evidence_first"] and len(by["ml"]) == 160
     assert pipeline.values(texts).groupBy("report_id", "variable_name").count().where("count = 3").count() == 160
+
+
+def test_models_are_fitted_on_every_annotated_report(spark):
+    """Every label and every n-gram of the annotated reports is in the models."""
+    table = _tables(spark)
+    gold, texts = registry.gold(spark, table), registry.texts(spark, table)
+    fitted = registry.models(spark, table)
+    known = gold.select("variable_name", model.label_of(F.col("gold_status"), F.col("gold_value")).alias("label")).distinct().collect()
+    for v in P.VARIABLES:
+        assert set(fitted[v].stages[0].labels) == {r["label"] for r in known if r["variable_name"] == v}
+    grams = texts.select(F.explode(model.ngrams(F.col("text"))).alias("g")).distinct().collect()
+    assert set(fitted[P.SIZE].stages[1].vocabulary) == {r["g"] for r in grams}
